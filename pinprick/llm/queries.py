@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, orc_tokens, packing, sharding, simhash, toxicity, warc
+from . import decontam, exact_dedup, katz, orc_tokens, packing, sharding, simhash, substring, toxicity, warc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -38,6 +38,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), 8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,7 +55,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_orc_tokens, op5_decontamination, op7_sharding, op8_packing, op9_simhash)}
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_orc_tokens, op5_decontamination, op6_katz, op7_sharding, op8_packing, op9_simhash, op10_substring)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
@@ -65,12 +73,4 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM q""",
-    "op7_sharding": """
-        WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS body FROM documents),
-             c AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM s),
-             d AS (SELECT *, least(CAST((before * 2 + size) * 8 // (2 * total) AS INTEGER), 7) AS shard FROM c)
-        SELECT doc_id, size, NULL AS text_crc32, 'bytes' AS law, shard,
-               row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
-        FROM d""",
 }
-del ORACLE_SQL["op7_sharding"]  # DuckDB has no CRC-32; the tests hold the query against a brute-force version

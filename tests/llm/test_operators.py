@@ -1,0 +1,343 @@
+"""Each operator against its plain version, on odd rows and on the smallest tables."""
+
+import hashlib
+import os
+import random
+import zlib
+
+import brute
+import numpy as np
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pinprick.llm import decontam, exact_dedup, katz, orc_tokens, packing, queries, sharding, simhash, substring, toxicity, warc
+from pinprick.llm.common import new_path, stored
+from pinprick.llm.components import connected_components
+from pinprick.llm.tokens import Encoder
+
+SMALL = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+
+
+def odd_docs():
+    """Nulls, empty and long texts, ties, repeated rows, runs, shared passages."""
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    say = lambda n: " ".join(r.choices(vocabulary, k=n))
+    passage = say(70)
+    docs = [(0, None), (1, ""), (2, "  \n\t "), (3, "one"), (4, "Ünïcode wörds — and “quotes” 数"), (5, passage), (6, say(30) + " " + passage + " " + say(30)), (7, passage.upper()), (8, say(3000))]
+    docs += [(9, "ha " * 200), (10, "x " + "ha " * 120 + "y"), (11, "a b " * 90), (12, "b a " * 60 + "c"), (13, docs[6][1]), (14, docs[6][1]), (15, " ".join([passage] * 3))]
+    docs += [(None, passage + " tail"), (None, None), (3, "one"), (16, docs[8][1][:4000] + " changed " + docs[8][1][4000:])]
+    docs += [(k, say(r.choice([5, 60, 120]))) for k in range(20, 60)]
+    docs += [(k, f"{passage} {k}") for k in range(60, 75)] + [(k, passage) for k in range(75, 110)] + [(k, "<|endoftext|> it's  1234\n\n done") for k in range(110, 114)]
+    return docs
+
+
+def frame(spark, docs, extra=True):
+    """With columns whose names clash with what the operators use inside."""
+    df = spark.createDataFrame([(i, t, "p") for i, t in docs], "doc_id long, text string, _part string")
+    return df.withColumn("_key", F.lit(1)).withColumn("_sha", F.lit(None).cast("string")).withColumn("size", F.lit(2)) if extra else df
+
+
+def rows(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+def same(df, columns, wanted):
+    assert rows(df, *columns) == sorted(map(tuple, wanted), key=str)
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return odd_docs()
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables here")
+    return [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_groups(spark, docs, keep, parts):
+    got = exact_dedup.duplicate_groups(frame(spark, docs).repartition(parts), keep=keep)
+    same(got, ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], brute.exact(docs, keep == "largest"))
+
+
+def test_exact_hot_group_over_many_partitions(spark):
+    docs = [(k, "same" if k % 3 else f"text {k}") for k in range(4000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    same(exact_dedup.duplicate_groups(frame(spark, docs)), ["doc_id", "keep_id", "group_size", "kept"], [x[:4] for x in brute.exact(docs, False)])
+    assert exact_dedup.drop_duplicates(frame(spark, docs)).count() == len({t for _, t in docs})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_exact_rows_keep_their_columns(spark, docs):
+    df = frame(spark, docs)
+    got = exact_dedup.drop_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(x or "" for (x,) in got.select("text").collect()) == sorted({t or "" for _, t in docs})
+    folded = exact_dedup.drop_duplicates(df, normalise=F.lower)
+    assert folded.count() == len({(t or "").lower() for _, t in docs})
+
+
+def test_decontamination(spark, docs):
+    items = [(1, docs[5][1]), (2, "it's 1234 done"), (3, None), (4, "...!"), (5, docs[8][1][500:900]), (None, "one"), (7, "ha " * 12), (8, docs[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.decontaminated(docs, items)
+    for block in (50_000, 20):
+        got = decontam.matches(frame(spark, docs), bench, block_windows=block).withColumn("s", F.sha2(F.concat_ws(",", "items"), 256))
+        same(got, ["doc_id", "n_words", "n_hit", "n_items", "s", "contaminated"], want)
+    assert decontam.matches(frame(spark, docs), bench.limit(0)).where("contaminated").count() == 0
+    left = decontam.without_contaminated(frame(spark, docs), bench)
+    assert {r.doc_id for r in left.collect()} == {w[0] for w in want} - {w[0] for w in want if w[5]}
+
+
+def test_proximity(spark):
+    index = decontam.build_index(frame(spark, [(1, "red far far blue"), (2, "blue red"), (3, "red a b c d e blue")]))
+    got = decontam.find_phrases(index, [((b"red", b"blue"), [0])], slop=2)
+    assert decontam._owners(got.withColumnRenamed("name", "n").withColumn("item", F.lit("i")), index).select("shard", "ord").distinct().count() == 2
+
+
+def test_shards(spark, docs):
+    same(sharding.shard_by_bytes(frame(spark, docs), 8), ["doc_id", "size", "text_crc32", "shard", "slot"], brute.shards(docs))
+
+
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_encoder_is_the_library(docs, name, kind):
+    e = Encoder(public_tokenizers.path(name), kind)
+    texts = [t or "" for _, t in docs] + ["a b", "İstanbul ſ", "é é", "tab\there", " lead", "trail ", "\n", "x\n\ny", "Ça coûte 12€", "don't I'LL 'S", "×÷", "z" * 500]
+    assert e.encode(texts) == e.whole(texts)
+
+
+def test_orc_round_trip(spark, docs):
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"), "words")
+    got = {}
+    df = orc_tokens.round_trip(frame(spark, docs), public_tokenizers.path("word_bpe_49k.json"), "words", 2)
+    for r in df.collect():
+        got.setdefault(r.doc_id, []).append(r)
+    ids = {}
+    for i, t in docs:
+        x = e.whole([t or ""])[0] + np.uint32(2).tobytes()
+        ids.setdefault(i, []).append((len(x) // 4, zlib.crc32(x)))
+    start = 0
+    for i in sorted(ids, key=lambda i: (i is not None, i or 0)):
+        for r in sorted(got[i], key=lambda r: r.start):
+            assert r.start == start
+            start += r.n_tokens
+        assert sorted((r.n_tokens, r.ids_crc32) for r in got[i]) == sorted(ids[i])
+    path = new_path(spark, "t")
+    orc_tokens.write_tokens(frame(spark, docs), path, public_tokenizers.path("word_bpe_49k.json"), "words", 2)
+    assert orc_tokens.read_tokens(spark, path, [8]).count() == 1
+
+
+def check_packing(got, docs, size=1024):
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "bytes")
+    wanted = sorted((str(i), s, len(x[4 * s : 4 * s + 4 * size]) // 4, zlib.crc32(x[4 * s : 4 * s + 4 * size]), len(x) // 4) for i, t in docs for x in [e.whole([t or ""])[0] + b"\0\0\0\0"] for s in range(0, len(x) // 4, size))
+    assert sorted((str(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == wanted
+    packs = {}
+    for r in got:
+        packs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(packs) == list(range(len(packs)))
+    for p in packs.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= size
+    return sum(r.length for r in got) / (len(packs) * size)
+
+
+def test_packing(spark, docs):
+    check_packing(packing.pack(frame(spark, docs), public_tokenizers.path("byte_bpe_50k.json"), "bytes", 0).collect(), docs)
+
+
+def test_histogram_packs_every_length():
+    r = random.Random(1)
+    counts = {n: r.randint(1, 2000) for n in r.sample(range(1, 1025), 400)} | {1: 50_000}
+    packs = packing.pack_histogram(counts, 1024)
+    for n, c in counts.items():
+        assert sum(many * each for many, p in packs for length, each in p if length == n) == c
+    assert all(sum(a * b for a, b in p) <= 1024 for _, p in packs)
+    assert sum(n * c for n, c in counts.items()) / (1024 * sum(m for m, _ in packs)) > 0.95
+    assert packing.pack_histogram({}, 1024) == []
+
+
+def test_simhash(spark, docs):
+    same(simhash.near_duplicates(frame(spark, docs)), ["doc_id", "fingerprint", "component_id"], brute.components(docs))
+
+
+def test_pigeonring_loses_no_link(spark):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(40)]
+    points = {b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(60)} | set(base)
+    signed = [(p - (1 << 64) if p >> 63 else p) for p in points]
+    df = spark.createDataFrame([(s, s) for s in signed], "fp long, node long")
+    want = {}
+    ordered = sorted(signed)
+    root = {s: s for s in ordered}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ordered):
+        for b in ordered[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+                root[find(a)] = find(b)
+    for s in ordered:
+        want.setdefault(find(s), set()).add(s)
+    for tile in (4096, 8):
+        got = {}
+        for node, c in connected_components(simhash.hamming_links(df, 4, tile=tile)).collect():
+            got.setdefault(c, set()).add(node)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_components_of_a_long_path_and_star(spark):
+    edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(200, 400)] + [(7, 7), (5, 200), (None, 3)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {k: 100 for k in range(100, 161)} | {k: 5 for k in [5, *range(200, 400)]} | {7: 7}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_substring(spark, docs, monkeypatch):
+    want = brute.without_repeats(docs)
+    for size in (1 << 23, 4000):
+        monkeypatch.setattr(substring, "BLOCK_BYTES", size)
+        same(substring.remove_repeats(frame(spark, docs)), ["doc_id", "n_words", "n_removed", "kept_sha256"], want)
+    text = substring.remove_repeats(frame(spark, docs), with_text=True)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in text.collect())
+
+
+def test_parse_is_consistent():
+    r = np.random.default_rng(1)
+    shared = r.integers(1, 40, 60).astype(np.uint64)
+    seen = []
+    for _ in range(2):
+        w = np.concatenate([[0], r.integers(1, 40, 30), shared, r.integers(1, 40, 30), [0]]).astype(np.uint64)
+        wall = np.zeros(len(w), bool)
+        wall[[0, -1]] = True
+        name, at, lo, hi = substring.parse(w, wall)
+        inside = (lo >= 31) & (hi <= 91)
+        seen.append(set(zip(name[inside].tolist(), at[inside].tolist())))
+    assert seen[0] == seen[1] and seen[0]
+
+
+def test_katz(spark, docs, monkeypatch):
+    want, model = brute.katz(docs)
+    for size in (1 << 24, 3000):
+        monkeypatch.setattr(katz, "BLOCK_BYTES", size)
+        got = katz.score(frame(spark, docs))
+        key = lambda r: (str(r[0]), r[2], round(r[5], 6), round(r[6], 6))
+        got = sorted((tuple(r) for r in got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
+        for a, b in zip(got, sorted(want, key=key), strict=True):
+            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9, abs=1e-9)
+    # every history's probabilities add up to one over all words and the unknown
+    for h in [0, "w1", "ha", "never seen"]:
+        assert sum(model.p(h, w) for w in [*model.one, "never seen either"]) == pytest.approx(1)
+
+
+def test_warc(spark):
+    long, r = "b" * 200_000, random.Random(2)
+    pages = [(1, "u", None), (2, None, "x" * 999), (3, "u", "x" * 999), (4, "u\r\nv", "y" * 1000), (9, "u", "y" * 1000), (7, "u", "y" * 1000), (10, "é", "é" * 600), (11, "u", long), (12, "u", long), (None, "u", "n" * 2000), (13, "u", "WARC/1.1\r\n\r\n" * 90), (14, "", "".join(chr(r.randint(1, 500)) for _ in range(3000)))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = new_path(spark, "w")
+    manifest = warc.write_warc(df, path, file_bytes=2000)
+    chunks = stored(warc.read_warc(manifest, path, chunk_bytes=1024), "chunks")
+    want = []
+    for i, _, t in pages:
+        b = (t or "").encode()
+        top = max((j for j, _, u in pages if u == t and j is not None), default=None)
+        again = len(b) >= 1000 and top is not None and i != top
+        want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", top if again else None))
+    same(warc.record_digests(chunks), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], want)
+    assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= 1024
+    kept = {r.record_id: bytes(r.payload).decode() for r in warc.payloads(chunks).collect()}
+    assert kept["<urn:record:12>"] == long and kept["<urn:record:13>"] == pages[10][2]
+    assert manifest.count() > 1
+
+
+def test_empty_tables(spark):
+    df = frame(spark, []).limit(0)
+    words, bytes_ = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for got in (
+        exact_dedup.duplicate_groups(df), exact_dedup.drop_duplicates(df), toxicity.classify(df, labels), orc_tokens.round_trip(df, words, "words", 2), decontam.matches(df, bench), katz.score(df), sharding.shard_by_bytes(df, 8),
+        packing.pack(df, bytes_, "bytes", 0), simhash.near_duplicates(df), substring.remove_repeats(df), warc.warc_round_trip(spark.createDataFrame([], "page_id long, html string")),
+    ):
+        assert got.count() == 0
+
+
+def test_toxicity_learns(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefghij", k=5)) for _ in range(400)]
+    docs, labels = [(None, None), (9000, ""), (9001, "lousy wretched " * 50_000)], []
+    for k in range(1200):
+        toxic = k % 5 == 0
+        w = r.choices(vocabulary, k=80)
+        if toxic:
+            w[r.randrange(80)] = "lousy"
+            w[r.randrange(80)] = "wretched"
+        docs.append((k, " ".join(w)))
+        labels.append((k, int(toxic)) if k % 7 else (k, None))
+    df = frame(spark, docs)
+    got = toxicity.classify(df, spark.createDataFrame(labels + [(None, 1), (3, 0)], "doc_id long, toxic int"))
+    out = {x.doc_id: x for x in got.collect()}
+    held = [x for x in out.values() if x.held_out and x.doc_id is not None and x.doc_id < 1200]
+    assert len(held) > 200 and all(x.predicted == (x.doc_id % 5 == 0) for x in held)
+    assert out[9001].predicted == 1 and 0 <= out[9000].score < 0.3 and 0 <= out[None].score <= 1
+    left = toxicity.without_toxic(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert left.columns == df.columns and left.count() == sum(not x.predicted for x in out.values())
+    one = toxicity.classify(df, spark.createDataFrame([(k, 0) for k in range(50)], "doc_id long, toxic int"))
+    assert one.where("predicted = 1").count() == 0
+
+
+@needs_data
+def test_queries_on_small_tables(spark, small):
+    q = lambda name: queries.QUERIES[name](spark, SMALL)
+    same(q("op1_exact_dedup"), ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], brute.exact(small))
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    same(q("op5_decontamination"), ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], brute.decontaminated(small, items))
+    same(q("op7_sharding"), ["doc_id", "size", "text_crc32", "shard", "slot"], brute.shards(small))
+    assert check_packing(q("op8_packing").collect(), small) > 0.97
+    same(q("op9_simhash"), ["doc_id", "fingerprint", "component_id"], brute.components(small))
+    same(q("op10_substring"), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.without_repeats(small))
+    got = {r.doc_id: r for r in q("op6_katz").collect()}
+    for i, held, n, known, total, base, score in brute.katz(small)[0]:
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held, n, known, total)
+        assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score)
+
+
+@needs_data
+def test_pipeline(spark, small):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    now, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in now.collect()]
+        now = stored(stage(spark, now, SMALL), "stage")
+        after = now.collect()
+        if name == "packing":
+            check_packing(after, before)
+            continue
+        assert now.columns == columns
+        kept = {r.doc_id for r in after}
+        if name == "toxicity":
+            bad = {r.doc_id for r in labels.where("toxic = 1").collect()} & {i for i, _ in before}
+            good = {r.doc_id for r in labels.where("toxic = 0").collect()} & {i for i, _ in before}
+            assert len(bad & kept) <= 0.2 * len(bad) and len(good - kept) <= 0.02 * len(good)
+        elif name == "exact dedup":
+            assert kept == {x[0] for x in brute.exact(before, largest=False) if x[3]}
+        elif name == "near dedup":
+            assert kept == {x[2] for x in brute.components(before)}
+        elif name == "decontamination":
+            assert kept == {x[0] for x in brute.decontaminated(before, items) if not x[5]}
