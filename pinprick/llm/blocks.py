@@ -32,9 +32,10 @@ TEXT = 99  # kind of the row that holds a block's texts; sorts after all answers
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one or more dtypes, compressed together."""
+    """Arrays of one or more dtypes, compressed together, like bytes of the numbers side by side."""
     head = [len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))]
-    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]), 1)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *planes]), 1)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -42,9 +43,10 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
     for kind, size in zip(head[::2], head[1::2]):
-        a = np.frombuffer(raw, np.dtype(chr(kind)), size, at)
-        at += a.nbytes
-        out.append(a)
+        dtype = np.dtype(chr(kind))
+        planes = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(-1))
+        at += size * dtype.itemsize
     return out
 
 

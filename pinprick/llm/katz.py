@@ -123,6 +123,11 @@ def _pairs(tokens: Tokens, count: np.ndarray, number: np.ndarray) -> tuple[np.nd
     return keys, place, history, word
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Histories of ascending pairs, as differences."""
+    return np.diff(keys >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32)
+
+
 def _bucket(keys: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
     """Where a pair is counted: by its history, or by the pair if the history is hot."""
     return (mix(np.where(hot, keys, keys >> np.uint64(32)), 11) % np.uint64(n)).astype(np.int64)
@@ -152,8 +157,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fo
         words, which = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         c = np.bincount(which, np.concatenate([g[1] for g in got]), len(words)).astype(np.int64)
         rank = np.full(len(words), NO_ID)
-        rank[c > 0] = np.arange((c > 0).sum(), dtype=np.uint32)
-        at, rows = 0, [(-1, TABLE, bucket, packed(words[c > 0], c[c > 0])), (-1, STATS, bucket, packed(_stats(c)))]
+        known = np.flatnonzero(c > 0)
+        rank[known[np.argsort(-c[known], kind="stable")]] = np.arange(len(known), dtype=np.uint32)  # frequent words have small ids
+        at, rows = 0, [(-1, TABLE, bucket, packed(words[known], c[known], rank[known])), (-1, STATS, bucket, packed(_stats(c)))]
         for (block, _, _), g in zip(asked, got):
             i = which[at : at + len(g[0])]
             rows.append((block, WORDS, bucket, packed(c[i], rank[i])))
@@ -176,19 +182,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fo
         keys, place, history, word = _pairs(t, count, number)
         c = np.bincount(place[t.train & (place >= 0)], minlength=len(keys)).astype(np.uint32)
         hot, single = _facts(keys, t, count, place, history)
-        rows = [(b.number, PAIRS, k, packed((keys[i] >> np.uint64(32)).astype(np.uint32), keys[i].astype(np.uint32), c[i], single[i])) for k, i in split_by(_bucket(keys, hot > scalars.hot, n), n)]
+        rows = [(b.number, PAIRS, k, packed(_steps(keys[i]), keys[i].astype(np.uint32), c[i], single[i])) for k, i in split_by(_bucket(keys, hot > scalars.hot, n), n)]
         if rows:
             yield messages(rows)
 
     def count_pairs(bucket: int, asked: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         got = [unpacked(d) for _, _, d in asked]
-        keys = [g[0].astype(np.uint64) << np.uint64(32) | g[1] for g in got]
+        keys = [np.cumsum(g[0], dtype=np.uint64) << np.uint64(32) | g[1] for g in got]
         pairs, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         c = np.bincount(which, np.concatenate([g[2] for g in got]), len(pairs)).astype(np.uint32)
         single = np.concatenate([g[3] for g in got])[first]
         seen, at = c > 0, 0
         p = pairs[seen]
-        rows = [(-1, TABLE, bucket, packed((p >> np.uint64(32)).astype(np.uint32), p.astype(np.uint32), c[seen], single[seen])), (-1, STATS, bucket, packed(_stats(c)))]
+        rows = [(-1, TABLE, bucket, packed(_steps(p), p.astype(np.uint32), c[seen], single[seen])), (-1, STATS, bucket, packed(_stats(c)))]
         for (block, _, _), k in zip(asked, keys):
             rows.append((block, PAIRS, bucket, packed(c[which[at : at + len(k)]])))
             at += len(k)
@@ -202,9 +208,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fo
         """Per history in one bucket of pairs: count, discounted count, and its words' own probability; to the history's bucket of words."""
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                h, _, c, single = unpacked(data)
-                if not len(h):
+                steps, _, c, single = unpacked(data)
+                if not len(steps):
                     continue
+                h = np.cumsum(steps, dtype=np.uint64).astype(np.uint32)
                 ids, which = np.unique(h, return_inverse=True)
                 sums = [np.bincount(which, x, len(ids)) for x in (c.astype(np.float64), scalars.pairs(c), scalars.p_word(single))]
                 yield messages([(-1, WEIGHTS, k, packed(ids[i] // np.uint32(n) if k < n else ids[i], *(s[i] for s in sums))) for k, i in split_by(np.where(ids == BEGIN_ID, n, ids % np.uint32(n)).astype(np.int64), n + 1)])
