@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked, tuned
+from .common import ranked, stored, tuned
 from .tokens import encoder
 
 
@@ -96,7 +96,9 @@ def pack(df: DataFrame, tokenizer: str, kind: str, end_id: int, size: int = 1024
     without gaps; offsets in a sequence have no gaps. An empty table gives no rows.
     """
     spark = tuned(df.sparkSession)
-    cut = ranked(pieces(df, tokenizer, kind, end_id, size, id_col=id_col, text_col=text_col, with_ids=with_ids), [F.col("length").desc(), F.col("_id"), F.col("start")], name="pieces")
+    # stored first: ranking goes over its input twice, and texts should be tokenised once
+    own = stored(pieces(df, tokenizer, kind, end_id, size, id_col=id_col, text_col=text_col, with_ids=with_ids), "pieces-cut")
+    cut = ranked(own, [F.col("length").desc(), F.col("_id"), F.col("start")], name="pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `size` rows
     first, at = {}, 0
     for length in sorted(counts, reverse=True):
