@@ -62,3 +62,56 @@ def equalize_histogram(image: DataFrame, value: str = "value", *, power: float =
     counts = at.groupBy("_b").agg(F.pow(F.count("*"), F.lit(power)).alias("_c"))  # at most n_bins rows
     cdf = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) / F.sum("_c").over(Window.partitionBy(F.lit(1)))).alias("_f"))
     return at.join(F.broadcast(cdf), "_b").withColumn(value, F.col("_f")).drop("_b", "_f", "_lo", "_hi")
+
+
+def transform_intensity(image: DataFrame, trafo: str = "standardize", value: str = "value") -> DataFrame:
+    """Image values by a named rule: none; standardize (the range to 0..1); zero (0 and the maximum to 0..1);
+    equalize (by the values above 0), equalize_all (by all), equalize_0p3 and equalize_0p3_all (counts to the power 0.3);
+    with ``_uint8`` at the end, whole numbers from 0 to 255."""
+    name = trafo.removesuffix("_uint8")
+    if name == "none":
+        out = image
+    elif name == "standardize":
+        out = adjust_contrast(image, value)
+    elif name == "zero":
+        top = image.agg(F.max(value).alias("_hi"))
+        out = image.crossJoin(F.broadcast(top)).withColumn(value, F.col(value) / F.when(F.col("_hi") != 0, F.col("_hi")).otherwise(1.0)).drop("_hi")  # one row is broadcast
+    elif name.startswith("equalize"):
+        power = 0.3 if "0p3" in name else 1
+        if name.endswith("_all"):
+            out = equalize_histogram(image, value, power=power)
+        else:
+            zero = image.where(F.col(value) <= 0).withColumn(value, F.lit(0.0))
+            out = equalize_histogram(image.where(F.col(value) > 0), value, power=power).unionByName(zero)
+    else:
+        raise ValueError(f"no rule {trafo}")
+    return out.withColumn(value, F.floor(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0)) * 255).cast("int")) if trafo.endswith("_uint8") else out
+
+
+def apply_window(image: DataFrame, bins: Bins, value: str = "value", alpha: float = 0.5) -> DataFrame:
+    """Image values tapered along each axis by a cosine over the outer ``alpha`` share."""
+    import math
+
+    out = F.col(value)
+    for k, n in enumerate(bins.n_bins):
+        at = F.col(f"b{k}") / max(n - 1, 1)
+        edge = F.least(at, 1 - at)
+        out = out * F.when(edge < alpha / 2, (1 - F.cos(2 * math.pi * edge / alpha)) / 2).otherwise(1.0)
+    return image.withColumn(value, out)
+
+
+def localization_property_2d(df: DataFrame, bins: Bins, value: str, columns: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """Mean image of a property and the Gaussian surface that fits its bins (as many numbers as bins reach the driver)."""
+    import numpy as np
+
+    from ..functions.distributions import fit_gauss_2d
+
+    image = histogram(df, bins, columns, value)
+    rows = image.dropna().toPandas()
+    x, y = (np.array(c) for c in bins.bin_centers)
+    return image, fit_gauss_2d(x[rows.b0], y[rows.b1], rows["mean"].to_numpy(float))
+
+
+def render_rgb(df: DataFrame, bins: Bins, channel: str = "channel", columns: Sequence[str] | None = None) -> DataFrame:
+    """Counts per channel and bin: one binned image per channel."""
+    return histogram(df, bins, columns, by=[channel])

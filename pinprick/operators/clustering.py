@@ -172,8 +172,8 @@ def serial_clustering(df: DataFrame, algorithm: Callable[..., DataFrame], parame
 
 
 def accumulation_check(df: DataFrame, *, region_measure: float, algorithm: Callable[[DataFrame], DataFrame], sizes: Sequence[int], n_extrapolate: int = 5, id_col: str = "index", seed: int = 0) -> DataFrame:
-    """(n, density, eta, rho, rho_0): clusters of random subsets of growing size; eta is the covered share of the region, rho
-    the density within clusters, rho_0 its value extrapolated to eta 0 from the first subsets."""
+    """(n, density, eta, rho, rho_0, rho_rel): clusters of random subsets of growing size; eta is the covered share of the
+    region, rho the density within clusters, rho_0 its value extrapolated to density 0 from the first subsets (1 if that is not positive)."""
     from .filters import random_subset
     from .properties import collection_properties
 
@@ -184,6 +184,6 @@ def accumulation_check(df: DataFrame, *, region_measure: float, algorithm: Calla
         own = boxes.agg(F.sum("region_measure_bb").alias("covered"), F.avg("localization_density_bb").alias("rho")).select(F.lit(n).alias("n"), F.lit(n / region_measure).alias("density"), (F.coalesce("covered", F.lit(0.0)) / region_measure).alias("eta"), "rho")
         parts = own if parts is None else parts.unionByName(own)
     parts = written(parts)
-    first = parts.orderBy("n").limit(n_extrapolate)
-    zero = first.agg(F.regr_intercept("rho", "eta").alias("rho_0"))
+    first = parts.where("rho is not null").orderBy("n").limit(n_extrapolate)
+    zero = first.agg(F.regr_intercept("rho", "density").alias("rho_0")).select(F.when(F.col("rho_0") <= 0, 1.0).otherwise(F.col("rho_0")).alias("rho_0"))
     return parts.crossJoin(F.broadcast(zero)).withColumn("rho_rel", F.col("rho") / F.col("rho_0"))  # one row is broadcast

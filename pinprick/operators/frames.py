@@ -13,6 +13,11 @@ from ..catalog import coordinates
 from .spatial import radius_pairs
 
 
+def localization_property(df: DataFrame, name: str = "intensity", index: str | None = None) -> DataFrame:
+    """One property, along an index column and in its order if given."""
+    return df.select(name) if index is None else df.select(index, name).orderBy(index)
+
+
 def localizations_per_frame(df: DataFrame, *, norm: float | None = None, by: Sequence[str] = (), frame: str = "frame") -> DataFrame:
     """Count per frame that occurs, over ``norm`` if given."""
     out = df.groupBy(*by, frame).agg(F.count("*").alias("n"))

@@ -211,3 +211,38 @@ def hull_expectation(hulls: DataFrame, column: str = "region_measure_ch", sigma:
     counts = [r["localization_count"] for r in out.select("localization_count").toLocalIterator()]  # distinct group sizes
     table = hulls.sparkSession.createDataFrame([(int(n), expected_hull_area(int(n), sigma)) for n in counts], "localization_count long, expectation double")
     return out.join(table, "localization_count").withColumn("ratio", F.col(f"{column}_mean") / F.when(F.col("expectation") > 0, F.col("expectation")))
+
+
+def hull_expectation_batch(sets: Sequence[DataFrame], by: str = "cluster_label", sigma: float = 1) -> DataFrame:
+    """Hulls of the groups of several sets pooled, beside what is expected of their sizes."""
+    pooled = None
+    for df in sets:
+        own = convex_hulls(df, by).select("localization_count", "region_measure_ch")
+        pooled = own if pooled is None else pooled.unionByName(own)
+    return hull_expectation(pooled, sigma=sigma)
+
+
+def localizations_in_hulls(df: DataFrame, collection: DataFrame, by: str = "cluster_label", cell: float | None = None) -> DataFrame:
+    """Rows of ``df`` with the ``region_id`` of each convex hull of the collection's groups that holds them.
+
+    Hulls are listed under the grid cells that their boxes cover and meet the points by cell; the exact
+    test is an expression over the hull's corners, boundaries included.
+    """
+    x, y = check_columns(df.columns, None)[:2]
+    kind = dict(collection.dtypes)[by]
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = convex_hull(pdf[["x", "y"]].to_numpy())
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "vx": [v[:, 0].tolist()], "vy": [v[:, 1].tolist()]})
+
+    hulls = hull_vertices(collection, by).groupBy(by).applyInPandas(corners, f"`{by}` {kind}, vx array<double>, vy array<double>").where(F.size("vx") > 2)
+    box = hulls.select(F.col(by).alias("region_id"), "vx", "vy", F.array_min("vx").alias("x0"), F.array_max("vx").alias("x1"), F.array_min("vy").alias("y0"), F.array_max("vy").alias("y1"))
+    if cell is None:
+        cell = box.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
+    at = lambda c: F.floor(F.col(c) / cell)
+    box = box.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
+    points = df.withColumns({"gx": F.floor(F.col(x) / cell), "gy": F.floor(F.col(y) / cell)})
+    n = F.size("vx")
+    turn = lambda k: (F.get("vx", (k + 1) % n) - F.get("vx", k)) * (F.col(y) - F.get("vy", k)) - (F.get("vy", (k + 1) % n) - F.get("vy", k)) * (F.col(x) - F.get("vx", k))
+    inside = F.forall(F.sequence(F.lit(0), n - 1), lambda k: turn(k) >= 0)
+    return points.join(box, ["gx", "gy"]).where(inside).select(*df.columns, "region_id")

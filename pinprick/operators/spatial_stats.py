@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import coordinates
+from ..functions.regions import Box
 from .spatial import neighbor_counts, nearest_neighbors, radius_pairs
 
 
@@ -17,25 +18,48 @@ def ball(radius: float, dimension: int) -> float:
     return {1: 2 * radius, 2: math.pi * radius * radius, 3: 4 / 3 * math.pi * radius**3}[dimension]
 
 
-def local_density(points: DataFrame, other: DataFrame | None = None, *, radii: Sequence[float], density: bool = True, normalization: float | None = None, id_col: str = "index") -> DataFrame:
-    """``local_density_<k>`` per point and radius: points around less one (the point itself in self mode;
-    in cross mode one is subtracted as well), over the ball's measure if ``density``, over ``normalization``."""
+def local_density(points: DataFrame, other: DataFrame | None = None, *, radii: Sequence[float], density: bool = True, boundary: Box | None = None, normalization: float | None = None, id_col: str = "index") -> DataFrame:
+    """``local_density_<k>`` per radius: points around each point less one, over the ball's measure (in one dimension
+    the radius) if ``density``, over the share of the ball that lies in ``boundary`` (a 2-D box), over ``normalization``.
+
+    With another set the counts are of ``points`` around each of the others, one subtracted as well.
+    """
     d = len(coordinates(points.columns))
-    counts = neighbor_counts(points, other, radii=radii, id_col=id_col)
+    where = points if other is None else other
     less = 0 if other is None else 1
-    return counts.select(id_col, *(((F.col(f"n{k}") - less) / ((ball(r, d) if density else 1.0) * (normalization or 1.0))).alias(f"local_density_{k}") for k, r in enumerate(radii)))
+    counts = neighbor_counts(where, None if other is None else points, radii=radii, id_col=id_col)
+    measure = [(r if d == 1 else ball(r, d)) if density else 1.0 for r in radii]
+    out = counts.select(id_col, *(((F.col(f"n{k}") - less) / (m * (normalization or 1.0))).alias(f"local_density_{k}") for k, m in enumerate(measure)))
+    if boundary is None:
+        return out
+    if d != 2:
+        raise NotImplementedError("boundary correction is for two dimensions")
+    x, y = coordinates(where.columns)
+    share = where.select(id_col, *(_overlap(F.col(x), F.col(y), float(r), boundary).alias(f"_s{k}") for k, r in enumerate(radii)))
+    return out.join(share, id_col).select(id_col, *((F.col(f"local_density_{k}") / F.col(f"_s{k}")).alias(f"local_density_{k}") for k in range(len(radii))))
+
+
+def _overlap(x: Column, y: Column, radius: float, box: Box, steps: int = 200) -> Column:
+    """Share of a disc that lies in a box: its strips at evenly spaced angles, each cut to the box."""
+    (x0, x1), (y0, y1) = box.bounds
+    total = F.lit(0.0)
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: (k + 0.5) * math.pi / steps - math.pi / 2)
+    strip = lambda t: F.when((x + radius * F.sin(t) >= x0) & (x + radius * F.sin(t) <= x1), F.greatest(F.lit(0.0), F.least(F.lit(y1), y + radius * F.cos(t)) - F.greatest(F.lit(y0), y - radius * F.cos(t))) * F.cos(t)).otherwise(0.0)
+    area = F.aggregate(F.transform(nodes, strip), total, lambda acc, v: acc + v) * (radius * math.pi / steps)
+    return area / (math.pi * radius * radius)
 
 
 def ripley(points: DataFrame, other: DataFrame | None = None, *, radii: Sequence[float], region_measure: float = 1, id_col: str = "index") -> DataFrame:
-    """(radius, ripley_k, ripley_l, ripley_h): K = A/(n(m-1)) times all neighbours less one per point, L its radius in a
-    uniform field, H = L - r. One join at the largest radius, then one row per radius."""
+    """(radius, ripley_k, ripley_l, ripley_h): K = A/(n(m-1)) times the sum over all m query points (the others, or
+    the points themselves) of the n points around each, less one; L is the radius that K has in a uniform field, H = L - r.
+    One join at the largest radius, then one row per radius."""
     d = len(coordinates(points.columns))
     less = 0 if other is None else 1
-    counts = neighbor_counts(points, other, radii=radii, id_col=id_col)
-    sums = counts.agg(F.count("*").alias("n"), *(F.sum(F.col(f"n{k}") - less).alias(f"s{k}") for k in range(len(radii))))
+    counts = neighbor_counts(points if other is None else other, None if other is None else points, radii=radii, id_col=id_col)
+    sums = counts.agg(F.count("*").alias("m"), *(F.sum(F.col(f"n{k}") - less).alias(f"s{k}") for k in range(len(radii))))
     # one row against one row
-    m = sums.select(F.col("n").alias("m")) if other is None else other.agg(F.count("*").alias("m"))
-    rows = sums.crossJoin(m).select("n", "m", F.explode(F.array(*(F.struct(F.lit(float(r)).alias("radius"), F.col(f"s{k}").alias("s")) for k, r in enumerate(radii)))).alias("r"))
+    n = sums.select(F.col("m").alias("n")) if other is None else points.agg(F.count("*").alias("n"))
+    rows = sums.crossJoin(n).select("n", "m", F.explode(F.array(*(F.struct(F.lit(float(r)).alias("radius"), F.col(f"s{k}").alias("s")) for k, r in enumerate(radii)))).alias("r"))
     k = F.lit(float(region_measure)) / (F.col("n") * (F.col("m") - 1)) * F.col("r.s")
     out = rows.select(F.col("r.radius").alias("radius"), k.alias("ripley_k"))
     ell = {1: F.col("ripley_k") / 2, 2: F.sqrt(F.col("ripley_k") / math.pi), 3: F.cbrt(F.col("ripley_k") * (3 / 4) / math.pi)}[d]
@@ -48,7 +72,7 @@ def ripley_h_maximum(table: DataFrame) -> DataFrame:
     return table.agg(best.alias("m")).select((-F.col("m.r")).alias("radius"), F.col("m.ripley_h").alias("ripley_h"))
 
 
-def radial_distribution(points: DataFrame, other: DataFrame | None = None, *, edges: Sequence[float], density: float, id_col: str = "index", by: Sequence[str] = ()) -> DataFrame:
+def radial_distribution(points: DataFrame, other: DataFrame | None = None, *, edges: Sequence[float], density: float, id_col: str = "index") -> DataFrame:
     """(radius, delta_radius, n, rdf) for bins of pair distance: 2 n / (points x density of the others x shell),
     the factor 2 in the cross case too. Distances come from the grid join at the last edge, so only near
     pairs are ever made; the last bin is closed on the right. Empty bins are listed."""
@@ -67,6 +91,15 @@ def radial_distribution(points: DataFrame, other: DataFrame | None = None, *, ed
     return out.select("radius", "delta_radius", "n", (F.col("n") * 2 / (F.col("_total") * F.lit(float(density)) * F.col("shell"))).alias("rdf"))
 
 
+def radial_distribution_batch(sets: Sequence[DataFrame], *, edges: Sequence[float], densities: Sequence[float]) -> DataFrame:
+    """Long form over several sets: ``dataset_id`` and the columns of :func:`radial_distribution`; one plan."""
+    out = None
+    for k, (points, density) in enumerate(zip(sets, densities, strict=True)):
+        own = radial_distribution(points, edges=edges, density=density).withColumn("dataset_id", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def colocalization(points: DataFrame, other: DataFrame | None = None, *, radius: float = 100, n_steps: int = 10, id_col: str = "index") -> DataFrame:
     """(id, cbc): rank correlation of the cumulative neighbour counts in ``n_steps`` rings of own and other points, each
     per ring area, times exp(-farthest other / radius); null without own or other neighbours.

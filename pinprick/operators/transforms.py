@@ -119,6 +119,25 @@ def unwarp(df: DataFrame, dx: np.ndarray, dy: np.ndarray, pixel_size: float) ->
     return out.select(*df.columns)
 
 
+def read_bunwarp_matrix(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) matrices of a raw transformation file: lines of width and height, then each matrix as rows under a title."""
+    with open(path) as f:
+        lines = f.read().splitlines()
+    width, height = (int(line.split("=")[1]) for line in lines[:2])
+    numbers = [np.array(line.split(), float) for line in lines[2:] if line.split() and line.split()[0].lstrip("-").replace(".", "", 1).isdigit()]
+    both = np.concatenate(numbers).reshape(2, height, width)
+    return both[0], both[1]
+
+
+def bunwarp(df: DataFrame, path: str, pixel_size: float, flip: bool = False) -> DataFrame:
+    """Coordinates through a raw transformation file; ``flip`` mirrors x about the image's width before and after."""
+    mx, my = read_bunwarp_matrix(path)
+    width = mx.shape[1] * pixel_size
+    x = coordinates(df.columns)[0]
+    out = unwarp(df.withColumn(x, width - F.col(x)) if flip else df, mx, my, pixel_size)
+    return out.withColumn(x, width - F.col(x)) if flip else out
+
+
 @dataclass(frozen=True)
 class Transformation:
     matrix: np.ndarray

@@ -323,6 +323,24 @@ def _(s, d):
     return r(spatial_stats.ripley_h_maximum(_ripley(s, d)), "ripley_h", digits=9)
 
 
+@query("ripley_k_cross", sql(f"SELECT CAST(radius AS DOUBLE) AS radius, round(1.0 / (n * (m - 1)) * (c - m), 9) AS ripley_k FROM (SELECT radius, (SELECT count(*) FROM loc_emb WHERE cluster_label < 5) AS n, (SELECT count(*) FROM loc_emb WHERE cluster_label >= 5) AS m, (SELECT count(*) FROM loc_emb a, loc_emb b WHERE a.cluster_label < 5 AND b.cluster_label >= 5 AND {D12} <= radius) AS c FROM (VALUES (0.01), (0.02), (0.03), (0.05)) v(radius))"))
+def _(s, d):
+    p = loc_emb_2d(s, d)
+    out = spatial_stats.ripley(p.where("cluster_label < 5"), p.where("cluster_label >= 5"), radii=RADII)
+    return r(out.select("radius", "ripley_k"), "ripley_k", digits=9)
+
+
+@query("localizations_in_hulls")
+def _(s, d):
+    p = loc_emb_2d(s, d)
+    return hulls.localizations_in_hulls(p, p.where("cluster_label < 4")).select("index", "region_id")
+
+
+@query("localization_property", sql("SELECT frame, intensity FROM loc_li"))
+def _(s, d):
+    return frames.localization_property(loc_li(s, d), "intensity", "frame")
+
+
 @query("radial_distribution", sql("SELECT round(k * 0.01, 6) AS radius, 0.01 AS delta_radius, count(d) AS n, round(count(d) * 2 / ((SELECT count(*) FROM loc_emb) * 500 * pi() * (power((k + 1) * 0.01, 2) - power(k * 0.01, 2))), 6) AS rdf FROM (SELECT unnest(range(0, 6)) AS k) LEFT JOIN (SELECT d FROM pairs WHERE i < j) ON d >= k * 0.01 AND d < (k + 1) * 0.01 GROUP BY k", PAIRS))
 def _(s, d):
     out = spatial_stats.radial_distribution(loc_emb_2d(s, d), edges=[k * 0.01 for k in range(7)], density=500)

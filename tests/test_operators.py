@@ -238,6 +238,34 @@ def test_colocalization_of_itself(spark):
     assert len(got) == 200 and all(v is None or -1 <= v <= 1 for v in got)
 
 
+def test_boundary_correction_and_hull_join(spark, points):
+    df = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.5, 0.5), (2, 5.0, 0.0)], "index long, position_x double, position_y double")
+    box = regions.AxisOrientedRectangle((0, 0), 10, 10)
+    plain = dict(spatial_stats.local_density(df, radii=[1.0]).collect())
+    cut = dict(spatial_stats.local_density(df, radii=[1.0], boundary=box).collect())
+    assert cut[0] == pytest.approx(4 * plain[0], rel=1e-3) and plain[2] == cut[2] == 0
+    square = spark.createDataFrame([(7, float(a), float(b)) for a in (0, 4) for b in (0, 4)] + [(8, 4.5, 4.5), (8, 6.0, 4.5), (8, 5.0, 7.0)], "cluster_label long, position_x double, position_y double")
+    got = hulls.localizations_in_hulls(points, square)
+    assert values(got, "index", "region_id") == [(0, 7), (2, 7), (4, 7), (5, 8)]
+
+
+def test_images(spark):
+    image = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 3.0), (3, 4.0)], "b0 int, value double")
+    look = lambda name: [v for _, v in values(binned.transform_intensity(image, name), "b0", "value")]
+    assert look("standardize") == [0, 0.25, 0.75, 1] and look("zero_uint8") == [0, 63, 191, 255] and look("none") == [0, 1, 3, 4]
+    assert look("equalize_all") == pytest.approx([0.25, 0.5, 0.75, 1]) and look("equalize") == pytest.approx([0, 1 / 3, 2 / 3, 1])
+    tapered = binned.apply_window(image, Bins.of(n_bins=4, bin_range=(0, 4)), alpha=1.0)
+    assert [v for _, v in values(tapered, "b0", "value")][0] == 0
+
+
+def test_warp_file(spark, points, tmp_path):
+    rows = lambda m: "\n".join(" ".join(f"{v:.1f}" for v in line) for line in m)
+    x, y = np.meshgrid(np.arange(8.0), np.arange(8.0))
+    (tmp_path / "raw.txt").write_text(f"Width=8\nHeight=8\n\nX Trans -----\n{rows(x + 1)}\n\nY Trans -----\n{rows(y)}\n")
+    out = transforms.bunwarp(points, str(tmp_path / "raw.txt"), 1.0)
+    assert values(out, "index", "position_x", "position_y") == values(points.withColumn("position_x", F.col("position_x") + 1), "index", "position_x", "position_y")
+
+
 def test_simulations(spark):
     a = simulate.simulate_uniform(spark, 300, regions.Ellipse((0, 0), 2, 1), seed=1)
     assert a.count() == 300 and filters.select_by_region(a, regions.Ellipse((0, 0), 2, 1)).count() == 300
