@@ -116,7 +116,8 @@ def colocalization(points: DataFrame, other: DataFrame | None = None, *, radius:
     both = own.join(rings(mine, "b"), "id1")
     out = both
     for side in "ab":
-        values = [F.col(f"{side}{k}") * (radius**2 / ((k + 1) * radius / n_steps) ** 2) / F.col(f"{side}{n_steps - 1}") for k in range(n_steps)]
+        # ranks need no common factors, and without them equal ratios are equal numbers
+        values = [F.col(f"{side}{k}") / float((k + 1) ** 2) for k in range(n_steps)]
         out = out.withColumn(f"_{side}", F.array(*values))
         out = out.withColumn(f"_{side}", _ranks(f"_{side}"))
     mean = n_steps / 2
