@@ -341,7 +341,7 @@ def _(s, d):
     return frames.localization_property(loc_li(s, d), "intensity", "frame")
 
 
-@query("radial_distribution", sql("SELECT round(k * 0.01, 6) AS radius, 0.01 AS delta_radius, count(d) AS n, round(count(d) * 2 / ((SELECT count(*) FROM loc_emb) * 500 * pi() * (power((k + 1) * 0.01, 2) - power(k * 0.01, 2))), 6) AS rdf FROM (SELECT unnest(range(0, 6)) AS k) LEFT JOIN (SELECT d FROM pairs WHERE i < j) ON d >= k * 0.01 AND d < (k + 1) * 0.01 GROUP BY k", PAIRS))
+@query("radial_distribution", sql("SELECT CAST(round(k * 0.01, 6) AS DOUBLE) AS radius, CAST(0.01 AS DOUBLE) AS delta_radius, count(d) AS n, round(count(d) * 2 / ((SELECT count(*) FROM loc_emb) * 500 * pi() * (power((k + 1) * 0.01, 2) - power(k * 0.01, 2))), 6) AS rdf FROM (SELECT unnest(range(0, 6)) AS k) LEFT JOIN (SELECT d FROM pairs WHERE i < j) ON d >= k * 0.01 AND d < (k + 1) * 0.01 GROUP BY k", PAIRS))
 def _(s, d):
     out = spatial_stats.radial_distribution(loc_emb_2d(s, d), edges=[k * 0.01 for k in range(7)], density=500)
     return r(out, "radius", "delta_radius", "rdf")
