@@ -11,11 +11,10 @@ once per block, so no bucket is larger than the number of blocks times its disti
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -160,28 +159,65 @@ def swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-class Hashes(dict):
-    """64-bit hash of each word met; emptied when it grows too large."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < self.MOST and len(word) <= 64:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-#: One per Python worker.
-HASHES = Hashes()
-
-
 def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """A 64-bit name for the pairs (a, b), order counting."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+CHUNK = 1 << 18
+
+
+def _factors(n: int) -> np.ndarray:
+    """A fixed 64-bit factor for each place in a word."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64), 0xC0FFEE) | np.uint64(1)
+
+
+_FACTORS = [_factors(256)]
+
+
+def word_hashes(texts: Iterable[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of anything but ASCII white space) in order, and each text's number of words.
+
+    A word's hash is the mixed sum of its bytes times the factors of their places. Texts are gone
+    through some hundred kilobytes at a time, so that the arrays stay in cache; ``lower`` folds A-Z.
+    """
+    hashes, counts, held, size = [], [], [], 0
+
+    def flush() -> None:
+        raw = np.frombuffer(b" ".join(held), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in held])
+        raw = _LOWER[raw] if lower else raw
+        space = _SPACE[raw]
+        first = ~space
+        first[1:] &= space[:-1]
+        starts = np.flatnonzero(first)
+        counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+        if not len(starts):
+            return
+        raw, space, first = raw[starts[0] :], space[starts[0] :], first[starts[0] :]
+        starts = (starts - starts[0]).astype(np.int32)
+        place = np.arange(len(raw), dtype=np.int32) - starts[np.cumsum(first, dtype=np.int32) - 1]
+        place[space] = 0
+        longest = int(place.max()) + 1
+        if longest > len(_FACTORS[0]):
+            _FACTORS[0] = _factors(2 * longest)
+        values = (raw.astype(np.uint64) + np.uint64(1)) * _FACTORS[0][place]
+        values[space] = 0
+        hashes.append(mix(np.add.reduceat(values, starts), 0))
+
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size >= CHUNK:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(counts) if counts else np.zeros(0, np.int64)

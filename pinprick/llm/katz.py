@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import HASHES, MESSAGE, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked
+from .blocks import MESSAGE, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked, word_hashes
 from .common import stored
 
 BLOCK_BYTES, LARGEST = 16 << 20, 5
@@ -86,12 +86,11 @@ class Tokens:
     """A block's tokens as places in its sorted distinct words, text after text, each with its end."""
 
     def __init__(self, b: Block, folds: int, fold: int) -> None:
-        h = []
-        for t in b.texts():
-            w = HASHES.of(t.lower().split())
-            h += [np.where(w <= BEGIN, w + np.uint64(3), w), np.array([END])]
-        self.size = np.array([len(x) + 1 for x in h[::2]], np.int64)
-        self.words, self.at = np.unique(np.concatenate(h) if h else np.zeros(0, np.uint64), return_inverse=True)
+        h, n = word_hashes(b.texts(), lower=True)
+        h = np.where(h <= BEGIN, h + np.uint64(3), h)
+        h = np.insert(h, np.cumsum(n), END)
+        self.size = n + 1
+        self.words, self.at = np.unique(h, return_inverse=True)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
         self.train = np.repeat(training(b.ids, folds, fold), self.size)
 

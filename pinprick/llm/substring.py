@@ -17,7 +17,7 @@ Spark round compares the word sequences by 96-bit fingerprints and finds the sma
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import HASHES, MESSAGE, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked
+from .blocks import MESSAGE, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked, word_hashes
 from .common import dropped, stored
 
-ROUNDS, BLOCK_BYTES = 5, 8 << 20
-SYMBOLS, WINDOWS, COPIES = 1, 2, 3  # kinds of messages
+ROUNDS, BLOCK_BYTES, PIECE = 5, 8 << 20, 40_000
+SYMBOLS, WINDOWS, COPIES, SUMMARY = 1, 2, 3, 4  # kinds of messages
 LAST = np.iinfo(np.int64).max  # place of a null id: after every id
 
 
@@ -77,30 +77,37 @@ def parse(words: np.ndarray, wall: np.ndarray, rounds: int = ROUNDS) -> tuple[np
 class Words:
     """A block's words as hashes, documents between walls."""
 
-    def __init__(self, block: Block, skip: set[int] = frozenset()) -> None:
-        parts, self.first, self.count, at = [np.zeros(1, np.uint64)], [], [], 1
-        for k, text in enumerate(block.texts()):
-            h = HASHES.of(text.split()) if k not in skip else np.zeros(0, np.uint64)
-            parts += [h, np.zeros(1, np.uint64)]
-            self.first.append(at)
-            self.count.append(len(h))
-            at += len(h) + 1
-        self.hash = np.concatenate(parts)
+    def __init__(self, texts: Iterable[bytes]) -> None:
+        h, self.count = word_hashes(texts)
+        n = len(self.count)
+        ends = np.cumsum(self.count)
+        self.first = ends - self.count + 1 + np.arange(n)
+        self.hash = np.insert(h, np.concatenate([[0], ends]), np.uint64(0))
         self.wall = np.zeros(len(self.hash), bool)
-        self.wall[[0, *(f + n for f, n in zip(self.first, self.count))]] = True
-        self.doc = np.repeat(np.arange(len(self.count)), [n + 1 for n in self.count])
-        self.doc = np.concatenate([[0], self.doc]).astype(np.int32)
+        self.wall[[0]] = True
+        self.wall[self.first + self.count] = True
+        self.doc = np.concatenate([[0], np.repeat(np.arange(n), self.count + 1)]).astype(np.int32)
+
+    def parsed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all documents, parsed some documents at a time so that the arrays stay in cache."""
+        cuts, walls = [0], np.flatnonzero(self.wall)
+        for w in walls[1:].tolist():
+            if w - cuts[-1] >= PIECE or w == walls[-1]:
+                cuts.append(w)
+        parts = [tuple(x if k == 0 else x + a for k, x in enumerate(parse(self.hash[a : z + 1], self.wall[a : z + 1]))) for a, z in zip(cuts, cuts[1:])]
+        return tuple(map(np.concatenate, zip(*parts))) if parts else parse(self.hash, self.wall)
 
 
 def _symbol_keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names, whether two documents here hold each, and each symbol's place among them."""
-    name, at, lo, hi = parse(words.hash, words.wall)
+    name, at, lo, hi = words.parsed()
     keys, which = np.unique(name, return_inverse=True)
     doc = words.doc[at]
-    low, high = np.full(len(keys), len(words.count), np.int64), np.full(len(keys), -1, np.int64)
-    np.minimum.at(low, which, doc)
-    np.maximum.at(high, which, doc)
-    return keys, low < high, which, lo, hi
+    any_ = np.empty(len(keys), np.int32)
+    any_[which] = doc  # of some occurrence; a second document shows by differing from it
+    twice = np.zeros(len(keys), bool)
+    twice[which[doc != any_[which]]] = True
+    return keys, twice, which, lo, hi
 
 
 def _fingerprints(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,19 +144,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Copies of whole word sequences: only those with the smallest id go on.
     def summarise(b: Block) -> Iterator[pa.RecordBatch]:
         words = [t.split() for t in b.texts()]
-        m = len(words)
+        m, sha, n_words = len(words), [hashlib.sha256(b" ".join(w)).digest() for w in words], np.array([len(w) for w in words], np.int64)
+        note = packed(n_words, np.frombuffer(b"".join(sha), np.uint8))
+        # one row per document, and one for the block
+        columns = [np.arange(m + 1) - 1, np.concatenate([[LAST], _order(b.ids)]), np.concatenate([[0], n_words])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([b.number] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array(_order(b.ids)), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int64())], names=["block", "ord", "place", "sha", "n_words"]
+            [pa.array([b.number] * (m + 1), pa.int64()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array([None, *sha], pa.binary()), pa.array(columns[2], pa.int64()), pa.array([note] + [None] * m, pa.binary())],
+            names=["block", "ord", "place", "sha", "n_words", "note"],
         )
 
-    whole = stored(each_block(blocks, summarise, "block long, ord int, place long, sha binary, n_words long"), "substring-docs")
-    firsts = whole.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("place").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    copies = whole.join(firsts, "sha").where("place > _least").select("block", F.col("ord"))
+    whole = stored(each_block(blocks, summarise, "block long, ord int, place long, sha binary, n_words long, note binary"), "substring-docs")
+    summary = whole.where("ord < 0").select("block", F.lit(SUMMARY).alias("kind"), F.lit(0).alias("bucket"), F.col("note").alias("data"))
+    long = whole.where((F.col("ord") >= 0) & (F.col("n_words") >= window)).select("block", "ord", "place", "sha")
+    firsts = stored(long.groupBy("sha").agg(F.min("place").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "substring-firsts")
+    # a text with very many copies is a skewed key of a plain join, which adaptive execution splits
+    copies = stored(long.join(firsts, "sha").where("place > _least").select("block", "ord"), "substring-later")
     copies = copies.groupBy("block").agg(F.collect_list("ord").alias("_o"))  # at most a block's documents
     copies = stored(copies.select("block", F.lit(COPIES).alias("kind"), F.lit(0).alias("bucket"), F.concat_ws(",", F.col("_o").cast("array<string>")).cast("binary").alias("data")), "substring-copies")
 
     def ask_symbols(b: Block) -> Iterator[pa.RecordBatch]:
-        keys, twice, *_ = _symbol_keys(Words(b))
+        keys, twice, *_ = _symbol_keys(Words(b.texts()))
         rows = [(b.number, SYMBOLS, k, packed(keys[i], twice[i])) for k, i in split_by((keys % np.uint64(n)).astype(np.int64), n)]
         if rows:
             yield messages(rows)
@@ -172,7 +186,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask_windows(b: Block) -> Iterator[pa.RecordBatch]:
         skip = _skipped(b)
-        words = Words(b)
+        words = Words(b.texts())
         keys, _, which, lo, hi = _symbol_keys(words)
         shared = np.ones(len(keys), bool)
         answers = dict(b.told.get(SYMBOLS, []))
@@ -184,11 +198,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.add.at(ruled, lo[alone] + 1, -1)
         open_ = np.cumsum(ruled)[: len(words.hash)] == 0
         ok = np.zeros(len(words.hash), bool)
-        for k, (f, c) in enumerate(zip(words.first, words.count)):
+        for k, (f, c) in enumerate(zip(words.first.tolist(), words.count.tolist())):
             if c >= window and k not in skip:
                 ok[f : f + c - window + 1] = True
         at = np.flatnonzero(open_ & ok)
-        rows = [(b.number, WINDOWS, -1, packed(words.doc[at], (at - np.array(words.first)[words.doc[at]]).astype(np.int32)))]  # the block's own note of what it asked
+        rows = [(b.number, WINDOWS, -1, packed(words.doc[at], (at - words.first[words.doc[at]]).astype(np.int32)))]  # the block's own note of what it asked
         if len(at):
             x, y = _fingerprints(words.hash, window)
             x, y = x[at], y[at]
@@ -224,13 +238,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(b: Block) -> Iterator[pa.RecordBatch]:
         skip, answers = _skipped(b), dict(b.told.get(WINDOWS, []))
         doc, at = unpacked(answers[-1])
-        words = cover = None
+        n_words, sha = unpacked(b.told[SUMMARY][0][1])
+        texts, gone = list(b.texts()), {}
         if len(at):
-            words = Words(b, skip)
-            here = at + np.array(words.first)[doc]
+            some, doc = np.unique(doc, return_inverse=True)  # documents that have windows left
+            words = Words(texts[k] for k in some.tolist())
+            here = at + words.first[doc]
             x, y = _fingerprints(words.hash, window)
             x, y = x[here], y[here]
-            place = _order(b.ids)[doc]
+            place = _order(b.ids)[some][doc]
             order = np.lexsort((place, y, x))
             new = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])
             group = np.empty(len(x), np.int64)
@@ -244,22 +260,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + window, -1)
             cover = np.cumsum(cover) > 0
+            gone = {k: g for k, f, c in zip(some.tolist(), words.first.tolist(), words.count.tolist()) if (g := cover[f : f + c]).any()}
         out = []
-        for k, text in enumerate(b.texts()):
-            w = text.split()
-            kept = w
+        for k, text in enumerate(texts):
+            total, digest = int(n_words[k]), sha[32 * k : 32 * k + 32].tobytes().hex()
             if k in skip:
                 kept = []
-            elif cover is not None:
-                gone = cover[words.first[k] : words.first[k] + len(w)]
-                if gone.any():
-                    kept = [x for x, g in zip(w, gone.tolist()) if not g]
+            elif k in gone:
+                kept = [x for x, g in zip(text.split(), gone[k].tolist()) if not g]
+            elif not with_text:
+                out.append((b.ids[k], total, 0, digest))
+                continue
+            else:
+                kept = text.split()
             joined = b" ".join(kept)
-            out.append((b.ids[k], len(w), len(w) - len(kept), hashlib.sha256(joined).hexdigest(), *([joined.decode()] * with_text)))
+            out.append((b.ids[k], total, total - len(kept), hashlib.sha256(joined).hexdigest(), *([joined.decode()] * with_text)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=schema.names)
 
     notes = asked.where("bucket < 0")
-    return each_block(blocks, cut, schema, notes, found, copies).withColumnRenamed("doc_id", id_col)
+    return each_block(blocks, cut, schema, notes, found, copies, summary).withColumnRenamed("doc_id", id_col)
 
 
 def _skipped(b: Block) -> set[int]:
