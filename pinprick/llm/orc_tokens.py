@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_partitions, new_path, ranked, tuned
+from .common import n_partitions, new_path, ranked, stored, tuned
 from .tokens import encoder
 
 
@@ -78,7 +78,8 @@ def digests(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[4 * i : 4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=schema.names)
 
-    rows = ranked(tokens.select("doc_id", "ids").mapInArrow(run, schema), [F.col("doc_id"), F.col("n_tokens"), F.col("ids_crc32")], ["n_tokens"], "token-digests")
+    own = stored(tokens.select("doc_id", "ids").mapInArrow(run, schema), "token-rows")  # ranking goes over its input twice
+    rows = ranked(own, [F.col("doc_id"), F.col("n_tokens"), F.col("ids_crc32")], ["n_tokens"], "token-digests")
     return rows.select("doc_id", F.col("_before_n_tokens").alias("start"), "n_tokens", "ids_crc32")
 
 
