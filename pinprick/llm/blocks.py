@@ -11,6 +11,7 @@ once per block, so no bucket is larger than the number of blocks times its disti
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -155,8 +156,10 @@ def split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def swept(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps whose results are stored by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go reaches the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
