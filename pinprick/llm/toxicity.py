@@ -91,7 +91,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, ro
     return Model(out, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, keep: int = 12_000, alpha: float = 1.0, l2: float = 1e-5, rounds: int = 250) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, keep: int = 4_000, alpha: float = 1.0, l2: float = 1e-6, rounds: int = 1000) -> Model:
     """Fit on at most ``max_rows`` labelled rows, drawn by a hash of the id.
 
     The bound is on the sample the model is fitted on, nothing else; of its n-grams the
