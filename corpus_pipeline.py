@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pinprick.llm import decontam, exact_dedup, packing, simhash, toxicity
+from pinprick.llm import decontam, exact_dedup, packing, similar, toxicity
 from pinprick.llm.common import stored
 
 
@@ -20,8 +20,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of close fingerprints, the document with the smallest id."""
-    return simhash.one_of_each(docs)
+    """Of each component of five-word Jaccard similarities of at least 0.8, the document with the smallest id."""
+    return similar.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", detoxify), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("decontamination", decontaminate), ("packing", pack)]
 
-#: Neither the classifier nor the fingerprints can be written in SQL; the tests hold each stage against a brute-force version.
+#: The classifier cannot be written in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
