@@ -333,7 +333,7 @@ def _(s, d):
 @query("localizations_in_hulls")
 def _(s, d):
     p = loc_emb_2d(s, d)
-    return hulls.localizations_in_hulls(p, p.where("cluster_label < 4")).select("index", "region_id")
+    return hulls.localizations_in_hulls(p, p).select("index", "region_id")
 
 
 @query("localization_property", sql("SELECT frame, intensity FROM loc_li"))
