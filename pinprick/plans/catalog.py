@@ -244,7 +244,7 @@ def _(s, d):
 
 @query("cluster_hdbscan")
 def _(s, d):
-    return clustering.hdbscan(loc_emb_2d(s, d).withColumn("tile", F.col("cluster_label") % 2), min_cluster_size=5, tile="tile").select("index", "cluster_label")
+    return clustering.hdbscan(loc_emb_2d(s, d), min_cluster_size=5).select("index", "cluster_label")
 
 
 @query("serial_clustering")

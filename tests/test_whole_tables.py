@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 
+from pinprick.operators.clustering import hdbscan_labels
 from pinprick.operators.hulls import convex_hull
 from pinprick.plans.catalog import QUERIES
 from pinprick.plans.views import loc_emb_2d
@@ -22,3 +23,10 @@ def test_hulls_of_all_groups(spark):
         want |= {(x["index"], label) for x in p if len(v) > 2 and all((w[:, 0] - v[:, 0]) * (x.position_y - v[:, 1]) - (w[:, 1] - v[:, 1]) * (x.position_x - v[:, 0]) >= 0)}
     assert {label for _, label in want} == {x.cluster_label for x in p}
     assert {(x["index"], x.region_id) for x in QUERIES["localizations_in_hulls"](spark, SMALL).collect()} == want
+
+
+def test_hdbscan_of_all_points_together(spark):
+    p = loc_emb_2d(spark, SMALL).orderBy("index").collect()
+    want = hdbscan_labels(np.array([(x.position_x, x.position_y) for x in p]), 5)
+    got = {x["index"]: x.cluster_label for x in QUERIES["cluster_hdbscan"](spark, SMALL).collect()}
+    assert got == {x["index"]: k for x, k in zip(p, want.tolist())}
