@@ -171,12 +171,15 @@ def serial_clustering(df: DataFrame, algorithm: Callable[..., DataFrame], parame
     return out
 
 
-def accumulation_check(df: DataFrame, *, region_measure: float, algorithm: Callable[[DataFrame], DataFrame], sizes: Sequence[int], n_extrapolate: int = 5, id_col: str = "index", seed: int = 0) -> DataFrame:
+def accumulation_check(df: DataFrame, *, region_measure: float, algorithm: Callable[[DataFrame], DataFrame], sizes: Sequence[int] | int = 10, n_extrapolate: int = 5, id_col: str = "index", seed: int = 0) -> DataFrame:
     """(n, density, eta, rho, rho_0, rho_rel): clusters of random subsets of growing size; eta is the covered share of the
-    region, rho the density within clusters, rho_0 its value extrapolated to density 0 from the first subsets (1 if that is not positive)."""
+    region, rho the density within clusters, rho_0 its value extrapolated to density 0 from the first subsets (1 if that is not positive).
+    A number of ``sizes`` stands for so many even steps up to all rows."""
     from .filters import random_subset
     from .properties import collection_properties
 
+    if isinstance(sizes, int):
+        sizes = np.linspace(0, df.count(), sizes + 1, dtype=int)[1:].tolist()
     parts = None
     for n in sizes:
         rows = algorithm(random_subset(df, n, replace=False, seed=seed, id_col=id_col))

@@ -255,7 +255,7 @@ def _(s, d):
 
 @query("accumulation_check")
 def _(s, d):
-    return clustering.accumulation_check(loc_emb_2d(s, d), region_measure=1.0, algorithm=lambda df: clustering.dbscan(df, eps=0.03, min_samples=4), sizes=(200, 300, 400))
+    return clustering.accumulation_check(loc_emb_2d(s, d), region_measure=1.0, algorithm=lambda df: clustering.dbscan(df, eps=0.03, min_samples=4))
 
 
 # joins and spatial statistics

@@ -4,7 +4,9 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pinprick.operators import clustering
 from pinprick.operators.clustering import hdbscan_labels
 from pinprick.operators.hulls import convex_hull
 from pinprick.plans.catalog import QUERIES
@@ -30,3 +32,10 @@ def test_hdbscan_of_all_points_together(spark):
     want = hdbscan_labels(np.array([(x.position_x, x.position_y) for x in p]), 5)
     got = {x["index"]: x.cluster_label for x in QUERIES["cluster_hdbscan"](spark, SMALL).collect()}
     assert got == {x["index"]: k for x, k in zip(p, want.tolist())}
+
+
+def test_accumulation_ends_at_all_points(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "dbscan", lambda df, **_: df.withColumn("cluster_label", F.lit(1)))
+    total = loc_emb_2d(spark, SMALL).count()
+    got = sorted(x.n for x in QUERIES["accumulation_check"](spark, SMALL).collect())
+    assert got == [total * k // 10 for k in range(1, 11)]
