@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
+from test_similar import plain
 
 import corpus_pipeline
 from pinprick.llm import decontam, exact_dedup, katz, orc_tokens, packing, queries, sharding, simhash, substring, toxicity, warc
@@ -338,6 +339,6 @@ def test_pipeline(spark, small):
         elif name == "exact dedup":
             assert kept == {x[0] for x in brute.exact(before, largest=False) if x[3]}
         elif name == "near dedup":
-            assert kept == {x[2] for x in brute.components(before)}
+            assert kept == plain(before)  # five-word Jaccard of at least 0.8, all pairs compared
         elif name == "decontamination":
             assert kept == {x[0] for x in brute.decontaminated(before, items) if not x[5]}
