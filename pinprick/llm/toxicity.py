@@ -3,13 +3,12 @@
 A text's features are the distinct n-grams of its ASCII-lowered UTF-8 bytes, white space
 taken as one space, hashed into a fixed table. Each is scaled by the log ratio of its smoothed
 document counts in toxic and other training texts, and a logistic regression with L2 penalty
-is fitted on the scaled features. Whole texts are scored, in one pass.
+is fitted on the scaled features, all of them. Whole texts are scored, in one pass.
 """
 
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,85 +60,131 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, rounds: int) -> Model:
-    """Logistic regression by accelerated gradient steps, in a fixed order of rows."""
-    used, own = np.unique(np.concatenate(rows), return_inverse=True) if rows else (np.zeros(0, np.int64), None)
-    n, d = len(rows), len(used)
-    prior = (y.sum() + 0.5) / (n + 1)
-    if not n or not d or y.min() == y.max():
+#: A training row of more features than this is kept as a bitmap, so that no row takes more than 32 KB.
+DENSE, PIECE = (1 << BITS) // 32, 1 << 21
+
+
+def _row(found: np.ndarray) -> bytes:
+    """A row's features: their numbers, or a bitmap if that is smaller."""
+    if len(found) <= DENSE:
+        return found.astype(np.uint32).tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[found] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def _found(row: bytes) -> np.ndarray:
+    if len(row) % 4:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8, offset=1)))
+    return np.frombuffer(row, np.uint32)
+
+
+def _pieces(rows: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, features, row starts) for some rows at a time; a row without features has one of weight 0 behind the table."""
+    none = np.array([1 << BITS])
+    first, held, size = 0, [], 0
+    for k, r in enumerate(rows, 1):
+        f = _found(r)
+        held.append(f if len(f) else none)
+        size += len(held[-1])
+        if size >= PIECE or k == len(rows):
+            yield first, k, np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held[:-1])])
+            first, held, size = k, [], 0
+
+
+def log_count_ratios(rows: list[bytes], y: np.ndarray, alpha: float) -> np.ndarray:
+    """Log ratio of each feature's smoothed document frequencies in class 1 and class 0; 0 for features of no row."""
+    n = np.zeros((2, (1 << BITS) + 1))
+    for first, end, found, starts in _pieces(rows):
+        one = np.repeat(y[first:end], np.diff([*starts, len(found)]))
+        n[1] += np.bincount(found, one, (1 << BITS) + 1)
+        n[0] += np.bincount(found, 1 - one, (1 << BITS) + 1)
+    of = [len(y) - y.sum(), y.sum()]
+    ratio = np.log((n[1] + alpha) / (of[1] + 2 * alpha) * (of[0] + 2 * alpha) / (n[0] + alpha))
+    ratio[n.sum(0) == 0] = 0
+    ratio[-1] = 0
+    return ratio
+
+
+def fit(rows: list[bytes], y: np.ndarray, *, alpha: float = 1.0, l2: float = 1e-5, rounds: int = 100, near: float = 1e-5) -> Model:
+    """Logistic regression on the log-count ratios of every n-gram seen, by limited-memory BFGS, until no slope is over ``near``.
+
+    The mean log loss plus l2 / 2 times the squared coefficients is made least, the ratios scaled so
+    that rows have length 1 on average. Rows are gone through piece by piece.
+    """
+    y = np.asarray(y, float)
+    n, d = len(y), (1 << BITS) + 1
+    if not n or y.min() == y.max():
+        prior = (y.sum() + 0.5) / (n + 1)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    x = ratio[used][own]
-    scale = 1 / np.sqrt(max(1e-12, np.bincount(row, x * x, n).mean()))  # rows of unit length on average
-    x = x * scale
-    # the largest curvature, by power iteration, gives the step
-    w, curve = np.ones(d), 1.0
-    for _ in range(12):
-        w = np.bincount(own, x * np.bincount(row, x * w[own], n)[row], d)
-        curve = np.linalg.norm(w)
-        w /= max(curve, 1e-300)
-    step = 1 / (0.25 * (curve / n * 1.1 + 1) + l2)
-    w, v, b = np.zeros(d), np.zeros(d), float(np.log(prior / (1 - prior)))
-    vb = b
-    for k in range(rounds):
-        g = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * v[own], n) + vb, -500, 500))) - y
-        new, nb = v - step * (np.bincount(own, x * g[row], d) / n + l2 * v), vb - step * g.mean()
-        m = k / (k + 3)
-        v, vb, w, b = new + m * (new - w), nb + m * (nb - b), new, nb
-    out = np.zeros(1 << BITS, np.float32)
-    out[used] = w * scale * ratio[used]
-    return Model(out, float(b))
-
-
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, keep: int = 4_000, alpha: float = 1.0, l2: float = 1e-6, rounds: int = 1000) -> Model:
-    """Fit on at most ``max_rows`` labelled rows, drawn by a hash of the id.
-
-    The bound is on the sample the model is fitted on, nothing else; of its n-grams the
-    ``keep`` with the strongest log-count ratios in standard errors get weights. Rows without id, label or
-    text and repeated ids (one label is kept) don't train; no rows, or one class only, give
-    a constant score.
+    ratio = log_count_ratios(rows, y, alpha)
+    length = sum(np.add.reduceat((ratio * ratio)[found], starts).sum() for _, _, found, starts in _pieces(rows)) / n
+    ratio /= np.sqrt(max(length, 1e-300))
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope, by, pull = l2 / 2 * float(w[:-1] @ w[:-1]), np.zeros(d), w[:-1] * ratio, 0.0
+        for first, end, found, starts in _pieces(rows):
+            z, own = np.add.reduceat(by[found], starts) + w[-1], y[first:end]
+            g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - own) / n
+            loss += float((np.logaddexp(0, z) - own * z).sum()) / n
+            slope += np.bincount(found, np.repeat(g, np.diff([*starts, len(found)])), d)
+            pull += g.sum()
+        return loss, np.append(slope * ratio + l2 * w[:-1], pull)
+
+    w = np.zeros(d + 1)
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    now, slope = at(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(slope).max() <= near:
+            break
+        way, factors = slope.copy(), []
+        for s, t in reversed(moves):
+            factors.append(s @ way / (s @ t))
+            way -= factors[-1] * t
+        way *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else min(1.0, 1 / np.abs(slope).sum())
+        for (s, t), f in zip(moves, reversed(factors)):
+            way += s * (f - t @ way / (s @ t))
+        step = 1.0
+        while True:
+            new = w - step * way
+            then, bent = at(new)
+            if then <= now - 1e-4 * step * (slope @ way) or step < 1e-6:
+                break
+            step /= 2
+        if (new - w) @ (bent - slope) > 1e-12:
+            moves = [*moves[-7:], (new - w, bent - slope)]
+        w, now, slope = new, then, bent
+    return Model((w[:-2] * ratio[:-1]).astype(np.float32), float(w[-1]))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, **options: float) -> Model:
+    """Fit on at most ``max_rows`` labelled rows, drawn by a hash of the id; every n-gram of them has a weight.
+
+    The bound is on the sample the model is fitted on, nothing else. Labels without a document, rows
+    without id, label or text and repeated ids (one row is kept, with label 1 if any says so) don't take
+    a place in it; no rows, or one class only, give a constant score. The fit is one task over at most
+    ``max_rows`` rows of at most 32 KB.
     """
     spark = tuned(docs.sparkSession)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).dropna()
     sample = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
-    sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(F.broadcast(sample), "_id")  # at most max_rows small rows
+    sample = sample.join(texts.select("_id"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    rows = texts.join(F.broadcast(sample), "_id")  # at most max_rows small rows
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, bool)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t, seen).astype(np.uint32).tobytes() for t in utf8(b.column(2))], pa.binary())], names=["_id", "_y", "_f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_row(features(t, seen)) for t in utf8(b.column(2))], pa.binary())], names=["_id", "_y", "_f"])
 
-    table = stored(rows.where("_text is not null").select("_id", "_y", "_text").mapInArrow(featurise, "_id long, _y int, _f binary"), "toxicity-sample")
+    table = rows.select("_id", "_y", "_text").mapInArrow(featurise, "_id long, _y int, _f binary")
+    table = stored(table.groupBy("_id").agg(F.min(F.struct("_y", "_f")).alias("r")).select("_id", "r._y", "r._f"), "toxicity-sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << BITS), np.int32)
-        docs_n = np.zeros(2, np.int64)
-        for b in batches:
-            for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n[int(y == 1)][np.frombuffer(f, np.uint32)] += 1
-                docs_n[int(y == 1)] += 1
-        if docs_n.sum():
-            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in docs_n[:1]]), pa.array([int(x) for x in docs_n[1:]]), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=["n0", "n1", "c"])
-
-    total, docs_n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2)
-    for r in table.select("_y", "_f").coalesce(8).mapInArrow(count, "n0 long, n1 long, c binary").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(bytes(r["c"])), np.int32).reshape(2, -1)
-        docs_n += [r["n0"], r["n1"]]
-    p, q = (total[1] + alpha) / (docs_n[1] + 2 * alpha), (total[0] + alpha) / (docs_n[0] + 2 * alpha)
-    ratio = np.log(p / q)
-    error = np.sqrt(1 / (total[1] + alpha) + 1 / (total[0] + alpha))
-    best = np.argsort(-np.abs(ratio) / error, kind="stable")[:keep]
-    kept = np.zeros(1 << BITS, bool)
-    kept[best] = True
-    shared = spark.sparkContext.broadcast(kept)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = [np.frombuffer(x, np.uint32) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[shared.value[x]].tobytes() for x in f], pa.binary())], names=["_id", "_y", "_f"])
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([f for _, _, f in got], np.array([float(y == 1) for _, y, _ in got]), **options))], pa.binary())], names=["model"])
 
-    got = sorted((r["_id"], r["_y"], bytes(r["_f"])) for r in table.mapInArrow(narrow, "_id long, _y int, _f binary").toLocalIterator())  # the bounded sample, kept features only
-    return _fit([np.frombuffer(f, np.uint32).astype(np.int64) for _, _, f in got], np.array([float(y == 1) for _, y, _ in got]), ratio, l2, rounds)
+    return pickle.loads(bytes(table.select("_id", "_y", "_f").coalesce(1).mapInArrow(solve, "model binary").first()[0]))
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
@@ -179,7 +224,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, fold: int =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
-    """The documents that score below ``threshold``, with all their columns."""
-    model = train(docs, labels.where(~in_fold("doc_id", 4, 2)))
+    """The documents that score below ``threshold``, with all their columns; every label of a document trains."""
+    model = train(docs, labels)
     rows = score(docs, model)
     return rows.where(F.col(rows.columns[-1]) < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))

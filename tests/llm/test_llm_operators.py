@@ -301,6 +301,22 @@ def test_toxicity_learns(spark):
     assert one.where("predicted = 1").count() == 0
 
 
+@needs_data
+def test_toxicity_is_the_plain_model(spark, small):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r.toxic is not None}
+    train = [(t, labels[i]) for i, t in sorted(small, key=lambda x: x[0]) if i in labels and t is not None and brute.fold(i, 4) != 2]
+    got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, SMALL).collect()}
+    for (i, _), want in zip(small, brute.toxicity(train, [t for _, t in small]), strict=True):
+        assert got[i].score == pytest.approx(want, abs=5e-3) and got[i].held_out == (brute.fold(i, 4) == 2) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_long_training_rows_are_bitmaps():
+    found = np.sort(np.random.default_rng(1).choice(1 << toxicity.BITS, 20_000, replace=False))
+    for f in (found, found[:5], found[:0]):
+        row = toxicity._row(f)
+        assert len(row) <= 32_769 and (toxicity._found(row) == f).all()
+
+
 @needs_data
 def test_queries_on_small_tables(spark, small):
     q = lambda name: queries.QUERIES[name](spark, SMALL)
