@@ -1,13 +1,20 @@
-"""Near copies by the Jaccard similarity of word shingles, found by an exact set-similarity join.
+"""Near copies by SimHash, completed to all pairs of a Jaccard similarity of word shingles.
 
-If two sets have a similarity of at least s, each holds at least s of the other's size in common
-shingles. So a text with fewer than s * n of its n shingles in other texts is out, and two similar
-texts share one of their n - ceil(s * n) + 1 rarest shingles (prefix filter); texts that share such a
-shingle are candidates, and each is verified in full. No similar pair is lost.
+Fingerprints of similar texts are close, but at a similarity of 0.8 they differ in 10 of 64 bits on
+average and sometimes in 20: no radius that segments can be searched at holds all such pairs. So
+fingerprints find most links cheaply, every link is verified on the shingles, and an exact
+search finds what is left:
 
-How often a shingle occurs is asked block by block (``blocks``). Candidates are first held against the
-smallest text of each shingle, which joins large groups of near copies by as many comparisons as they
-have texts; only pairs that are in different components after that are compared one by one.
+1. Shingles say which texts can have a partner at all. If two sets have a similarity of at least s, each holds
+   at least s of the other's size in common shingles. So a text with fewer than s * n of its n shingles
+   in other texts is out, and two similar texts share one of their n - ceil(s * n) + 1 rarest shingles,
+   their keys (prefix filter).
+2. Fingerprints of these texts within a few bits are found by pigeonring chains (``simhash``), then, round by
+   round, neighbours in the order of turned fingerprints among texts of one key. A pair that is
+   verified joins its components; each round compares at most one new pair for each text.
+3. Pairs that share a key and are in different components still are compared one by one, each at its first common key.
+
+No similar pair is lost, up to 64-bit hashes of shingles. How often a shingle occurs is asked block by block (``blocks``).
 """
 
 from __future__ import annotations
@@ -24,8 +31,11 @@ from pyspark.sql import types as T
 from .blocks import MESSAGE, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked, word_hashes
 from .common import dropped, free_name, n_partitions, stored
 from .components import connected_components
+from .simhash import hamming_links
 
 BLOCK_BYTES, SHINGLES, MOST = 8 << 20, 1, 65535
+#: Radius of the pigeonring search, keys that go with each key against repeated pairs, and nodes of a key that one task compares.
+NEAR, FIRST, TILE = 4, 8, 2048
 #: The one shingle of a text without words.
 EMPTY = np.uint64(1)
 
@@ -54,9 +64,17 @@ def shingles(texts: Iterable[bytes], words: int = 5) -> tuple[np.ndarray, np.nda
     return key, doc, np.bincount(doc, minlength=len(count))
 
 
+def _fingerprint(h: np.ndarray) -> int:
+    """SimHash of distinct shingles, as a signed number: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(np.ascontiguousarray(h[i : i + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
 def _candidates(df: DataFrame, id_col: str, text_col: str, words: int, least: Fraction) -> DataFrame:
-    """(node, id, n, shared, keys) of each text that enough shingles share: its number of shingles, those of
-    them that other texts hold too, and the rarest of these, one of which any similar text has among its own."""
+    """(node, id, n, fp, shared, keys) of each text that enough shingles share: its number of shingles, their fingerprint, those of
+    them that other texts hold too, and the rarest of these, rarest first, one of which any similar text has among its own."""
     blocks = make_blocks(df, id_col, text_col, BLOCK_BYTES)
     n = n_buckets(blocks, 1_500_000)
     up, down = least.numerator, least.denominator
@@ -78,7 +96,8 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, words: int, least: Fr
 
     told = stored(each_bucket(each_block(blocks, ask, MESSAGE), count, MESSAGE), "similar-counts")
     swept(df.sparkSession)
-    schema = T._parse_datatype_string("node long, id long, n int, shared array<long>, keys array<long>")
+    schema = T._parse_datatype_string("node long, id long, n int, fp long, shared array<long>, keys array<long>")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def choose(b: Block) -> Iterator[pa.RecordBatch]:
         key, doc, size = shingles(b.texts(), words)
@@ -87,6 +106,7 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, words: int, least: Fr
         for k, i in split_by((distinct % np.uint64(n)).astype(np.int64), n):
             held[i] = unpacked(answers[k])[0]
         held = held[which]
+        whole, upto = key, np.cumsum(size)
         key, doc, held = key[held > 1], doc[held > 1], held[held > 1]
         many = np.bincount(doc, minlength=len(size))
         need = -(-up * size // down)
@@ -97,12 +117,12 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, words: int, least: Fr
             own = slice(ends[d] - many[d], ends[d])
             k = key[own]
             rare = k[np.lexsort((k, held[own]))[: many[d] - need[d] + 1]]
-            rows.append((node + d, b.ids[d], int(size[d]), k.view(np.int64), rare.view(np.int64)))
+            rows.append((node + d, b.ids[d], int(size[d]), _fingerprint(whole[upto[d] - size[d] : upto[d]]), k.view(np.int64), rare.view(np.int64)))
             if len(rows) == 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=schema.names)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=schema.names)
 
     out = stored(each_block(blocks, choose, schema, told), "similar-candidates")
     dropped(told)
@@ -118,21 +138,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").withColumn("_both", both).where(F.col("_both") * least.denominator >= (F.col("na") + F.col("nb") - F.col("_both")) * least.numerator).select("a", "b")
 
 
-def _apart(rows: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes of one key and different components whose sizes allow the similarity, from (key, node, n, component).
-    The smallest node of a key was compared before."""
+def _close(keyed: DataFrame, turn: int) -> DataFrame:
+    """For each node at most one pair (a, b): of its neighbours in other components, in the order of the fingerprints turned by
+    some bits among the nodes of a key, the one whose fingerprint is nearest. Ranges may cut a key's nodes, so its size doesn't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.asarray(batch.column(k)) for k in range(4)]
+            if held is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(held, now)]
+            key, node, fp, part = now
+            held = [x[-1:] for x in now]
+            at = np.flatnonzero((key[1:] == key[:-1]) & (part[1:] != part[:-1]))
+            if len(at):
+                far = np.bitwise_count(fp[at] ^ fp[at + 1]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[at], node[at + 1]])), pa.array(np.concatenate([node[at + 1], node[at]])), pa.array(np.concatenate([far, far]))], names=["a", "b", "far"])
+
+    order = ["key", F.expr(f"shiftleft(fp, {turn}) | shiftrightunsigned(fp, {64 - turn})") if turn else F.col("fp"), "node"]
+    rows = keyed.select("key", "node", "fp", "component").repartitionByRange(n_partitions(keyed.sparkSession), *order).sortWithinPartitions(*order)
+    best = rows.mapInArrow(run, "a long, b long, far int").groupBy("a").agg(F.min(F.struct("far", "b")).alias("_b"))
+    return best.select(F.least("a", "_b.b").alias("a"), F.greatest("a", "_b.b").alias("b")).distinct()
+
+
+def _apart(keyed: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes of one key and different components whose sizes, and whose shingles left after the key, allow the similarity.
+
+    A pair that shares one of the first ``FIRST`` keys of both is told at its first common key only. The nodes of a key of
+    more than ``TILE`` are dealt over pairs of tiles.
+    """
     up, down = least.numerator, least.denominator
+    spark = keyed.sparkSession
+    rows = keyed.select("key", "node", "n", "component", "left", "pos", "first")
+    big = stored(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > TILE).select("key", F.ceil(F.col("_n") / TILE).cast("int").alias("_k")), "similar-big")
+    rows = rows.join(big, "key", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).withColumn("one", F.least("mine", "_with")).withColumn("two", F.greatest("mine", "_with"))
+    by = ["key", "one", "two"]
+    rows = rows.select(*by, "mine", "node", "n", "component", "left", "pos", "first").repartition(n_partitions(spark), *by).sortWithinPartitions(*by, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def solve(key: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
-            bounds = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+        def solve(cols: list[np.ndarray], first: np.ndarray) -> Iterator[pa.RecordBatch]:
+            one, two, mine, node, n, part, left, pos = cols[1:]
+            new = np.ones(len(node), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            bounds = [*np.flatnonzero(new).tolist(), len(node)]
             a, b, size = [], [], 0
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                for i in range(lo + 1, hi - 1):
+                for i in range(lo, hi - 1):
                     j = np.arange(i + 1, hi)
-                    j = j[(part[j] != part[i]) & (down * n[j] >= up * n[i]) & (down * n[i] >= up * n[j])]
+                    ok = (part[j] != part[i]) & (down * n[j] >= up * n[i]) & (down * n[i] >= up * n[j])
+                    ok &= (up + down) * np.minimum(left[j], left[i]) >= up * (n[j] + n[i])
+                    if one[i] != two[i]:
+                        ok &= mine[j] != mine[i]
+                    j = j[ok]
+                    if len(j):  # a key before this one in both
+                        early = first[i][: pos[i]]
+                        again = (first[j][:, :, None] == early[None, None, :]) & (np.arange(FIRST)[None, :] < pos[j][:, None])[:, :, None]
+                        j = j[~again.any((1, 2))]
                     if len(j):
                         a.append(np.full(len(j), node[i]))
                         b.append(node[j])
@@ -146,40 +212,59 @@ def _apart(rows: DataFrame, least: Fraction) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.asarray(c).astype(np.int64) for c in batch.columns]
+            now = [np.asarray(c).astype(np.int64) for c in batch.columns[:-1]]
+            now.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int64).reshape(-1, FIRST))
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            cut = int(np.argmax(same))  # the last tiles may go on
             if cut:
-                yield from solve(*(c[:cut] for c in now))
+                yield from solve([c[:cut] for c in now[:-1]], now[-1][:cut])
             held = [c[cut:] for c in now]
         if held is not None:
-            yield from solve(*held)
+            yield from solve(held[:-1], held[-1])
 
-    rows = rows.select("key", "node", "n", "component").repartition(n_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, least: float = 0.8) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, least: float = 0.8, rounds: int = 4) -> DataFrame:
     """(id, component_id) of each row that is linked to another one.
 
     Rows are linked when the distinct shingles of ``words`` words of their texts have a Jaccard
     similarity of at least ``least``; the component is named by the smallest id that can be reached
     (null if no row of it has one). Texts without words are equal. Shingles are told apart by 64-bit hashes.
+    ``rounds`` is how often neighbouring fingerprints are compared before the search that ends with all pairs:
+    it changes the work, not the result.
     """
     least = Fraction(str(least))
     if not 0 < least <= 1:
         raise ValueError("the similarity must be over 0 and at most 1")
     rows = _candidates(df, id_col, text_col, words, least)
-    keyed = stored(rows.select("node", "n", F.explode("keys").alias("key")), "similar-keys")
-    lead = stored(keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("_f"), F.count("*").alias("_m")).where("_m > 1").select("key", F.col("_f.node").alias("a"), F.col("_f.n").alias("na")), "similar-leads")
-    up, down = least.numerator, least.denominator
-    first = keyed.join(lead, "key").where((F.col("node") != F.col("a")) & (down * F.col("n") >= up * F.col("na")) & (down * F.col("na") >= up * F.col("n"))).select("a", F.col("node").alias("b")).distinct()
-    links = stored(_verified(first, rows, least), "similar-links")
+    # fingerprints within the radius, equal ones by way of their first node
+    nodes = stored(rows.select("node", "fp"), "similar-nodes")
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("a")), "similar-first")
+    pairs = nodes.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b")).unionByName(hamming_links(first.select("fp", F.col("a").alias("node")), NEAR))
+    links = stored(_verified(pairs, rows, least), "similar-links")
     parts = stored(connected_components(links), "similar-parts")
-    mine = stored(keyed.join(lead.select("key"), "key", "left_semi").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "similar-keyed")
-    mixed = mine.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    more = stored(_verified(_apart(mine.join(mixed, "key", "left_semi"), least), rows, least), "similar-more")
+    head = F.concat(*(F.unhex(F.lpad(F.hex(F.coalesce(F.get("keys", F.lit(k)), F.lit(0))), 16, "0")) for k in range(FIRST)))
+    keyed = rows.select("node", "n", "fp", head.alias("first"), F.size("shared").alias("_many"), F.posexplode("keys").alias("pos", "key")).withColumn("left", F.col("_many") - F.col("pos")).drop("_many")
+    keyed = stored(keyed, "similar-keys")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
+    keyed = stored(keyed.join(shared, "key", "left_semi"), "similar-shared")
+
+    def mixed() -> DataFrame:
+        """Rows of the keys whose nodes are in different components."""
+        mine = stored(keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "similar-keyed")
+        keys = mine.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
+        return stored(mine.join(keys, "key", "left_semi"), "similar-mixed")
+
+    for k in range(rounds):
+        more = stored(_verified(_close(mixed(), 64 * k // rounds), rows, least), "similar-close")
+        if more.isEmpty():
+            break
+        links = stored(links.unionByName(more), "similar-links")
+        parts = stored(connected_components(links), "similar-parts")
+    more = stored(_verified(_apart(mixed(), least), rows, least), "similar-more")
     parts = stored(connected_components(links.unionByName(more)), "similar-all")
     named = stored(rows.select("node", "id").join(parts, "node"), "similar-named")
     lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
