@@ -12,7 +12,8 @@ search finds what is left:
 2. Fingerprints of these texts within a few bits are found by pigeonring chains (``simhash``), then, round by
    round, neighbours in the order of turned fingerprints among texts of one key. A pair that is
    verified joins its components; each round compares at most one new pair for each text.
-3. Pairs that share a key and are in different components still are compared one by one, each at its first common key.
+3. Pairs that share a key and are in different components still are compared one by one, each at its first common key, if
+   the parities of their shingles by hash, 1024 bits, differ in no more bits than the sets may in shingles (bitmap filter).
 
 No similar pair is lost, up to 64-bit hashes of shingles. How often a shingle occurs is asked block by block (``blocks``).
 """
@@ -35,7 +36,7 @@ from .simhash import hamming_links
 
 BLOCK_BYTES, SHINGLES, MOST = 8 << 20, 1, 65535
 #: Radius of the pigeonring search, keys that go with each key against repeated pairs, and nodes of a key that one task compares.
-NEAR, FIRST, TILE = 4, 8, 2048
+NEAR, FIRST, TILE, PARITIES = 4, 8, 2048, 1024
 #: The one shingle of a text without words.
 EMPTY = np.uint64(1)
 
@@ -72,9 +73,14 @@ def _fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
+def _parities(h: np.ndarray) -> bytes:
+    """For each value of the top bits, whether an odd number of shingles has it: two sets differ in at least as many shingles as parities."""
+    return np.packbits(np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=PARITIES) % 2 == 1).tobytes()
+
+
 def _candidates(df: DataFrame, id_col: str, text_col: str, words: int, least: Fraction) -> DataFrame:
-    """(node, id, n, fp, shared, keys) of each text that enough shingles share: its number of shingles, their fingerprint, those of
-    them that other texts hold too, and the rarest of these, rarest first, one of which any similar text has among its own."""
+    """(node, id, n, fp, parity, shared, keys) of each text that enough shingles share: its number of shingles, their fingerprint
+    and parities, those of them that other texts hold too, and the rarest of these, rarest first, one of which any similar text has among its own."""
     blocks = make_blocks(df, id_col, text_col, BLOCK_BYTES)
     n = n_buckets(blocks, 1_500_000)
     up, down = least.numerator, least.denominator
@@ -96,8 +102,8 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, words: int, least: Fr
 
     told = stored(each_bucket(each_block(blocks, ask, MESSAGE), count, MESSAGE), "similar-counts")
     swept(df.sparkSession)
-    schema = T._parse_datatype_string("node long, id long, n int, fp long, shared array<long>, keys array<long>")
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    schema = T._parse_datatype_string("node long, id long, n int, fp long, parity binary, shared array<long>, keys array<long>")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def choose(b: Block) -> Iterator[pa.RecordBatch]:
         key, doc, size = shingles(b.texts(), words)
@@ -114,10 +120,10 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, words: int, least: Fr
         node = ((b.number >> 32) << 44) + ((b.number & 0xFFFFFFFF) << 20)
         rows = []
         for d in np.flatnonzero(many >= need).tolist():
-            own = slice(ends[d] - many[d], ends[d])
-            k = key[own]
-            rare = k[np.lexsort((k, held[own]))[: many[d] - need[d] + 1]]
-            rows.append((node + d, b.ids[d], int(size[d]), _fingerprint(whole[upto[d] - size[d] : upto[d]]), k.view(np.int64), rare.view(np.int64)))
+            part = slice(ends[d] - many[d], ends[d])
+            k = key[part]
+            rare = k[np.lexsort((k, held[part]))[: many[d] - need[d] + 1]]
+            rows.append((node + d, b.ids[d], int(size[d]), _fingerprint(own := whole[upto[d] - size[d] : upto[d]]), _parities(own), k.view(np.int64), rare.view(np.int64)))
             if len(rows) == 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=schema.names)
                 rows = []
@@ -154,7 +160,7 @@ def _close(keyed: DataFrame, turn: int) -> DataFrame:
             held = [x[-1:] for x in now]
             at = np.flatnonzero((key[1:] == key[:-1]) & (part[1:] != part[:-1]))
             if len(at):
-                far = np.bitwise_count(fp[at] ^ fp[at + 1]).astype(np.int32)
+                far = np.bitwise_count((fp[at] ^ fp[at + 1]).view(np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[at], node[at + 1]])), pa.array(np.concatenate([node[at + 1], node[at]])), pa.array(np.concatenate([far, far]))], names=["a", "b", "far"])
 
     order = ["key", F.expr(f"shiftleft(fp, {turn}) | shiftrightunsigned(fp, {64 - turn})") if turn else F.col("fp"), "node"]
@@ -164,24 +170,24 @@ def _close(keyed: DataFrame, turn: int) -> DataFrame:
 
 
 def _apart(keyed: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes of one key and different components whose sizes, and whose shingles left after the key, allow the similarity.
+    """Pairs (a, b) of nodes of one key and different components whose sizes, shingles left after the key, and parities allow the similarity.
 
     A pair that shares one of the first ``FIRST`` keys of both is told at its first common key only. The nodes of a key of
     more than ``TILE`` are dealt over pairs of tiles.
     """
     up, down = least.numerator, least.denominator
     spark = keyed.sparkSession
-    rows = keyed.select("key", "node", "n", "component", "left", "pos", "first")
+    rows = keyed.select("key", "node", "n", "component", "left", "pos", "first", "parity")
     big = stored(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > TILE).select("key", F.ceil(F.col("_n") / TILE).cast("int").alias("_k")), "similar-big")
     rows = rows.join(big, "key", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).withColumn("one", F.least("mine", "_with")).withColumn("two", F.greatest("mine", "_with"))
     by = ["key", "one", "two"]
-    rows = rows.select(*by, "mine", "node", "n", "component", "left", "pos", "first").repartition(n_partitions(spark), *by).sortWithinPartitions(*by, "node")
+    rows = rows.select(*by, "mine", "node", "n", "component", "left", "pos", "first", "parity").repartition(n_partitions(spark), *by).sortWithinPartitions(*by, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def solve(cols: list[np.ndarray], first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(cols: list[np.ndarray], first: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
             one, two, mine, node, n, part, left, pos = cols[1:]
             new = np.ones(len(node), bool)
             new[1:] = (cols[0][1:] != cols[0][:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
@@ -195,6 +201,8 @@ def _apart(keyed: DataFrame, least: Fraction) -> DataFrame:
                     if one[i] != two[i]:
                         ok &= mine[j] != mine[i]
                     j = j[ok]
+                    if len(j):
+                        j = j[(up + down) * np.bitwise_count((parity[j] ^ parity[i]).view(np.uint64)).sum(1, dtype=np.int64) <= (down - up) * (n[j] + n[i])]
                     if len(j):  # a key before this one in both
                         early = first[i][: pos[i]]
                         again = (first[j][:, :, None] == early[None, None, :]) & (np.arange(FIRST)[None, :] < pos[j][:, None])[:, :, None]
@@ -212,17 +220,17 @@ def _apart(keyed: DataFrame, least: Fraction) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.asarray(c).astype(np.int64) for c in batch.columns[:-1]]
-            now.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int64).reshape(-1, FIRST))
+            now = [np.asarray(c).astype(np.int64) for c in batch.columns[:-2]]
+            now += [np.frombuffer(b"".join(c.to_pylist()), np.int64).reshape(batch.num_rows, -1) for c in batch.columns[-2:]]
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now)]
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
             cut = int(np.argmax(same))  # the last tiles may go on
             if cut:
-                yield from solve([c[:cut] for c in now[:-1]], now[-1][:cut])
+                yield from solve([c[:cut] for c in now[:-2]], now[-2][:cut], now[-1][:cut])
             held = [c[cut:] for c in now]
         if held is not None:
-            yield from solve(held[:-1], held[-1])
+            yield from solve(held[:-2], held[-2], held[-1])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -247,7 +255,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = stored(_verified(pairs, rows, least), "similar-links")
     parts = stored(connected_components(links), "similar-parts")
     head = F.concat(*(F.unhex(F.lpad(F.hex(F.coalesce(F.get("keys", F.lit(k)), F.lit(0))), 16, "0")) for k in range(FIRST)))
-    keyed = rows.select("node", "n", "fp", head.alias("first"), F.size("shared").alias("_many"), F.posexplode("keys").alias("pos", "key")).withColumn("left", F.col("_many") - F.col("pos")).drop("_many")
+    about = stored(rows.select("node", head.alias("first"), "parity"), "similar-about")
+    keyed = rows.select("node", "n", "fp", F.size("shared").alias("_many"), F.posexplode("keys").alias("pos", "key")).withColumn("left", F.col("_many") - F.col("pos")).drop("_many")
     keyed = stored(keyed, "similar-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
     keyed = stored(keyed.join(shared, "key", "left_semi"), "similar-shared")
@@ -264,7 +273,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
         links = stored(links.unionByName(more), "similar-links")
         parts = stored(connected_components(links), "similar-parts")
-    more = stored(_verified(_apart(mixed(), least), rows, least), "similar-more")
+    more = stored(_verified(_apart(mixed().join(about, "node"), least), rows, least), "similar-more")
     parts = stored(connected_components(links.unionByName(more)), "similar-all")
     named = stored(rows.select("node", "id").join(parts, "node"), "similar-named")
     lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))

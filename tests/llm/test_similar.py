@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -67,6 +68,24 @@ def test_no_similar_text_is_left(spark, parts):
     assert {x.doc_id for x in similar.one_of_each(df).collect()} == plain(docs)
 
 
+@pytest.mark.parametrize("rounds,tile", [(0, 2048), (0, 4), (1, 2048)])
+def test_rounds_and_tiles_change_nothing(spark, monkeypatch, rounds, tile):
+    monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "NEAR", 1)
+    docs = edited()
+    found = similar.similar_components(spark.createDataFrame(docs, "doc_id long, text string"), rounds=rounds)
+    assert {i for i, _ in docs} - {r.doc_id for r in found.collect() if r.doc_id != r.component_id} == plain(docs)
+
+
+def test_parities_differ_no_more_than_sets():
+    r = random.Random(2)
+    for n in (3, 40, 3000):
+        a = {r.getrandbits(64) for _ in range(n)}
+        b = {x if r.random() < 0.9 else r.getrandbits(64) for x in a}
+        x, y = (np.frombuffer(similar._parities(np.array(sorted(z), np.uint64)), np.uint64) for z in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(a ^ b)
+
+
 def test_no_rows(spark):
     assert similar.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
