@@ -90,10 +90,10 @@ class Block:
 
     def __init__(self, number: int, data: bytes, ids: list[int | None], sizes: bytes, told: dict[int, list[tuple[int, bytes]]]) -> None:
         self.number, self.ids, self.told = number, ids, told
-        self._data, self._sizes = data, np.frombuffer(sizes, np.int64)
+        self.data, self.sizes, self._sizes = data, sizes, np.frombuffer(sizes, np.int64)
 
     def texts(self) -> Iterator[bytes]:
-        raw, at = zstandard.decompress(self._data), 0
+        raw, at = zstandard.decompress(self.data), 0
         for n in self._sizes.tolist():
             yield raw[at : at + n]
             at += n

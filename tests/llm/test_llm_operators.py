@@ -217,18 +217,31 @@ def test_substring(spark, docs, monkeypatch):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in text.collect())
 
 
-def test_parse_is_consistent():
+def test_symbols_are_consistent():
     r = np.random.default_rng(1)
-    shared = r.integers(1, 40, 60).astype(np.uint64)
+    shared = r.integers(1, 40, 60)
     seen = []
     for _ in range(2):
-        w = np.concatenate([[0], r.integers(1, 40, 30), shared, r.integers(1, 40, 30), [0]]).astype(np.uint64)
-        wall = np.zeros(len(w), bool)
-        wall[[0, -1]] = True
-        name, at, lo, hi = substring.parse(w, wall)
-        inside = (lo >= 31) & (hi <= 91)
-        seen.append(set(zip(name[inside].tolist(), at[inside].tolist())))
-    assert seen[0] == seen[1] and seen[0]
+        name = np.concatenate([[-1], r.integers(1, 40, 30), shared, r.integers(1, 40, 30), [-1]])
+        at = np.arange(len(name))
+        lo, hi, found = at, at + 1, set()
+        for turn in range(1, 5):
+            left, run, right, many, at, lo, hi = substring.step(name, at, lo, hi, turn)
+            inside = (lo >= 31) & (hi <= 91)
+            found |= set(zip(*(x[inside].tolist() for x in (left, run, right, many, at))))
+            name = np.where(left == -1, -1, left + 41 * run + 1009 * (right + 1) + 7 * many)
+        seen.append(found)
+    assert seen[0] == seen[1] and len(seen[0]) > 40
+
+
+def test_tiles_cover():
+    r = random.Random(4)
+    for _ in range(200):
+        windows = sorted({(r.randrange(3), r.randrange(80)) for _ in range(r.randint(1, 60))})
+        doc, at = (np.array(x) for x in zip(*windows))
+        cover = lambda ws: {(d, a + k) for d, a in ws for k in range(10)}
+        tiles = [windows[k] for k in substring._tiles(doc, at, 10)]
+        assert cover(tiles) == cover(windows) and len(tiles) <= len(windows)
 
 
 def test_katz(spark, docs, monkeypatch):
