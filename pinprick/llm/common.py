@@ -22,15 +22,15 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor share.
 
-    ``spark.checkpoint.dir`` of the session; where that is unset, the warehouse on a
-    cluster and a temporary folder in local mode.
+    ``spark.checkpoint.dir`` of the session; where that is unset, a temporary folder
+    in local mode and an error on a cluster.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] == "local":
         return _local.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='pinprick-')}")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pinprick"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def tuned(spark: SparkSession) -> SparkSession:
