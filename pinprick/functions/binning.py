@@ -6,13 +6,17 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def edges_from_size(size: float | Sequence[float], lo: float, hi: float, extend: bool | None = None) -> list[float]:
     """Edges of bins of ``size`` from ``lo`` on. What is left over at the end is dropped
-    (extend None), covered by one more whole bin (True) or by a shorter one (False)."""
+    (extend None), covered by one more whole bin (True) or by a shorter one (False). Where not even
+    the first bin fits, there is one: that whole bin (True) or the range."""
+    first = size if isinstance(size, (int, float)) else size[0]
+    if first > hi - lo:
+        return [lo, lo + first] if extend is True else [lo, hi]
     if isinstance(size, (int, float)):
         n = int(math.floor((hi - lo) / size + 1e-12))
         edges = [lo + k * size for k in range(n + 1)]
@@ -52,7 +56,7 @@ class Bins:
             nested = bin_edges if isinstance(bin_edges[0], (list, tuple)) else [bin_edges]
             return Bins(tuple(tuple(map(float, e)) for e in nested), tuple(labels) if labels else None)
         if bin_range is None:
-            raise ValueError("bin_range is needed")
+            raise ValueError("bin_range is needed; Bins.over takes it from the data")
         ranges = list(bin_range) if isinstance(bin_range[0], (list, tuple)) else [tuple(bin_range)]
         what = n_bins if n_bins is not None else bin_size
         each = list(what) if isinstance(what, (list, tuple)) else [what] * len(ranges)
@@ -61,6 +65,14 @@ class Bins:
         make = (lambda w, r: edges_from_number(int(w), *r)) if n_bins is not None else (lambda w, r: edges_from_size(w, *r, extend_range))
         return Bins(tuple(tuple(make(w, (float(r[0]), float(r[1])))) for w, r in zip(each, ranges)), tuple(labels) if labels else None)
 
+    @staticmethod
+    def over(df: DataFrame, columns: Sequence[str], special: str | None = None, **options) -> "Bins":
+        """Bins over the data's own ranges: one row of minima and maxima; ``special`` as for ranges ('zero' or 'link')."""
+        from ..operators.properties import ranges
+
+        row = ranges(df, list(columns), special).first()
+        return Bins.of(bin_range=[(row[f"{c}_min"], row[f"{c}_max"]) for c in columns], **options)
+
     @property
     def dimension(self) -> int:
         return len(self.edges)

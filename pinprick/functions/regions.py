@@ -460,6 +460,43 @@ class Union(Region):
         return out
 
 
+@dataclass(frozen=True)
+class Intersection(Region):
+    """What is in both regions; the measure is that of the first one's corners clipped by the second's, which has to be convex."""
+
+    one: Region
+    other: Region
+
+    @property
+    def dimension(self):
+        return self.one.dimension
+
+    @property
+    def bounds(self):
+        return tuple((max(a, c), min(b, d)) for (a, b), (c, d) in zip(self.one.bounds, self.other.bounds))
+
+    @property
+    def region_measure(self):
+        return clip_convex(_ring(self.one), _ring(self.other)).region_measure
+
+    def contains(self, x):
+        return self.one.contains(x) & self.other.contains(x)
+
+
+def _ring(region: Region) -> Sequence[tuple[float, float]]:
+    return region.points[:-1] if region.points[0] == region.points[-1] else region.points
+
+
+def symmetric_difference(one: Region, other: Region) -> Union:
+    """What is in exactly one of two regions."""
+    return Union((Difference(one, other), Difference(other, one)))
+
+
+def union_measure(one: Region, other: Region) -> float:
+    """Measure of the union of two regions, the second convex: both less what they share."""
+    return one.region_measure + other.region_measure - Intersection(one, other).region_measure
+
+
 def regions_union(regions: Sequence[Region]) -> Union:
     return Union(tuple(regions))
 

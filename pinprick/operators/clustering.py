@@ -7,11 +7,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import check_columns, coordinates
 from .components import components, written
+from .filters import numbered_rows
 from .spatial import radius_pairs
 
 
@@ -29,8 +30,7 @@ def dbscan(df: DataFrame, *, eps: float = 20, min_samples: int = 5, id_col: str
     edges = pairs.where("id1 < id2").join(core, F.col("id1") == F.col("c")).drop("c").join(core, F.col("id2") == F.col("c")).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     found = components(edges)
     member = core.join(found, F.col("c") == F.col("node"), "left").select(F.col("c").alias("id"), F.coalesce("component", "c").alias("component"))
-    # clusters are few against points: the ordered pass runs over one row each
-    number = member.select("component").distinct().withColumn("label", F.row_number().over(Window.orderBy("component")))
+    number = numbered_rows(member.select("component").distinct(), [F.col("component")], "label").withColumn("label", F.col("label") + 1)
     member = written(member.join(number, "component").select("id", "label"))
     border = pairs.join(core, F.col("id1") == F.col("c"), "left_anti").join(member, F.col("id2") == F.col("id")).groupBy("id1").agg(F.min("label").alias("label"))
     labels = member.unionByName(border.select(F.col("id1").alias("id"), "label"))

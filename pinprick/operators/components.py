@@ -13,13 +13,13 @@ _local: dict[str, str] = {}
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where unset a
-    temporary one in local mode, else the warehouse."""
+    temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] == "local":
         return _local.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='pinprick-')}")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pinprick"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -163,6 +163,9 @@ def projection(df: DataFrame, labels: str | Sequence[str]) -> DataFrame:
 
 
 def concat(frames: Sequence[DataFrame], id_col: str = "index") -> DataFrame:
-    """Rows of all frames, matched by name, numbered afresh."""
-    both = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.drop(id_col) for f in frames])
-    return both.withColumn(id_col, F.monotonically_increasing_id())
+    """Rows of all frames, matched by name, numbered from 0: frame after frame, each in the order of its ids (or of its rows, if it has none)."""
+    from .components import written
+
+    parts = [f.withColumns({"_frame": F.lit(k), "_id": F.col(id_col).cast("long") if id_col in f.columns else F.monotonically_increasing_id()}).drop(id_col) for k, f in enumerate(frames)]
+    both = written(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    return numbered_rows(both, [F.col("_frame"), F.col("_id")], id_col).drop("_frame", "_id")

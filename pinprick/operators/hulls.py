@@ -222,17 +222,32 @@ def hull_expectation_batch(sets: Sequence[DataFrame], by: str = "cluster_label",
     return hull_expectation(pooled, sigma=sigma)
 
 
-def localizations_in_hulls(df: DataFrame, collection: DataFrame, by: str = "cluster_label", cell: float | None = None) -> DataFrame:
-    """Rows of ``df`` with the ``region_id`` of each convex hull of the collection's groups that holds them.
+def _rectangle_corners(v: np.ndarray) -> np.ndarray:
+    """Corners, counter-clockwise, of the smallest rectangle around a convex polygon."""
+    a = np.radians(rectangle_of(v)[2])
+    axes = np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])
+    (x0, y0), (x1, y1) = (v @ axes.T).min(0), (v @ axes.T).max(0)
+    return np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]]) @ axes
 
-    Hulls are listed under the grid cells that their boxes cover and meet the points by cell; the exact
+
+def localizations_in_hulls(df: DataFrame, collection: DataFrame, by: str = "cluster_label", cell: float | None = None, hull: str = "convex") -> DataFrame:
+    """Rows of ``df`` with the ``region_id`` of each hull of the collection's groups that holds them.
+
+    ``hull`` is 'convex', 'bounding_box' or 'oriented_bounding_box'. Hulls are listed under the grid cells that their boxes cover and meet the points by cell; the exact
     test is an expression over the hull's corners, boundaries included.
     """
+    if hull not in ("convex", "bounding_box", "oriented_bounding_box"):
+        raise ValueError("hull is convex, bounding_box or oriented_bounding_box")
     x, y = check_columns(df.columns, None)[:2]
     kind = dict(collection.dtypes)[by]
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
         v = convex_hull(pdf[["x", "y"]].to_numpy())
+        if hull == "bounding_box":
+            (x0, y0), (x1, y1) = v.min(0), v.max(0)
+            v = np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]])
+        elif hull == "oriented_bounding_box":
+            v = _rectangle_corners(v)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "vx": [v[:, 0].tolist()], "vy": [v[:, 1].tolist()]})
 
     hulls = hull_vertices(collection, by).groupBy(by).applyInPandas(corners, f"`{by}` {kind}, vx array<double>, vy array<double>").where(F.size("vx") > 2)

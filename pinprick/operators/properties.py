@@ -32,13 +32,30 @@ def biased_variance(variance: Column, n: Column) -> Column:
 
 
 def statistics(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ("count", "min", "max", "mean", "median", "std", "sem"), by: Sequence[str] = ()) -> DataFrame:
-    """``<column>_<statistic>`` for each column; std and sem divide by n - 1. Nulls don't count."""
+    """``<column>_<statistic>`` for each column; std and sem divide by n - 1. Nulls don't count.
+
+    Without groups, medians come from the rows numbered in order of the column, range by range, so that no task holds all values.
+    """
     make = {
         "count": F.count, "min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "std": F.stddev_samp,
         "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
     }
     columns = [c for c, t in df.dtypes if t in ("bigint", "int", "double", "float", "smallint", "tinyint")] if columns is None else check_columns(df.columns, columns)
-    return df.groupBy(*by).agg(*(make[k](F.col(c)).alias(f"{c}_{k}") for c in columns for k in keys))
+    if by or "median" not in keys:
+        return df.groupBy(*by).agg(*(make[k](F.col(c)).alias(f"{c}_{k}") for c in columns for k in keys))
+    out = df.agg(F.lit(1).alias("_one"), *(make[k](F.col(c)).alias(f"{c}_{k}") for c in columns for k in keys if k != "median"))
+    for c in columns:
+        out = out.crossJoin(F.broadcast(_median(df, c)))  # one row is broadcast
+    return out.select(*(f"{c}_{k}" for c in columns for k in keys))
+
+
+def _median(df: DataFrame, column: str) -> DataFrame:
+    """One row with the mean of the middle value or the two middle values."""
+    from .filters import numbered_rows
+
+    rows = numbered_rows(df.select(F.col(column).cast("double").alias("v")).dropna(), [F.col("v")], "_row")
+    n = rows.count()
+    return rows.where(F.col("_row").isin((n - 1) // 2, n // 2)).agg(F.avg("v").alias(f"{column}_median"))
 
 
 def ranges(df: DataFrame, columns: Sequence[str] | None = None, special: str | None = None, epsilon: float = 1) -> DataFrame:

@@ -1,6 +1,6 @@
 """Distance joins as equi-joins on grid cells.
 
-A radius join never plans as a nested loop: one side goes to its cell of edge r, the other
+A radius join never plans as a nested loop: one side goes to its cell of an edge a little over r, the other
 to the 3^d cells around its own, cells meet by equality and the exact distance decides. Cells
 spread over the partitions by hash; a dense cell is a skewed key of a plain join, which
 adaptive execution splits.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import coordinates
+from .components import written
 
 
 def distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -44,7 +45,8 @@ def radius_pairs(points: DataFrame, other: DataFrame | None = None, *, radius: f
     target = points if other is None else other
     a = _side(points, id_col, coords, "1") if not on else _with(points, id_col, coords, "1", on)
     b = _side(target, id_col, coords, "2") if not on else _with(target, id_col, coords, "2", on)
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("long")
+    edge = float(radius) * 1.001  # so that rounding cannot put two points at the radius two cells apart
+    cell = lambda c: F.floor(F.col(c) / F.lit(edge)).cast("long")
     for k, c in enumerate(coords):
         a = a.withColumn(f"_g{k}", cell(f"{c}1"))
         b = b.withColumn(f"_g{k}", cell(f"{c}2"))
@@ -98,11 +100,11 @@ def nearest_neighbors(points: DataFrame, other: DataFrame | None = None, *, k: i
             near = near.where("id1 <> id2")
         near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy("id1")))
         last = radius >= reach
-        part = near if last else near.where(F.col("_n") >= k)
+        part = near if last else written(near.where(F.col("_n") >= k))
         found = part if found is None else found.unionByName(part)
         if last:
             break
-        left = left.join(part.select(F.col("id1").alias(id_col)).distinct(), id_col, "left_anti").persist()
+        left = written(left.join(part.select(F.col("id1").alias(id_col)).distinct(), id_col, "left_anti"))
         if left.isEmpty():
             break
         radius = min(2 * radius, reach)

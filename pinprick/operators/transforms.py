@@ -100,7 +100,7 @@ def counts_to_photons(df: DataFrame, columns: Sequence[str] = ("intensity",), *,
 def unwarp(df: DataFrame, dx: np.ndarray, dy: np.ndarray, pixel_size: float) -> DataFrame:
     """Coordinates moved by a displacement grid (one row of dx, dy per pixel), bilinear between its nodes.
 
-    The grid is a table joined at the four corners around each point.
+    The grid is a table joined at the four corners around each point. A point outside the grid is an error.
     """
     spark = df.sparkSession
     h, w = dx.shape
@@ -116,7 +116,9 @@ def unwarp(df: DataFrame, dx: np.ndarray, dy: np.ndarray, pixel_size: float) ->
     fx, fy = F.col("_px") - F.col("_ix"), F.col("_py") - F.col("_iy")
     mix = lambda n: (1 - fx) * (1 - fy) * F.col(f"_{n}00") + fx * (1 - fy) * F.col(f"_{n}10") + (1 - fx) * fy * F.col(f"_{n}01") + fx * fy * F.col(f"_{n}11")
     out = out.withColumns({"_nx": mix("u") * pixel_size, "_ny": mix("v") * pixel_size}).withColumns({x: F.col("_nx"), y: F.col("_ny")})
-    return out.select(*df.columns)
+    inside = F.col("_px").between(0, w - 1) & F.col("_py").between(0, h - 1)
+    refuse = F.raise_error(F.lit("a point lies outside the grid")).cast("double")
+    return out.withColumns({c: F.when(inside | F.col("_px").isNull() | F.col("_py").isNull(), F.col(c)).otherwise(refuse) for c in (x, y)}).select(*df.columns)
 
 
 def read_bunwarp_matrix(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +132,11 @@ def read_bunwarp_matrix(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bunwarp(df: DataFrame, path: str, pixel_size: float, flip: bool = False) -> DataFrame:
-    """Coordinates through a raw transformation file; ``flip`` mirrors x about the image's width before and after."""
+    """Coordinates through a raw transformation file; ``flip`` mirrors x about the image's width first."""
     mx, my = read_bunwarp_matrix(path)
     width = mx.shape[1] * pixel_size
     x = coordinates(df.columns)[0]
-    out = unwarp(df.withColumn(x, width - F.col(x)) if flip else df, mx, my, pixel_size)
-    return out.withColumn(x, width - F.col(x)) if flip else out
+    return unwarp(df.withColumn(x, width - F.col(x)) if flip else df, mx, my, pixel_size)
 
 
 @dataclass(frozen=True)
@@ -174,7 +175,7 @@ def register_cc(df: DataFrame, other: DataFrame, bins: Bins) -> Transformation:
     return Transformation(np.eye(bins.dimension), _shift(a, b) * [s[0] for s in bins.bin_size])
 
 
-def register_icp(df: DataFrame, other: DataFrame, *, matrix=None, offset=None, max_distance: float = 1000, max_iteration: int = 50, tolerance: float = 1e-6, with_scaling: bool = True, id_col: str = "index") -> Transformation:
+def register_icp(df: DataFrame, other: DataFrame, *, matrix=None, offset=None, max_distance: float = 1000, max_iteration: int = 10_000, tolerance: float = 1e-6, with_scaling: bool = True, id_col: str = "index") -> Transformation:
     """Transformation of ``df`` onto ``other``: each round joins every point with its nearest in ``other`` and fits
     rotation, scale and shift to the pairs from their sums (one row of moments); stops when it moves no further."""
     coords = coordinates(df.columns)

@@ -279,15 +279,15 @@ def _(s, d):
     return r(spatial_stats.nearest_neighbor_distances(p.where("cluster_label < 5"), p.where("cluster_label >= 5")), "nn_distance", digits=9)
 
 
-@query("pair_distances", sql(f"SELECT a.index AS id1, b.index AS id2, {D12} AS pair_distance FROM loc_emb a, loc_emb b WHERE a.index < b.index AND a.cluster_label < 2 AND b.cluster_label < 2"))
+@query("pair_distances", sql(f"SELECT a.index AS id1, b.index AS id2, {D12} AS pair_distance FROM loc_emb a, loc_emb b WHERE a.index < b.index"))
 def _(s, d):
-    return spatial.pair_distances(loc_emb_2d(s, d).where("cluster_label < 2"))
+    return spatial.pair_distances(loc_emb_2d(s, d))
 
 
-@query("pair_distances_cross", sql(f"SELECT a.index AS id1, b.index AS id2, {D12} AS pair_distance FROM loc_emb a, loc_emb b WHERE a.cluster_label = 0 AND b.cluster_label = 1"))
+@query("pair_distances_cross", sql(f"SELECT a.index AS id1, b.index AS id2, {D12} AS pair_distance FROM loc_emb a, loc_emb b WHERE a.cluster_label < 5 AND b.cluster_label >= 5"))
 def _(s, d):
     p = loc_emb_2d(s, d)
-    return spatial.pair_distances(p.where("cluster_label = 0"), p.where("cluster_label = 1"))
+    return spatial.pair_distances(p.where("cluster_label < 5"), p.where("cluster_label >= 5"))
 
 
 @query("local_density", sql("SELECT index, " + ", ".join(f"round(count(*) FILTER (d <= {x}) / (pi() * {x} * {x}), 4) AS local_density_{k}" for k, x in enumerate(RADII)) + " FROM loc_emb LEFT JOIN pairs ON i = index GROUP BY index", PAIRS))
@@ -347,10 +347,10 @@ def _(s, d):
     return r(out, "radius", "delta_radius", "rdf")
 
 
-@query("cbc", sql("SELECT p.index, round(CASE WHEN f IS NULL THEN NULL ELSE c * exp(-f / 0.1) END, 8) AS cbc FROM (SELECT index FROM loc_emb WHERE cluster_label = 0) p LEFT JOIN (SELECT i, corr(ra, rb) AS c, max(fb) AS f FROM (SELECT i, fb, rank() OVER wa + (count(*) OVER ea - 1) / 2.0 AS ra, rank() OVER wb + (count(*) OVER eb - 1) / 2.0 AS rb FROM (SELECT a.i, k, round(a.n / (k * k) , 12) AS va, round(b.n / (k * k), 12) AS vb, b.f AS fb FROM ringa a JOIN ringb b USING (i, k)) WINDOW wa AS (PARTITION BY i ORDER BY va), wb AS (PARTITION BY i ORDER BY vb), ea AS (PARTITION BY i, va), eb AS (PARTITION BY i, vb)) GROUP BY i) q ON q.i = p.index", "x AS (SELECT * FROM loc_emb WHERE cluster_label = 0)", "y AS (SELECT * FROM loc_emb WHERE cluster_label = 1)", f"pa AS (SELECT a.index AS i, {D12} AS d FROM x a, x b WHERE a.index <> b.index)", f"pb AS (SELECT a.index AS i, {D12} AS d FROM x a, y b)", "ringa AS (SELECT i, k, CAST(count(*) FILTER (d < k * 0.01 OR k = 10) AS DOUBLE) AS n FROM pa, (SELECT unnest(range(1, 11)) AS k) WHERE d <= 0.1 GROUP BY i, k)", "ringb AS (SELECT i, k, CAST(count(*) FILTER (d < k * 0.01 OR k = 10) AS DOUBLE) AS n, max(d) AS f FROM pb, (SELECT unnest(range(1, 11)) AS k) WHERE d <= 0.1 GROUP BY i, k)"))
+@query("cbc", sql("SELECT p.index, round(CASE WHEN f IS NULL THEN NULL ELSE c * exp(-f / 0.1) END, 8) AS cbc FROM (SELECT index FROM loc_emb WHERE cluster_label < 5) p LEFT JOIN (SELECT i, corr(ra, rb) AS c, max(fb) AS f FROM (SELECT i, fb, rank() OVER wa + (count(*) OVER ea - 1) / 2.0 AS ra, rank() OVER wb + (count(*) OVER eb - 1) / 2.0 AS rb FROM (SELECT a.i, k, round(a.n / (k * k) , 12) AS va, round(b.n / (k * k), 12) AS vb, b.f AS fb FROM ringa a JOIN ringb b USING (i, k)) WINDOW wa AS (PARTITION BY i ORDER BY va), wb AS (PARTITION BY i ORDER BY vb), ea AS (PARTITION BY i, va), eb AS (PARTITION BY i, vb)) GROUP BY i) q ON q.i = p.index", "x AS (SELECT * FROM loc_emb WHERE cluster_label < 5)", "y AS (SELECT * FROM loc_emb WHERE cluster_label >= 5)", f"pa AS (SELECT a.index AS i, {D12} AS d FROM x a, x b WHERE a.index <> b.index)", f"pb AS (SELECT a.index AS i, {D12} AS d FROM x a, y b)", "ringa AS (SELECT i, k, CAST(count(*) FILTER (d < k * 0.01 OR k = 10) AS DOUBLE) AS n FROM pa, (SELECT unnest(range(1, 11)) AS k) WHERE d <= 0.1 GROUP BY i, k)", "ringb AS (SELECT i, k, CAST(count(*) FILTER (d < k * 0.01 OR k = 10) AS DOUBLE) AS n, max(d) AS f FROM pb, (SELECT unnest(range(1, 11)) AS k) WHERE d <= 0.1 GROUP BY i, k)"))
 def _(s, d):
     p = loc_emb_2d(s, d)
-    return r(spatial_stats.colocalization(p.where("cluster_label = 0"), p.where("cluster_label = 1"), radius=0.1, n_steps=10), "cbc", digits=8)
+    return r(spatial_stats.colocalization(p.where("cluster_label < 5"), p.where("cluster_label >= 5"), radius=0.1, n_steps=10), "cbc", digits=8)
 
 
 @query("localization_precision", sql("SELECT i AS original_index, channel, frame, round(dx, 6) AS position_delta_x, round(abs(dx), 6) AS position_distance FROM (SELECT a.index AS i, a.channel, a.frame, a.position_x - b.position_x AS dx, row_number() OVER (PARTITION BY a.index ORDER BY abs(a.position_x - b.position_x), b.index) AS k FROM loc_ev a JOIN loc_ev b ON b.frame = a.frame + 1 AND a.channel = b.channel AND abs(a.position_x - b.position_x) <= 2 WHERE a.frame < (SELECT max(frame) - 1 FROM loc_ev)) WHERE k = 1"))

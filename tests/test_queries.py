@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pinprick.plans.catalog import ORACLE_SQL, QUERIES
+from pinprick.plans.more import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
