@@ -38,6 +38,11 @@ def _starts(keys: pa.Array, last: bytes | None) -> np.ndarray:
     return new
 
 
+def _copied(ids: pa.Array) -> pa.Array:
+    """Values of their own: a slice would keep its whole batch in memory, texts and all."""
+    return ids.take(pa.array(np.arange(len(ids))))
+
+
 def _sorted(df: DataFrame, id_col: str, text_col: str, keep: str, normalise: Callable[[Column], Column] | None) -> tuple[DataFrame, str, str]:
     """Rows with their key and its digest, ranged and sorted; names of both columns."""
     if keep not in ("smallest", "largest"):
@@ -110,7 +115,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             bounds = [*at.tolist(), len(ids)]
             if bounds[0] > 0:
-                held.append(ids[: bounds[0]])
+                held.append(_copied(ids[: bounds[0]]))
             closed = []
             one = {}  # whole runs of one row, the usual case, go out together
             for i, j in zip(bounds[:-1], bounds[1:]):
@@ -120,7 +125,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         one.setdefault("sha", []).append(digest)
                     else:
                         closed.append(close(0))
-                held, digest, n_runs = [ids[i:j]], shas[i].as_py(), n_runs + 1
+                held, digest, n_runs = [_copied(ids[i:j]) if j == len(ids) else ids[i:j]], shas[i].as_py(), n_runs + 1  # only the last run stays open
             if first is None:
                 first = keys[0].as_py()
             last = keys[-1].as_py()
