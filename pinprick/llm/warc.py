@@ -3,7 +3,8 @@
 Reading streams each archive and gives rows of (record, chunk number) with at most
 ``chunk_bytes`` of payload each; every chunk carries the SHA-1 and the byte count of the
 payload up to its end, so the last chunk's digest is the whole payload's and no record
-is ever held in one piece. Writing streams payloads into one gzip member per record.
+is ever held in one piece. Writing goes the same way: payloads become rows of (record, chunk number), which stream into one
+gzip member per record while their SHA-1 is carried along and held against the stated one.
 
 Archives are written straight to the shared folder under names that hold the task
 attempt; the manifest, a Spark table, lists only the files of attempts that succeeded,
@@ -35,8 +36,9 @@ CHUNKS = "file string, record long, chunk int, warc_type string, record_id strin
 def plan_records(df: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
     """Add ``_type``, ``_refers``, ``_sha1`` and ``_bytes`` to (``_id``, ``_uri``, ``_payload``).
 
-    Payloads are equal if their length and SHA-256 are. The largest id of a group is looked
-    up through a join that adaptive execution can split: a group of any size is dealt over tasks.
+    Payloads are equal if their length and SHA-256 are. Which rows are revisits is found on ids and digests alone; payloads
+    meet only the rows that say so, by digest and id, so that a group of any size is dealt over tasks, and without
+    a shuffle where these are few.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
     uri = F.col("`url`").cast("string") if "url" in df.columns else F.lit(None).cast("string")
@@ -45,10 +47,21 @@ def plan_records(df: DataFrame, id_col: str, payload_col: str, min_bytes: int) -
     # small payloads are never compared: they get keys of their own and spread evenly
     rows = rows.withColumn("_same", F.when(F.col("_bytes") >= min_bytes, F.sha2("_payload", 256)))
     group = rows.where("_same is not null").groupBy("_same", "_bytes").agg(F.max("_id").alias("_top"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    large = rows.where("_same is not null").join(group, ["_same", "_bytes"], "left")
+    again = rows.where("_same is not null").select("_id", "_same", "_bytes").distinct().join(group, ["_same", "_bytes"]).where(~F.col("_id").eqNullSafe(F.col("_top")) & F.col("_top").isNotNull())
+    again = again.select(F.col("_id").alias("_i"), F.col("_same").alias("_s"), F.col("_bytes").alias("_b"), "_top")
+    large = rows.where("_same is not null").join(again, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_same") == F.col("_s")) & (F.col("_bytes") == F.col("_b")), "left").drop("_i", "_s", "_b")
     small = rows.where("_same is null").withColumn("_top", F.lit(None).cast("long"))
-    again = F.col("_top").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_top"))
-    return large.unionByName(small).select("_id", "_uri", "_payload", "_bytes", "_sha1", F.when(again, "revisit").otherwise("response").alias("_type"), F.when(again, F.col("_top")).alias("_refers"))
+    again = F.col("_top").isNotNull()
+    return large.unionByName(small).select("_id", "_uri", "_payload", "_bytes", "_sha1", F.when(again, "revisit").otherwise("response").alias("_type"), F.col("_top").alias("_refers"))
+
+
+def chunk_rows(records: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Planned records as rows of (record, ``_chunk``, ``_last``, ``_data``), in order and with at most ``chunk_bytes`` each; a record
+    without payload, or a revisit, is one row without data."""
+    n = F.when(F.col("_type") == "response", F.ceil(F.col("_bytes") / chunk_bytes)).otherwise(0).cast("int")
+    rows = records.withColumn("_n", F.greatest(n, F.lit(1))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    data = F.when(F.col("_type") == "response", F.substring(F.col("_payload"), F.col("_chunk") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    return rows.select("_id", "_uri", "_bytes", "_sha1", "_type", "_refers", "_chunk", (F.col("_chunk") == F.col("_n") - 1).alias("_last"), data.alias("_data"))
 
 
 def _name(record_id: int | None) -> str:
@@ -70,45 +83,54 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload_col: s
         files, root = pafs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
         part, serial, out, done = TaskContext.get().partitionId(), 0, None, []
-        name, records, size = "", 0, 0
+        name, records, size, z, so_far = "", 0, 0, None, None
 
         def end() -> None:
             out.close()
             done.append((name, records, size))
 
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+
+        def put(x: bytes) -> None:
+            nonlocal size
+            if x:
+                out.write(x)
+                size += len(x)
+
         for b in batches:
-            for i in range(b.num_rows):
-                rid, uri, payload, n, sha1, kind, refers = (c[i] for c in b.columns)
+            for rid, uri, n, sha1, kind, refers, chunk, last, data in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     name, records, size = f"part-{part:05d}-{serial:04d}-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = files.open_output_stream(f"{root}/{name}", compression=None)
                     serial += 1
-                body = memoryview(payload.as_buffer()) if kind.as_py() == "response" else memoryview(b"")
-                http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-                head = [
-                    b"WARC/1.1", b"WARC-Type: " + kind.as_py().encode(), f"WARC-Record-ID: <urn:record:{_name(rid.as_py())}>".encode(), f"WARC-Date: {DATE}".encode(), b"Content-Type: application/http; msgtype=response",
-                    f"WARC-Payload-Digest: sha1:{sha1.as_py()}".encode(), f"X-Payload-Length: {n.as_py()}".encode(), f"Content-Length: {len(http) + len(body)}".encode(),
-                ]
-                if uri.as_py() is not None:
-                    head.append(b"WARC-Target-URI: " + uri.as_py().replace("\r", "%0D").replace("\n", "%0A").encode())
-                if kind.as_py() == "revisit":
-                    head += [f"WARC-Refers-To: <urn:record:{_name(refers.as_py())}>".encode(), f"WARC-Profile: {PROFILE}".encode()]
-                z = zlib.compressobj(level, wbits=31)
-                for piece in (b"\r\n".join(head) + b"\r\n\r\n" + http, *(body[k : k + chunk_bytes] for k in range(0, len(body), chunk_bytes)), b"\r\n\r\n", None):
-                    x = z.flush() if piece is None else z.compress(piece)
-                    if x:
-                        out.write(x)
-                        size += len(x)
-                records += 1
-                if size >= file_bytes:
-                    end()
-                    out = None
+                if chunk == 0:
+                    z, so_far = zlib.compressobj(level, wbits=31), hashlib.sha1()
+                    head = [
+                        b"WARC/1.1", b"WARC-Type: " + kind.encode(), f"WARC-Record-ID: <urn:record:{_name(rid)}>".encode(), f"WARC-Date: {DATE}".encode(), b"Content-Type: application/http; msgtype=response",
+                        f"WARC-Payload-Digest: sha1:{sha1}".encode(), f"X-Payload-Length: {n}".encode(), f"Content-Length: {len(http) + (n if kind == 'response' else 0)}".encode(),
+                    ]
+                    if uri is not None:
+                        head.append(b"WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A").encode())
+                    if kind == "revisit":
+                        head += [f"WARC-Refers-To: <urn:record:{_name(refers)}>".encode(), f"WARC-Profile: {PROFILE}".encode()]
+                    put(z.compress(b"\r\n".join(head) + b"\r\n\r\n" + http))
+                so_far.update(data)
+                put(z.compress(data))
+                if last:
+                    if kind == "response" and so_far.hexdigest() != sha1:
+                        raise ValueError("a payload's chunks don't add up to it")
+                    put(z.compress(b"\r\n\r\n"))
+                    put(z.flush())
+                    records += 1
+                    if size >= file_bytes:
+                        end()
+                        out = None
         if out is not None:
             end()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["file", "records", "bytes"])
 
-    return stored(plan_records(df, id_col, payload_col, min_bytes).mapInArrow(write, MANIFEST), "warc-manifest")
+    return stored(chunk_rows(plan_records(df, id_col, payload_col, min_bytes), chunk_bytes).mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def _records(stream, chunk_bytes: int) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
