@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_partitions, stored, tuned, utf8
+from .common import free_name, n_partitions, stored, tuned, utf8
 
 #: Words: digits, ASCII letters (lowered) and everything beyond ASCII; the rest separates.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,16 +91,16 @@ def windows(item: list[bytes], length: int) -> list[tuple[bytes, ...]]:
 
 
 def _blocks(items: DataFrame, length: int, most: int) -> Iterator[list[tuple[object, list[tuple[bytes, ...]]]]]:
-    """Items with their distinct windows, some ``most`` windows at a time."""
+    """Items with their distinct windows, at most ``most`` windows at a time: those of a long item are cut."""
     block, n = [], 0
     for r in items.toLocalIterator():
         found = list(dict.fromkeys(windows(words((r["_text"] or "").encode()), length)))
-        if found:
-            block.append((r["_item"], found))
-            n += len(found)
-        if n >= most:
-            yield block
-            block, n = [], 0
+        while found:
+            block.append((r["_item"], found[: most - n]))
+            n, found = n + len(block[-1][1]), found[most - n :]
+            if n >= most:
+                yield block
+                block, n = [], 0
     if block:
         yield block
 
@@ -256,5 +256,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
     Ids are taken to be unique; documents with a null id are kept or dropped together.
     """
-    hit = matches(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    id_col = options.get("id_col", "doc_id")
+    mine = free_name(docs.columns, "_hit")
+    hit = matches(docs, benchmark, **options).where("contaminated").select(F.col(f"`{id_col}`").alias(mine)).distinct()
+    return docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col(mine)), "left_anti")
