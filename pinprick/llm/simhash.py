@@ -8,6 +8,9 @@ chain of the first two segments: none of the first may differ and, with the defa
 too. Both are the join key. The chain condition is then checked for longer and longer
 chains before the full Hamming distance is taken.
 
+The more fingerprints there are, the longer is the chain that makes the key: of each further segment, which may differ in
+no more bits than the chain's budget, one of budget + 1 parts is equal. So buckets stay small at any size.
+
 Only distinct fingerprints take part: copies are grouped first, by a partial
 aggregation. In a key's bucket a spanning forest of the links is emitted, never all
 pairs, and a bucket of more than ``tile`` fingerprints is dealt over pairs of tiles.
@@ -64,10 +67,11 @@ def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fingerprint"
 
 
 class Ring:
-    """The segments of a fingerprint and the keys by which candidates meet."""
+    """The segments of a fingerprint and the keys by which candidates meet: of each chain of ``chain`` segments
+    the first, which may not differ, and one part of every other, as many parts as bits may differ so far and one more."""
 
-    def __init__(self, bits: int, segments: int | None = None) -> None:
-        self.bits = bits
+    def __init__(self, bits: int, segments: int | None = None, chain: int = 2) -> None:
+        self.bits, self.chain = bits, chain
         self.m = segments or bits + 1
         if not bits < self.m <= 32:
             raise ValueError("the number of segments must be over the bits that may differ")
@@ -75,11 +79,15 @@ class Ring:
         self.masks = [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(cuts, cuts[1:])]
         self.keys = []  # (first segment, mask of what must be equal)
         for i in range(self.m):
-            j = (i + 1) % self.m
-            mid = (cuts[j] + cuts[j + 1]) // 2
-            low = np.uint64(((1 << (mid - cuts[j])) - 1) << cuts[j])
-            halves = [low, self.masks[j] & ~low] if 2 * bits // self.m else [self.masks[j]]
-            self.keys += [(i, self.masks[i] | h) for h in halves]
+            masks = [self.masks[i]]
+            for k in range(1, min(chain, self.m)):
+                lo, hi = cuts[(i + k) % self.m], cuts[(i + k) % self.m + 1]
+                parts = (k + 1) * bits // self.m + 1
+                ends = [lo + round((hi - lo) * p / parts) for p in range(parts + 1)]
+                masks = [m | np.uint64(((1 << (b - a)) - 1) << a) for m in masks for a, b in zip(ends, ends[1:])]
+            self.keys += [(i, m) for m in masks]
+        #: Bits that all keys have at least.
+        self.width = min(int(m).bit_count() for _, m in self.keys)
 
     def close(self, x: np.ndarray, start: int) -> np.ndarray:
         """Where ``x`` (an xor) passes each chain from ``start`` on, and so the whole ring."""
@@ -113,6 +121,14 @@ def _forest(fp: np.ndarray, node: np.ndarray, ring: Ring, start: int) -> tuple[l
     return a, b
 
 
+def ring_for(n: int, bits: int, segments: int | None, tile: int) -> Ring:
+    """The ring of the shortest chain by whose keys ``n`` even fingerprints make buckets of a quarter of a tile."""
+    ring = Ring(bits, segments)
+    while n >> ring.width > tile // 4 and ring.chain < ring.m - 1:
+        ring = Ring(bits, segments, ring.chain + 1)
+    return ring
+
+
 def hamming_links(points: DataFrame, bits: int = 4, *, segments: int | None = None, tile: int = 4096) -> DataFrame:
     """Edges (a, b) that connect the same nodes as all pairs within ``bits`` bits do.
 
@@ -120,7 +136,7 @@ def hamming_links(points: DataFrame, bits: int = 4, *, segments: int | None = No
     is connected through the edges, though not each by an edge of its own.
     """
     spark = tuned(points.sparkSession)
-    ring, n = Ring(bits, segments), n_partitions(spark)
+    ring, n = ring_for(points.count(), bits, segments, tile), n_partitions(spark)
     schema = T.StructType([T.StructField(x, t) for x, t in (("_which", T.IntegerType()), ("_key", T.LongType()), ("fp", T.LongType()), ("node", T.LongType()))])
     masks = [int(m) for _, m in ring.keys]
     firsts = [i for i, _ in ring.keys]

@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from test_similar import plain
@@ -94,6 +95,8 @@ def test_decontamination(spark, docs):
         got = decontam.matches(frame(spark, docs), bench, block_windows=block).withColumn("s", F.sha2(F.concat_ws(",", "items"), 256))
         same(got, ["doc_id", "n_words", "n_hit", "n_items", "s", "contaminated"], want)
     assert decontam.matches(frame(spark, docs), bench.limit(0)).where("contaminated").count() == 0
+    renamed = frame(spark, docs).withColumnRenamed("doc_id", "pid").withColumn("_hit", F.lit(1))
+    assert decontam.without_contaminated(renamed, bench, id_col="pid").columns == renamed.columns
     left = decontam.without_contaminated(frame(spark, docs), bench)
     assert {r.doc_id for r in left.collect()} == {w[0] for w in want} - {w[0] for w in want if w[5]}
 
@@ -104,6 +107,27 @@ def test_proximity(spark):
     assert decontam._owners(got.withColumnRenamed("name", "n").withColumn("item", F.lit("i")), index).select("shard", "ord").distinct().count() == 2
 
 
+def test_blocks_cut_long_items(spark):
+    items = spark.createDataFrame([("a", " ".join(f"w{k}" for k in range(100))), ("b", "x y"), ("c", None)], "_item string, _text string").coalesce(1)
+    blocks = list(decontam._blocks(items, 10, 40))
+    assert [sum(len(w) for _, w in b) for b in blocks] == [40, 40, 12] and sum(len(w) for b in blocks for i, w in b if i == "a") == 91
+
+
+def test_open_runs_hold_ids_alone():
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["x" * 1000] * 1000)], names=["i", "t"])
+    one = exact_dedup._copied(batch.column(0)[990:])
+    assert one.to_pylist() == list(range(990, 1000)) and one.get_total_buffer_size() < 1000
+
+
+def test_shards_are_written_in_order(spark):
+    docs = [(k, "x" * (7 * k % 50)) for k in range(200)]
+    path = new_path(spark, "shards")
+    sharding.write_shards(spark.createDataFrame(docs, "doc_id long, text string"), path, 4)
+    got = spark.read.parquet(path)
+    want = {i: (k, s) for i, _, _, k, s in brute.shards(docs, 4)}
+    assert {r.doc_id: (r.shard, r.slot) for r in got.collect()} == want and {r.doc_id: r.text for r in got.collect()} == dict(docs)
+
+
 def test_shards(spark, docs):
     same(sharding.shard_by_bytes(frame(spark, docs), 8), ["doc_id", "size", "text_crc32", "shard", "slot"], brute.shards(docs))
 
@@ -172,7 +196,12 @@ def test_simhash(spark, docs):
     same(simhash.near_duplicates(frame(spark, docs)), ["doc_id", "fingerprint", "component_id"], brute.components(docs))
 
 
-def test_pigeonring_loses_no_link(spark):
+def test_chains_grow_with_the_fingerprints():
+    widths = [simhash.ring_for(10**k, 4, None, 4096).width for k in (3, 9, 10, 12)]
+    assert widths == sorted(widths) and all(10**k >> w <= 1024 for k, w in zip((3, 9, 10), widths))
+
+
+def test_pigeonring_loses_no_link(spark, monkeypatch):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(40)]
     points = {b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(60)} | set(base)
@@ -194,7 +223,8 @@ def test_pigeonring_loses_no_link(spark):
                 root[find(a)] = find(b)
     for s in ordered:
         want.setdefault(find(s), set()).add(s)
-    for tile in (4096, 8):
+    for tile, chain in ((4096, 2), (8, 2), (4096, 3), (4096, 4)):
+        monkeypatch.setattr(simhash, "ring_for", lambda n, bits, segments, tile: simhash.Ring(bits, segments, chain))  # noqa: B023
         got = {}
         for node, c in connected_components(simhash.hamming_links(df, 4, tile=tile)).collect():
             got.setdefault(c, set()).add(node)
@@ -273,6 +303,8 @@ def test_warc(spark):
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", top if again else None))
     same(warc.record_digests(chunks), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], want)
     assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= 1024
+    planned = warc.chunk_rows(warc.plan_records(df, "page_id", "html", 1000), 1 << 10)
+    assert planned.agg(F.max(F.octet_length("_data"))).first()[0] == 1 << 10 and planned.where("_id = 12").count() == 196 and planned.where("_id = 11").count() == 1
     kept = {r.record_id: bytes(r.payload).decode() for r in warc.payloads(chunks).collect()}
     assert kept["<urn:record:12>"] == long and kept["<urn:record:13>"] == pages[10][2]
     assert manifest.count() > 1
