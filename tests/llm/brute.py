@@ -132,50 +132,55 @@ def good_turing(counts):
 
 
 class Katz:
-    def __init__(self, texts):
-        self.one, self.two = Counter(), Counter()
+    """Counts of n-grams as tuples; 0 stands before a text, None ends it."""
+
+    def __init__(self, texts, order):
+        self.n = [Counter() for _ in range(order)]
         for t in texts:
-            w = [*words(low(t)), None]
-            self.one.update(w)
-            self.two.update(zip([0, *w[:-1]], w))
-        self.d1, self.d2 = good_turing(self.one), good_turing(self.two)
-        self.n = sum(self.one.values())
-        self.total, self.after = Counter(), defaultdict(list)
-        for (h, w), c in self.two.items():
-            self.total[h] += c
-            self.after[h].append(w)
+            w = [0, *words(low(t)), None]
+            for k in range(order):
+                self.n[k].update(tuple(w[i - k : i + 1]) for i in range(max(1, k), len(w)))
+        self.one = self.n[0]
+        self.d = [good_turing(c) for c in self.n]
+        self.tokens = sum(self.one.values())
+        self.total, self.after, self.memo = Counter(), defaultdict(list), {}
+        for c in self.n[1:]:
+            for g, k in c.items():
+                self.total[g[:-1]] += k
+                self.after[g[:-1]].append(g[-1])
 
     def word(self, w):
-        if w in self.one:
-            return self.d1(self.one[w]) / self.n
-        return 1 - sum(map(self.d1, self.one.values())) / self.n if self.n else 1.0
+        if (w,) in self.one:
+            return self.d[0](self.one[w,]) / self.tokens
+        return 1 - sum(map(self.d[0], self.one.values())) / self.tokens if self.tokens else 1.0
 
     def p(self, h, w):
-        total = self.total[h]
-        if not total:
+        if not h:
             return self.word(w)
-        left = 1 - sum(self.d2(self.two[h, x]) for x in self.after[h]) / total
-        if left < 1e-9:
-            total += 1
-            left = 1 - sum(self.d2(self.two[h, x]) for x in self.after[h]) / total
-        if (h, w) in self.two:
-            return self.d2(self.two[h, w]) / total
-        return left / (1 - sum(map(self.word, self.after[h]))) * self.word(w)
-
-
-def katz(docs):
+        if not self.total[h]:
+            return self.p(h[1:], w)
+        if h not in self.memo:
+            total, c, d = self.total[h], self.n[len(h)], self.d[len(h)]
+            left = 1 - sum(d(c[*h, x]) for x in self.after[h]) / total
+            if left < 1e-9:
+                total += 1
+                left = 1 - sum(d(c[*h, x]) for x in self.after[h]) / total
+            self.memo[h] = total, left / (1 - sum(self.p(h[1:], x) for x in self.after[h]))
+        total, weight = self.memo[h]
+        if (*h, w) in self.n[len(h)]:
+            return self.d[len(h)](self.n[len(h)][*h, w]) / total
+        return weight * self.p(h[1:], w)
+
+
+def katz(docs, order=3):
     train = [(i, t) for i, t in docs if fold(i, 5) != 1]
-    m = Katz([t for _, t in train])
-    v, out, memo = len(m.one), [], {}
+    m = Katz([t for _, t in train], order)
+    v, out = len(m.one), []
     for i, t in docs:
-        w = [*words(low(t)), None]
-        score = 0.0
-        for h, x in zip([0, *w[:-1]], w):
-            if (h, x) not in memo:
-                memo[h, x] = math.log10(m.p(h, x))
-            score += memo[h, x]
-        base = sum(math.log10((m.one[x] + 0.5) / (m.n + 0.5 * (v + 1))) for x in w)
-        out.append((i, fold(i, 5) == 1, len(w), sum(x in m.one for x in w), m.n, base, score))
+        w = [0, *words(low(t)), None]
+        score = sum(math.log10(m.p(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w)))
+        base = sum(math.log10((m.one[x,] + 0.5) / (m.tokens + 0.5 * (v + 1))) for x in w[1:])
+        out.append((i, fold(i, 5) == 1, len(w) - 1, sum((x,) in m.one for x in w[1:]), m.tokens, base, score))
     return out, m
 
 

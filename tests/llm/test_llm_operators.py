@@ -274,18 +274,21 @@ def test_tiles_cover():
         assert cover(tiles) == cover(windows) and len(tiles) <= len(windows)
 
 
-def test_katz(spark, docs, monkeypatch):
-    want, model = brute.katz(docs)
-    for size in (1 << 24, 3000):
-        monkeypatch.setattr(katz, "BLOCK_BYTES", size)
-        got = katz.score(frame(spark, docs))
-        key = lambda r: (str(r[0]), r[2], round(r[5], 6), round(r[6], 6))
-        got = sorted((tuple(r) for r in got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
-        for a, b in zip(got, sorted(want, key=key), strict=True):
-            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9, abs=1e-9)
+@pytest.mark.parametrize("order,size,hot", [(2, 1 << 24, None), (3, 1 << 24, None), (3, 3000, 40), (4, 3000, 7)])
+def test_katz(spark, docs, monkeypatch, order, size, hot):
+    want, model = brute.katz(docs, order)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", size)
+    if hot:  # many histories are dealt in pieces
+        monkeypatch.setattr(katz, "max", lambda *x: hot if x[0] == 1000 else max(*x), raising=False)
+    got = katz.score(frame(spark, docs), order=order)
+    key = lambda r: (str(r[0]), r[2], round(r[5], 6), round(r[6], 6))
+    got = sorted((tuple(r) for r in got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9, abs=1e-9)
     # every history's probabilities add up to one over all words and the unknown
-    for h in [0, "w1", "ha", "never seen"]:
-        assert sum(model.p(h, w) for w in [*model.one, "never seen either"]) == pytest.approx(1)
+    for h in [(0,), ("w1",), ("ha",), ("never seen",), ("ha", "ha"), (0, "ha"), ("w1", "w2"), ("ha", "ha", "ha")]:
+        if len(h) < order:
+            assert sum(model.p(h, w) for w in [*(x for x, in model.one), "never seen either"]) == pytest.approx(1)
 
 
 def test_warc(spark):
