@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK, MESSAGE, NAMES, TEXT, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked, word_hashes
 from .common import dropped, stored
 
-BLOCK_BYTES, LARGEST = 16 << 20, 5
+BLOCK_BYTES, LARGEST = 12 << 20, 5
 TABLE, STATS, ASKED = 50, 51, 60  # kinds of messages; others are orders, and 20 + order for weights
 END, BEGIN = np.uint64(1), np.uint64(2)  # names of the end token and of what stands before a text
 NO_ID = np.int64(-1)
@@ -94,14 +94,18 @@ def _runs(history: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Grams:
     """The distinct n-grams of one order in a block: history and word as numbers, ascending by history, and each token's place among them (-1: none)."""
 
-    def __init__(self, history: np.ndarray, word: np.ndarray, local: np.ndarray) -> None:
-        known = (history != NO_ID) & (word != NO_ID)
-        hs, of = np.unique(history[known], return_inverse=True)
-        keys, first, which = np.unique(of.astype(np.uint64) << np.uint64(32) | local[known].astype(np.uint64), return_index=True, return_inverse=True)
-        self.token = np.flatnonzero(known)[first]  # some token that has it
-        self.history, self.word = hs[(keys >> np.uint64(32)).astype(np.int64)], word[self.token]
-        self.place = np.full(len(word), -1, np.int64)
-        self.place[known] = which
+    def __init__(self, hs: np.ndarray, history: np.ndarray, word: np.ndarray, local: np.ndarray) -> None:
+        """``hs``: the block's histories, ascending; ``history``: each token's place among them (-1: none)."""
+        known = np.flatnonzero((history >= 0) & (word != NO_ID))
+        keys = history[known].astype(np.uint64) << np.uint64(32) | local[known].astype(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.token = known[order[new]]  # some token that has it
+        self.history, self.word = hs[(keys[new] >> np.uint64(32)).astype(np.int64)], word[self.token]
+        self.place = np.full(len(word), -1, np.int32)
+        self.place[known[order]] = np.cumsum(new, dtype=np.int32) - 1
 
 
 class Text:
@@ -110,12 +114,12 @@ class Text:
     def __init__(self, b: Block, model: "Scalars") -> None:
         self.b, self.model = b, model
         at, count, number, size = unpacked(b.data)
-        self.at, self.size = at.astype(np.int64), size
+        self.at, self.size, self.own = at.astype(np.int32), size, number
         self.first = np.cumsum(size) - size
         self.train = np.repeat(training(b.ids, model.folds, model.fold), size)
         self.word = number[self.at]
         #: For each order up to now: count and number of the n-gram that ends at each token, and total of its history.
-        self.counts, self.numbers, self.totals, self.grams = [count[self.at]], [self.word], [np.full(len(self.at), max(model.tokens[0], 1))], [None]
+        self.counts, self.numbers, self.totals, self.grams = [count[self.at]], [self.word], [np.full(len(self.at), max(model.tokens[0], 1))], []
 
     def history(self) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of the longest history known so far of each token."""
@@ -128,7 +132,17 @@ class Text:
     def ask(self) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
         """N-grams of the next order, the count of each one's history, and their buckets; and each token's history."""
         h, c = self.history()
-        g = Grams(h, self.word, self.at)
+        # places of the histories among the block's, without sorting by token: words or n-grams of the order before, by number
+        number, of = (self.own, self.at) if len(self.counts) == 1 else (self.last, self.grams[-1].place)
+        order = np.argsort(number, kind="stable")
+        place = np.empty(len(order) + 1, np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        place[-1] = -1
+        before = place[np.concatenate([of[:1], of[:-1]])]
+        hs = np.append(number[order], BEGIN_ID)
+        before[self.first] = len(order) if len(self.counts) == 1 else -1
+        before[h == NO_ID] = -1
+        g = Grams(hs, before, self.word, self.at)
         return g, c[g.token], _pieces(g.history, g.word, c[g.token], self.model.hot, self.model.n), h
 
     def told(self, weighed: bool = True) -> None:
@@ -145,7 +159,8 @@ class Text:
         _, own = self.history()
         self.counts.append(c[g.place])
         self.numbers.append(number[g.place])
-        self.grams.append(g)
+        self.last = number[:-1]
+        self.grams = [g]
         # a history whose n-grams all keep their count has its total raised by one
         raised = m.discounts[order - 1].leaves_all(least)[g.place] & (own > 0) & (self.counts[-1] > 0)
         self.asked = h, own
@@ -228,7 +243,7 @@ class Scalars:
     discounts: tuple[Discounts, ...] = ()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 3, folds: int = 5, fold: int = 1) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 2, folds: int = 5, fold: int = 1) -> DataFrame:
     """Score every text by a model of ``order`` trained on those outside the held-out fold.
 
     Tokens are runs of anything but ASCII white space, A-Z lowered, and one end per text; the history of a text's first tokens is

@@ -172,7 +172,7 @@ class Katz:
         return weight * self.p(h[1:], w)
 
 
-def katz(docs, order=3):
+def katz(docs, order=2):
     train = [(i, t) for i, t in docs if fold(i, 5) != 1]
     m = Katz([t for _, t in train], order)
     v, out = len(m.one), []
