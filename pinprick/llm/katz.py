@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK, MESSAGE, NAMES, TEXT, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked, word_hashes
 from .common import dropped, stored
 
-BLOCK_BYTES, LARGEST = 12 << 20, 5
+BLOCK_BYTES, LARGEST = 8 << 20, 5
 TABLE, STATS, ASKED = 50, 51, 60  # kinds of messages; others are orders, and 20 + order for weights
 END, BEGIN = np.uint64(1), np.uint64(2)  # names of the end token and of what stands before a text
 NO_ID = np.int64(-1)
