@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_partitions, stored, tuned, utf8
+from .common import let_go, n_partitions, stored, tuned, utf8
 
 #: What a block asks or is told: a kind, the bucket, and packed arrays.
 MESSAGE = "block long, kind int, bucket int, data binary"
@@ -117,6 +117,7 @@ def each_block(blocks: DataFrame, work: Callable[[Block], Iterator[pa.RecordBatc
                     continue
                 yield from work(Block(number, data, ids, sizes, answers))
                 answers = {}
+        let_go()
 
     return rows.select("block", "kind", "bucket", "data", "ids", "sizes").mapInArrow(run, schema)
 
@@ -136,6 +137,8 @@ def each_bucket(asked: DataFrame, work: Callable[[int, list[tuple[int, int, byte
                 held.append((block, kind, data))
         if held:
             yield from work(now, held)
+        now, held = None, []
+        let_go()
 
     return rows.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, n_partitions, stored, tuned, utf8
+from .common import free_name, let_go, n_partitions, stored, tuned, utf8
 
 #: Words: digits, ASCII letters (lowered) and everything beyond ASCII; the rest separates.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -81,6 +81,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     parts, firsts, counts, ids, at = [], [], [], [], 0
         if firsts:
             yield from flush()
+        code.clear()
+        parts, firsts, counts, ids = [], [], [], []
+        let_go()
 
     return stored(rows.mapInArrow(index, schema), "positional-index")
 
@@ -177,6 +180,8 @@ def find_phrases(index: DataFrame, phrases: list[tuple[tuple[bytes, ...], list[i
                 lists[vocabulary[terms[i]]] = np.cumsum(values[offsets[i] : offsets[i + 1]], dtype=np.int64)
         if lists:
             yield from close()
+        lists = {}
+        let_go()
 
     return needed.select("shard", "term", "gaps").mapInArrow(search, "shard long, name long, a long, z long")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, n_partitions, stored, tuned, utf8
+from .common import free_name, let_go, n_partitions, stored, tuned, utf8
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -209,6 +209,8 @@ def hamming_links(points: DataFrame, bits: int = 4, *, segments: int | None = No
             held.append([c[cut:] for c in cols])
         if held and len(held[0][0]) and (out := solve(held[0])) is not None:
             yield out
+        held.clear()
+        let_go()
 
     return dealt.mapInArrow(link, "a long, b long").distinct()
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import MESSAGE, Block, each_block, each_bucket, make_blocks, messages, mix, n_buckets, packed, split_by, swept, unpacked, word_hashes
-from .common import dropped, free_name, n_partitions, stored
+from .common import dropped, free_name, let_go, n_partitions, stored
 from .components import connected_components
 from .simhash import hamming_links
 
@@ -231,11 +231,13 @@ def _apart(keyed: DataFrame, least: Fraction) -> DataFrame:
             held = [c[cut:] for c in now]
         if held is not None:
             yield from solve(held[:-2], held[-2], held[-1])
+        held = None
+        let_go()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, least: float = 0.8, rounds: int = 4) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, least: float = 0.8, rounds: int = 1) -> DataFrame:
     """(id, component_id) of each row that is linked to another one.
 
     Rows are linked when the distinct shingles of ``words`` words of their texts have a Jaccard

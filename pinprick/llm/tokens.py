@@ -12,9 +12,10 @@ from __future__ import annotations
 import re
 from array import array
 
-import pyarrow as pa
 from tokenizers import Tokenizer
 
+from .common import let_go
+
 MEMORY, LONGEST = 350_000, 64
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _KNOWN = bytes([10, *range(32, 127), *(x for x in range(192, 256) if x not in (215, 247))])
@@ -91,6 +92,6 @@ class Encoder:
 def encoder(path: str, kind: str) -> Encoder:
     """One encoder per Python worker."""
     if (path, kind) not in _encoders:
-        pa.default_memory_pool().release_unused()  # what earlier work in this process left
+        let_go()  # what earlier work in this process left
         _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]

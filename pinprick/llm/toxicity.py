@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, stored, tuned, utf8
+from .common import free_name, let_go, stored, tuned, utf8
 
 BITS, ORDERS, CHUNK = 18, (4, 5, 6), 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -181,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     table = stored(table.groupBy("_id").agg(F.min(F.struct("_y", "_f")).alias("r")).select("_id", "r._y", "r._f"), "toxicity-sample")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         got = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([f for _, _, f in got], np.array([float(y == 1) for _, y, _ in got]), **options))], pa.binary())], names=["model"])
 
@@ -207,6 +208,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", out: str = "sc
         for b in batches:
             scores = pa.array([own.score(t, seen) for t in utf8(b.column(at))], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], scores], names=schema.names)
+        let_go()
 
     return rows.mapInArrow(run, schema)
 
