@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import inspect
 import json
+import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -58,6 +60,9 @@ class Pipeline:
 _KINDS = {c.__name__: c for c in (regions.Box, regions.Rectangle, regions.Ellipse, regions.Polygon, regions.LineSegment, regions.Cuboid)}
 
 
+_NOTATION = ("Interval", "AxisOrientedRectangle", "Rectangle", "Ellipse", "Polygon", "AxisOrientedCuboid", "Cuboid", "AxisOrientedHypercuboid")
+
+
 def _tuples(x):
     return tuple(map(_tuples, x)) if isinstance(x, list) else x
 
@@ -80,11 +85,28 @@ class Roi:
 
     @staticmethod
     def load(path: str) -> "Roi":
-        x = json.loads(Path(path).read_text())
+        text = Path(path).read_text()
+        if not text.lstrip().startswith("{"):
+            return Roi._from_notation(text)
+        x = json.loads(text)
         kind = _KINDS[x["region_type"]]
         return Roi(kind(**{k: _tuples(v) for k, v in x["region_specs"].items()}), x["reference"], tuple(x["columns"]))
 
 
+    @staticmethod
+    def _from_notation(text: str) -> "Roi":
+        """From YAML with ``reference``, ``region`` (a call such as ``Rectangle((0, 0), 2, 1, 45)``) and ``loc_properties``."""
+        import yaml  # only this notation needs it
+
+        x = yaml.safe_load(text)
+        call = re.fullmatch(r"(\w+)\((.*)\)", x["region"].strip(), re.DOTALL)
+        make = getattr(regions, call[1], None) if call else None
+        if call is None or call[1] not in _NOTATION or make is None:
+            raise ValueError("the file names no region")
+        args = ast.literal_eval(f"[{call[2]}]")
+        return Roi(make(*map(_tuples, args)), x.get("reference") or "", tuple(x.get("loc_properties") or ()))
+
+
 def roi_from_legacy(region_type: str, specs, reference: str = "", columns: tuple[str, ...] = ()) -> Roi:
     """Regions in the old notation: interval (lo, hi), rectangle (corner, width, height, angle), ellipse
     (center, width, height, angle), polygon (points)."""

@@ -91,6 +91,18 @@ class LocSet:
     def update(self, df: DataFrame, reset_index: bool = False) -> "LocSet":
         return self._with(df.drop("index").withColumn("index", F.monotonically_increasing_id()) if reset_index else df, "update", reset_index=reset_index)
 
+    def reset(self, reset_index: bool = False) -> "LocSet":
+        """The same rows without region, with numbers from 0 in the order of the old index if wanted; properties are computed when asked for."""
+        df = filters.numbered_rows(self.df.withColumnRenamed("index", "_old"), [F.col("_old")], "index").drop("_old") if reset_index else self.df
+        return LocSet(df, self.meta.after("reset", reset_index=reset_index))
+
+    def data(self, reference: "LocSet | None" = None) -> DataFrame:
+        """The rows; with a reference, its rows of the same index, beside the columns that only this set has."""
+        if reference is None:
+            return self.df
+        own = [c for c in self.df.columns if c != "index" and c not in reference.df.columns]
+        return reference.df.join(self.df.select("index", *own), "index")
+
     def reduce(self) -> "LocSet":
         """The rows written out, so that later steps start from them."""
         return self._with(written(self.df), "reduce")

@@ -129,30 +129,37 @@ def _circles(q: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def simplices_of(p: np.ndarray) -> tuple[list, list]:
-    """Edges (i, j, from, to, until) and triangles (i, j, k, from): the alphas at which each enters the complex,
-    becomes regular and becomes interior."""
+    """Edges (i, j, a, b, c, enter, leave) and triangles (i, j, k, a, b, c) of the Delaunay triangulation.
+
+    An edge belongs to the complex from half its length (a), is regular from the smaller circumradius beside it (b) and
+    interior from the larger one (c; endless at the hull). A triangle's values are the largest of its edges.
+    Between ``enter`` and ``leave`` an edge has exactly one triangle of the complex beside it."""
     tri = delaunay(p)
     if not len(tri):
         return [], []
     radius = np.sqrt(_circles(p, tri)[1])
-    of: dict[tuple[int, int], list[tuple[float, int]]] = {}
-    for t, r in zip(tri.tolist(), radius.tolist()):
+    sides: dict[tuple[int, int], list[int]] = {}
+    for n, t in enumerate(tri.tolist()):
         for k in range(3):
-            i, j = sorted((t[k], t[(k + 1) % 3]))
-            of.setdefault((i, j), []).append((r, t[(k + 2) % 3]))
+            sides.setdefault(tuple(sorted((t[k], t[(k + 1) % 3]))), []).append(n)
+    of_edge = {}
+    largest = np.zeros((len(tri), 3))
+    for (i, j), around in sides.items():
+        rs = sorted(float(radius[n]) for n in around) + [float("inf")]
+        of_edge[i, j] = (float(np.sqrt(((p[i] - p[j]) ** 2).sum()) / 2), rs[0], rs[1])
+        for n in around:
+            largest[n] = np.maximum(largest[n], of_edge[i, j])
     edges = []
-    for (i, j), around in of.items():
-        half, mid = float(np.sqrt(((p[i] - p[j]) ** 2).sum()) / 2), (p[i] + p[j]) / 2
-        # an edge with a point in its smallest circle comes with its first triangle
-        blocked = any(((p[k] - mid) ** 2).sum() < half * half * (1 - 1e-12) for _, k in around)
-        rs = sorted(r for r, _ in around)
-        edges.append((i, j, rs[0] if blocked else half, rs[0], rs[1] if len(rs) > 1 else float("inf")))
-    return edges, [(*t, r) for t, r in zip(tri.tolist(), radius.tolist())]
+    for (i, j), around in sides.items():
+        enters = sorted(float(largest[n, 0]) for n in around) + [float("inf")]
+        edges.append((i, j, *of_edge[i, j], enters[0], enters[1]))
+    return edges, [(*t, *v) for t, v in zip(tri.tolist(), largest.tolist())]
 
 
 def alpha_complex(df: DataFrame, by: str = "cluster_label", coords: Sequence[str] | None = None) -> DataFrame:
-    """Simplices of every group in one table: kind ('edge' or 'triangle'), end points, area, and for edges the alphas at
-    which they enter (``a``), become regular (``b``) and interior (``c``). One table answers any alpha by a filter."""
+    """Simplices of every group in one table: kind ('edge' or 'triangle'), end points, length or area, the alphas at which
+    they enter (``a``), become regular (``b``) and interior (``c``), and between which an edge bounds the region
+    (``enter``, ``leave``; null for triangles). One table answers any alpha by a filter."""
     x, y = check_columns(df.columns, coords)[:2]
     rows = df.select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().distinct()
     kind = dict(df.dtypes)[by]
@@ -161,26 +168,48 @@ def alpha_complex(df: DataFrame, by: str = "cluster_label", coords: Sequence[str
         p = np.unique(pdf[["x", "y"]].to_numpy(), axis=0)
         edges, triangles = simplices_of(p)
         key = pdf[by].iloc[0]
-        out = [(key, "edge", i, j, -1, float(np.sqrt(((p[i] - p[j]) ** 2).sum())), a, b, c) for i, j, a, b, c in edges]
-        out += [(key, "triangle", i, j, k, area_of(p[[i, j, k]]), r, r, r) for i, j, k, r in triangles]
-        return pd.DataFrame(out, columns=[by, "kind", "i", "j", "k", "size", "a", "b", "c"])
+        out = [(key, "edge", i, j, -1, float(np.sqrt(((p[i] - p[j]) ** 2).sum())), *rest) for i, j, *rest in edges]
+        out += [(key, "triangle", i, j, k, area_of(p[[i, j, k]]), *rest, None, None) for i, j, k, *rest in triangles]
+        return pd.DataFrame(out, columns=[by, "kind", "i", "j", "k", "size", "a", "b", "c", "enter", "leave"])
 
-    return rows.groupBy(by).applyInPandas(run, f"`{by}` {kind}, kind string, i long, j long, k long, size double, a double, b double, c double")
+    return rows.groupBy(by).applyInPandas(run, f"`{by}` {kind}, kind string, i long, j long, k long, size double, a double, b double, c double, enter double, leave double")
 
 
-def alpha_lines(simplices: DataFrame, alpha: float, kind: str = "all") -> DataFrame:
-    """Edges at ``alpha``: all, exterior (of no interior), singular, regular or interior."""
-    e = simplices.where("kind = 'edge'")
+def _of_kind(simplices: DataFrame, alpha: float, kind: str) -> DataFrame:
     a, b, c = (F.col(x) <= alpha for x in "abc")
-    return e.where({"all": a, "singular": a & ~b, "regular": b & ~c, "interior": c, "exterior": a & ~c}[kind])
+    return simplices.where({"all": a, "singular": a & ~b, "regular": b & ~c, "interior": c, "exterior": ~a}[kind])
+
+
+def alpha_lines(simplices: DataFrame, alpha: float, kind: str = "all") -> DataFrame:
+    """Edges at ``alpha``: all, singular, regular, interior, or exterior (not in the complex)."""
+    return _of_kind(simplices.where("kind = 'edge'"), alpha, kind)
+
+
+def alpha_triangles(simplices: DataFrame, alpha: float, kind: str = "all") -> DataFrame:
+    """Triangles at ``alpha``, of the same kinds as edges."""
+    return _of_kind(simplices.where("kind = 'triangle'"), alpha, kind)
+
+
+def triangle_graph(simplices: DataFrame, alpha: float, kind: str = "all", by: str = "cluster_label") -> DataFrame:
+    """Edges (``by``, a, b, triangle) of the triangles at ``alpha``, one row per triangle and side; ``triangle`` lists its corners."""
+    corners = F.array("i", "j", "k")
+    side = F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ij", "jk", "ki"))))
+    return alpha_triangles(simplices, alpha, kind).select(by, corners.alias("triangle"), side.alias("_s")).select(by, "_s.a", "_s.b", "triangle")
+
+
+def alphas(simplices: DataFrame, by: str = "cluster_label") -> DataFrame:
+    """(``by``, alpha): the values at which the shape changes; endless for edges of the hull."""
+    return simplices.where("kind = 'edge'").select(by, F.explode(F.array("a", "b", "c")).alias("alpha")).distinct()
 
 
 def alpha_shapes(simplices: DataFrame, alpha: float, by: str = "cluster_label") -> DataFrame:
-    """Per group at ``alpha``: area of the triangles, length of the boundary, and counts of both."""
-    t = simplices.where((F.col("kind") == "triangle") & (F.col("a") <= alpha)).groupBy(by).agg(F.sum("size").alias("region_measure_as"), F.count("*").alias("n_triangles"))
-    e = alpha_lines(simplices, alpha, "regular").groupBy(by).agg(F.sum("size").alias("subregion_measure_as"), F.count("*").alias("n_boundary_lines"))
-    out = simplices.select(by).distinct().join(t, by, "left").join(e, by, "left")
-    return out.fillna(0.0, ["region_measure_as", "subregion_measure_as"]).fillna(0, ["n_triangles", "n_boundary_lines"])
+    """Per group at ``alpha``: area of the triangles, length of their union's boundary, counts of both, and the numbers of
+    points on edges of the complex and on regular edges."""
+    t = alpha_triangles(simplices, alpha).groupBy(by).agg(F.sum("size").alias("region_measure_as"), F.count("*").alias("n_triangles"))
+    e = simplices.where((F.col("enter") <= alpha) & (F.col("leave") > alpha)).groupBy(by).agg(F.sum("size").alias("subregion_measure_as"), F.count("*").alias("n_boundary_lines"))
+    ends = lambda kind, name: alpha_lines(simplices, alpha, kind).select(by, F.explode(F.array("i", "j")).alias("_p")).groupBy(by).agg(F.countDistinct("_p").alias(name))
+    out = simplices.select(by).distinct().join(t, by, "left").join(e, by, "left").join(ends("all", "n_points_alpha_shape"), by, "left").join(ends("regular", "n_points_on_boundary"), by, "left")
+    return out.fillna(0.0, ["region_measure_as", "subregion_measure_as"]).fillna(0, ["n_triangles", "n_boundary_lines", "n_points_alpha_shape", "n_points_on_boundary"])
 
 
 def optimal_alpha(simplices: DataFrame, by: str = "cluster_label") -> DataFrame:
@@ -188,9 +217,9 @@ def optimal_alpha(simplices: DataFrame, by: str = "cluster_label") -> DataFrame:
     return simplices.where("kind = 'edge'").groupBy(by).agg(F.max("a").alias("optimal_alpha"))
 
 
-def alpha_components(simplices: DataFrame, alpha: float) -> DataFrame:
-    """(node, component) of the points connected by edges at ``alpha`` (of a single group)."""
-    return components(alpha_lines(simplices, alpha).select(F.col("i").alias("a"), F.col("j").alias("b")))
+def alpha_components(simplices: DataFrame, alpha: float, by: str = "cluster_label") -> DataFrame:
+    """(node, component) of the points connected by triangles at ``alpha`` (of a single group)."""
+    return components(triangle_graph(simplices, alpha, by=by).select("a", "b"))
 
 
 def expected_hull_area(n: int, sigma: float = 1) -> float:
@@ -222,7 +251,7 @@ def hull_expectation_batch(sets: Sequence[DataFrame], by: str = "cluster_label",
     return hull_expectation(pooled, sigma=sigma)
 
 
-def _rectangle_corners(v: np.ndarray) -> np.ndarray:
+def rectangle_corners(v: np.ndarray) -> np.ndarray:
     """Corners, counter-clockwise, of the smallest rectangle around a convex polygon."""
     a = np.radians(rectangle_of(v)[2])
     axes = np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])
@@ -247,7 +276,7 @@ def localizations_in_hulls(df: DataFrame, collection: DataFrame, by: str = "clus
             (x0, y0), (x1, y1) = v.min(0), v.max(0)
             v = np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]])
         elif hull == "oriented_bounding_box":
-            v = _rectangle_corners(v)
+            v = rectangle_corners(v)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "vx": [v[:, 0].tolist()], "vy": [v[:, 1].tolist()]})
 
     hulls = hull_vertices(collection, by).groupBy(by).applyInPandas(corners, f"`{by}` {kind}, vx array<double>, vy array<double>").where(F.size("vx") > 2)

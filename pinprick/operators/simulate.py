@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import COORDINATES, coordinates
-from ..functions.regions import Region, region_from_intervals
+from ..functions.regions import Polygon, Region, region_from_intervals
 
 
 def uniform(seed: int, name: str, *keys: Column) -> Column:
@@ -146,9 +146,48 @@ def simulate_frame_numbers(spark: SparkSession, n: int, lam: float, seed: int =
     return frames.select("frame", F.explode(F.sequence("_a", F.col("_b") - 1)).alias("index")).where(F.col("index") < n)
 
 
-def randomize(df: DataFrame, seed: int = 0) -> DataFrame:
-    """As many uniform points as the frame has, in its bounding box."""
+def simulate_centers(spark: SparkSession, centers: int | Sequence[Sequence[float]] = 3, region=(0, 1), expansion_distance: float = 0, offspring: Sequence[Sequence[Sequence[float]]] | None = None, clip: bool = True, seed: int = 0) -> DataFrame:
+    """Given or uniform cluster centres (in the region grown by a distance), each replaced by its own list of points around it
+    if lists are given, one per centre or more. ``clip`` drops what is outside the region. Adds cluster_label."""
+    r = _region(region)
+    names = COORDINATES[: r.dimension]
+    if isinstance(centers, int):
+        parents = simulate_uniform(spark, centers, _grown(r, expansion_distance), seed)
+        n = centers
+    else:
+        if any(len(c) != r.dimension for c in centers):
+            raise ValueError("centres and region differ in dimension")
+        n = len(centers)
+        parents = spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(centers)], "index long" + "".join(f", {c} double" for c in names))
+    out = parents.withColumn("cluster_label", F.col("index"))
+    if offspring is not None:
+        if len(offspring) < n:
+            raise ValueError("every centre needs a list of points")
+        rows = [(i, k, *map(float, p)) for i, own in enumerate(offspring[:n]) for k, p in enumerate(own)]
+        moves = spark.createDataFrame(rows, "cluster_label long, _k long" + "".join(f", _{c} double" for c in names))
+        out = out.drop("index").join(moves, "cluster_label").withColumns({c: F.col(c) + F.col(f"_{c}") for c in names})
+        out = out.withColumn("index", F.xxhash64("cluster_label", "_k")).drop("_k", *(f"_{c}" for c in names))
+    return out.where(r.contains([F.col(c) for c in names])) if clip else out
+
+
+def randomize(df: DataFrame, seed: int = 0, hull: str | Region = "bb") -> DataFrame:
+    """As many uniform points as the frame has, in its bounding box ('bb'), convex hull ('ch'), smallest rectangle ('obb') or a region.
+
+    The two hulls are of planar points; their corners come to the driver, few beside the rows, but as many as rows if all lie on a convex curve."""
     coords = coordinates(df.columns)
+    if isinstance(hull, Region):
+        return simulate_uniform(df.sparkSession, df.count(), hull, seed)
+    if hull in ("ch", "obb"):
+        from .hulls import convex_hull, hull_vertices, rectangle_corners
+
+        if len(coords) != 2:
+            raise ValueError("convex hulls and smallest rectangles are of planar points")
+        v = convex_hull(hull_vertices(df.withColumn("_all", F.lit(0)), "_all").select("x", "y").toPandas().to_numpy(float))
+        if len(v) < 3:
+            raise ValueError("the points have no hull")
+        return simulate_uniform(df.sparkSession, df.count(), Polygon(tuple(map(tuple, (v if hull == "ch" else rectangle_corners(v)).tolist()))), seed)
+    if hull != "bb":
+        raise ValueError("hull is bb, ch, obb or a region")
     r = df.agg(F.count("*"), *(f(c) for c in coords for f in (F.min, F.max))).first()
     return simulate_uniform(df.sparkSession, r[0], [(r[1 + 2 * k], r[2 + 2 * k] + 1e-12) for k in range(len(coords))], seed)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..catalog import check_columns, coordinates
 from ..functions.binning import Bins
 from .binned import histogram
+from .components import written
 from .spatial import nearest_neighbors
 
 
@@ -221,55 +222,164 @@ def estimate_drift(chunked: DataFrame, bins: Bins, target: str = "first") -> lis
     return out
 
 
+def estimate_drift_icp(chunked: DataFrame, target: str = "first", *, max_distance: float = 100, **options) -> list[tuple[float, Transformation]]:
+    """(mean frame, transformation onto the first chunk) for each chunk, by closest points with the first chunk or with the one
+    before, whose transformations are then composed (without scaling). ``options`` go to :func:`register_icp`."""
+    if target not in ("first", "previous"):
+        raise ValueError("target is first or previous")
+    chunked = written(chunked)  # read once per chunk and round
+    frames = [(r["chunk"], r["f"]) for r in chunked.groupBy("chunk").agg(F.avg("frame").alias("f")).orderBy("chunk").collect()]  # one row per chunk
+    d = len(coordinates(chunked.columns))
+    out: list[tuple[float, Transformation]] = []
+    part = lambda k: chunked.where(F.col("chunk") == frames[k][0]).drop("chunk")
+    options = ({"with_scaling": False} if target == "previous" else {}) | {"max_distance": max_distance} | options
+    for k, (_, frame) in enumerate(frames):
+        if k == 0:
+            out.append((frame, Transformation(np.eye(d), np.zeros(d))))
+            continue
+        step = register_icp(part(k), part(0 if target == "first" else k - 1), **options)
+        if target == "previous":
+            before = out[-1][1]
+            step = Transformation(before.matrix @ step.matrix, before.matrix @ step.offset + before.offset)
+        out.append((frame, step))
+    return out
+
+
+def cubic_pieces(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients (cubic first, in x less the piece's start) of the cubic spline through at least four points of rising x,
+    whose outer two pieces on each side are one polynomial."""
+    h, n = np.diff(x), len(x)
+    a, b = np.zeros((n, n)), np.zeros(n)
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
+        b[k] = 6 * ((y[k + 1] - y[k]) / h[k] - (y[k] - y[k - 1]) / h[k - 1])
+    a[0, :3] = h[1], -h[0] - h[1], h[0]
+    a[-1, -3:] = h[-1], -h[-1] - h[-2], h[-2]
+    m = np.linalg.solve(a, b)
+    return np.column_stack([np.diff(m) / (6 * h), m[:-1] / 2, np.diff(y) / h - h * (2 * m[:-1] + m[1:]) / 6, y[:-1]])
+
+
 class DriftComponent:
-    """One component over time: zero, one, constant, linear, polynomial (degree 3) or spline (piecewise linear)."""
+    """One component over time: none, zero, one, constant, linear, polynomial (of ``degree``), spline, or ``basis``: the
+    least-squares sum of functions that take numbers and columns alike.
+
+    A spline is one cubic if its squared residuals sum up to at most ``smoothing``, else the cubic spline through all
+    points; with fewer than four points, the polynomial through them. Points may come in any order; repeated frames are averaged.
+    """
 
-    def __init__(self, kind: str = "linear") -> None:
-        self.kind, self.coefficients, self.knots = kind, None, None
+    def __init__(self, kind: str = "linear", *, degree: int = 3, smoothing: float = 100, basis: Sequence[Callable] = ()) -> None:
+        if kind not in ("none", "zero", "one", "constant", "linear", "polynomial", "spline", "basis"):
+            raise ValueError(f"no drift model {kind}")
+        self.kind, self.smoothing, self.basis = kind, smoothing, list(basis)
+        self.degree = {"constant": 0, "linear": 1, "polynomial": degree, "spline": 3}.get(kind)
+        self.coefficients, self.starts, self.pieces = None, None, None
 
     def fit(self, x, y) -> "DriftComponent":
         x, y = np.asarray(x, float), np.asarray(y, float)
-        degree = {"constant": 0, "linear": 1, "polynomial": 3}.get(self.kind)
-        if degree is not None:
-            self.coefficients = np.polyfit(x, y, min(degree, len(x) - 1))
-        elif self.kind == "spline":
-            self.knots = (x, y)
-        elif self.kind not in ("zero", "one"):
-            raise ValueError(f"no drift model {self.kind}")
+        self.coefficients = self.starts = self.pieces = None
+        if self.kind == "none":
+            raise ValueError("no model to fit")
+        if self.kind == "basis":
+            self.coefficients = np.linalg.lstsq(np.column_stack([np.broadcast_to(np.asarray(f(x), float), x.shape) for f in self.basis]), y, rcond=None)[0]
+        elif self.degree is not None:
+            self.coefficients = np.polyfit(x, y, min(self.degree, len(set(x.tolist())) - 1))
+            knots = np.unique(x)
+            if self.kind == "spline" and len(knots) > 3 and ((np.polyval(self.coefficients, x) - y) ** 2).sum() > self.smoothing:
+                self.starts, self.pieces = knots[:-1], cubic_pieces(knots, np.array([y[x == k].mean() for k in knots]))
         return self
 
+    def _check(self) -> None:
+        if self.kind == "none" or (self.coefficients is None and self.kind not in ("zero", "one")):
+            raise ValueError("no fitted model")
+
     def eval(self, x):
+        self._check()
         x = np.asarray(x, float)
         if self.kind in ("zero", "one"):
             return np.full(x.shape, float(self.kind == "one"))
-        return np.interp(x, *self.knots) if self.kind == "spline" else np.polyval(self.coefficients, x)
+        if self.kind == "basis":
+            return sum(c * f(x) for c, f in zip(self.coefficients, self.basis))
+        if self.pieces is None:
+            return np.polyval(self.coefficients, x)
+        k = np.searchsorted(self.starts[1:], x, side="right")
+        return sum(self.pieces[k, j] * (x - self.starts[k]) ** (3 - j) for j in range(4))
 
     def column(self, frame: Column) -> Column:
-        """The component as an expression of the frame (all but splines)."""
+        """The component as an expression of the frame; a spline holds as many numbers as the drift has chunks."""
+        self._check()
         if self.kind in ("zero", "one"):
             return F.lit(float(self.kind == "one"))
+        if self.kind == "basis":
+            return sum((F.lit(float(c)) * f(frame) for c, f in zip(self.coefficients, self.basis)), F.lit(0.0))
         out = F.lit(0.0)
-        for c in self.coefficients.tolist():
-            out = out * frame + F.lit(c)
+        if self.pieces is None:
+            for c in self.coefficients.tolist():
+                out = out * frame + F.lit(c)
+            return out
+        piece = F.size(F.filter(F.lit(self.starts[1:].tolist()), lambda start: start <= frame))
+        t = frame - F.get(F.lit(self.starts.tolist()), piece)
+        for j in range(4):
+            out = out * t + F.get(F.lit(self.pieces[:, j].tolist()), piece)
         return out
 
 
+@dataclass(frozen=True)
+class DriftModels:
+    """Fitted components of the matrix (row by row) and of the offset; None leaves that part out."""
+
+    matrix: tuple[DriftComponent, ...] | None
+    offset: tuple[DriftComponent, ...] | None
+
+
+def fit_drift(drift: list[tuple[float, Transformation]], matrix_models: Sequence | None = None, offset_models: Sequence | None = None, chunks: slice = slice(None)) -> DriftModels:
+    """Models (kinds or components, one per element; None: the element of the identity) fitted to the transformations over the
+    mean frames, on a slice of the chunks if one is given."""
+    drift = list(drift)[chunks]
+    d = len(drift[0][1].offset)
+    x = [f for f, _ in drift]
+
+    def fitted(models, values, default) -> tuple[DriftComponent, ...] | None:
+        if models is None:
+            return None
+        if len(models) != len(default):
+            raise ValueError(f"{len(default)} models are needed")
+        parts = [DriftComponent(e) if m is None else DriftComponent(m) if isinstance(m, str) else m for m, e in zip(models, default)]
+        if len({id(c) for c in parts}) < len(parts):
+            raise ValueError("every element needs a component of its own")
+        return tuple(c.fit(x, [v[k] for v in values]) for k, c in enumerate(parts))
+
+    identity = ["one" if i == j else "zero" for i in range(d) for j in range(d)]
+    return DriftModels(fitted(matrix_models, [np.asarray(t.matrix, float).ravel() for _, t in drift], identity), fitted(offset_models, [t.offset for _, t in drift], ["zero"] * d))
+
+
+def apply_drift_models(df: DataFrame, models: DriftModels, frame: str = "frame") -> DataFrame:
+    """Coordinates M(frame) x + offset(frame), as expressions of each row; a null frame gives null coordinates."""
+    if models.matrix is None and models.offset is None:
+        raise ValueError("no fitted model")
+    coords = coordinates(df.columns)
+    d, t = len(coords), F.col(frame)
+    new = {}
+    for k, c in enumerate(coords):
+        x = F.col(c)
+        if models.matrix is not None:
+            x = sum((models.matrix[k * d + j].column(t) * F.col(o) for j, o in enumerate(coords)), F.lit(0.0))
+        new[c] = x + models.offset[k].column(t) if models.offset is not None else x
+    return df.withColumns(new)
+
+
 def apply_drift(df: DataFrame, drift: list[tuple[float, Transformation]], model: str = "linear") -> DataFrame:
     """Coordinates moved by the drift model fitted to each offset over the mean frames."""
-    coords = coordinates(df.columns)
-    fits = [DriftComponent(model).fit([f for f, _ in drift], [t.offset[k] for _, t in drift]) for k in range(len(coords))]
-    if model != "spline":
-        return df.withColumns({c: F.col(c) + fit.column(F.col("frame")) for c, fit in zip(coords, fits)})
-    frames = [r["frame"] for r in df.select("frame").distinct().orderBy("frame").toLocalIterator()]
-    table = df.sparkSession.createDataFrame([(int(f), *(float(fit.eval(f)) for fit in fits)) for f in frames], "frame long" + "".join(f", _d{k} double" for k in range(len(coords))))
-    return df.join(table, "frame").withColumns({c: F.col(c) + F.col(f"_d{k}") for k, c in enumerate(coords)}).drop(*(f"_d{k}" for k in range(len(coords))))
+    return apply_drift_models(df, fit_drift(drift, offset_models=[model] * len(coordinates(df.columns))))
 
 
 def apply_chunk_transforms(chunked: DataFrame, drift: list[tuple[float, Transformation]]) -> DataFrame:
     """Each chunk moved by its own transformation (the first by the first)."""
     coords = coordinates(chunked.columns)
-    table = chunked.sparkSession.createDataFrame([(k, *map(float, t.offset)) for k, (_, t) in enumerate(drift)], "chunk int" + "".join(f", _d{k} double" for k in range(len(coords))))
-    return chunked.join(table, "chunk").withColumns({c: F.col(c) + F.col(f"_d{k}") for k, c in enumerate(coords)}).drop(*(f"_d{k}" for k in range(len(coords))))
+    d = len(coords)
+    rows = [(k, np.asarray(np.eye(d) if t.matrix is None else t.matrix, float).ravel().tolist(), [float(o) for o in t.offset]) for k, (_, t) in enumerate(drift)]
+    table = chunked.sparkSession.createDataFrame(rows, "chunk int, _m array<double>, _o array<double>")
+    moved = {c: sum((F.get("_m", F.lit(k * d + j)) * F.col(o) for j, o in enumerate(coords)), F.lit(0.0)) + F.get("_o", F.lit(k)) for k, c in enumerate(coords)}
+    return chunked.join(table, "chunk").withColumns(moved).drop("_m", "_o")
 
 
 def linear_drift_correction(df: DataFrame, column: str = "position_x", frame: str = "frame") -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..analysis import Analysis, Pipeline, Roi, roi_from_legacy
 from ..dataset import LocSet
-from ..functions import distributions, regions
+from ..functions import distributions, regions, rotations
 from ..functions.binning import Bins
 from ..operators import binned, clustering, filters, frames, hulls, properties, simulate, spatial_stats, transforms
 from ..operators.components import work_dir
@@ -430,4 +432,61 @@ def _(s, d):
     return text.convert_property_types(loc_li(s, d).select(*(F.col(c).cast("string").alias(c) for c in ("frame", "position_x", "intensity"))))
 
 
+# drift models, turns, datasets
+
+def _drift(matrix, offset, frames) -> list:
+    return [(float(f), transforms.Transformation(matrix(f), offset(f))) for f in frames]
+
+
+@query("drift_models_linear", sql("SELECT frame, round(position_x * (1 + 0.001 * frame) + 0.5 * frame, 6) AS position_x, round(position_y - 0.002 * frame * position_x - 0.25 * frame, 6) AS position_y FROM loc_li"))
+def _(s, d):
+    drift = _drift(lambda f: [[1 + 0.001 * f, 0], [-0.002 * f, 1]], lambda f: [0.5 * f, -0.25 * f], range(-1000, 1400, 300))
+    models = transforms.fit_drift(drift, matrix_models=["linear", None, "linear", "one"], offset_models=["linear", "linear"])
+    return r(transforms.apply_drift_models(loc_li(s, d).select("frame", "position_x", "position_y"), models), "position_x", "position_y", digits=6)
+
+
+@query("drift_spline", sql("SELECT frame, round(position_x + 1.23456789e-7 * frame * frame * frame - 0.00212345678 * frame * frame, 3) AS position_x, position_y FROM loc_li"))
+def _(s, d):
+    drift = _drift(lambda f: [[1, 0], [0, 1]], lambda f: [1.23456789e-7 * f**3 - 0.00212345678 * f**2, 0], range(-1200, 1400, 200))
+    models = transforms.fit_drift(drift, offset_models=[transforms.DriftComponent("spline", smoothing=-1), None])  # never one cubic alone
+    return r(transforms.apply_drift_models(loc_li(s, d).select("frame", "position_x", "position_y"), models), "position_x", digits=3)
+
+
+@query("drift_basis", sql("SELECT index, round(position_x + 2 * sin(frame / 1000.0) + 0.5 * sqrt(abs(frame)), 4) AS position_x FROM loc_ev"))
+def _(s, d):
+    lit = lambda on_column, on_number: lambda x: on_column(x) if isinstance(x, Column) else on_number(x)
+    wave = transforms.DriftComponent("basis", basis=[lit(lambda x: F.sin(x / 1000.0), lambda x: np.sin(x / 1000)), lit(lambda x: F.sqrt(F.abs(x)), lambda x: np.sqrt(np.abs(x)))])
+    drift = _drift(lambda f: [[1]], lambda f: [2 * math.sin(f / 1000) + 0.5 * math.sqrt(f)], range(0, 2000, 100))
+    return r(transforms.apply_drift_models(loc_ev(s, d).select("index", "frame", "position_x"), transforms.fit_drift(drift, offset_models=[wave])).drop("frame"), "position_x", digits=4)
+
+
+@query("rotate_2d_inverse", sql("SELECT index, round((position_x + 1) * cos(radians(-40)) - position_y * sin(radians(-40)), 9) AS position_x, round((position_x + 1) * sin(radians(-40)) + position_y * cos(radians(-40)), 9) AS position_y FROM loc_emb"))
+def _(s, d):
+    p = loc_emb_2d(s, d).select("index", (F.col("position_x") + 1).alias("position_x"), "position_y")
+    return r(rotations.rotate(p, rotations.Rotation2D.from_angle(40, degrees=True).inv()), "position_x", "position_y", digits=9)
+
+
+@query("rotate_3d", sql("SELECT index, round(-position_y, 9) AS position_x, round(position_x * cos(radians(30)) - position_z * sin(radians(30)), 9) AS position_y, round(position_x * sin(radians(30)) + position_z * cos(radians(30)), 9) AS position_z FROM loc_emb"))
+def _(s, d):
+    p = loc_emb(s, d).select("index", "position_x", "position_y", "position_z")
+    return r(rotations.rotate(p, rotations.Rotation3D.from_euler("zx", [90, 30], degrees=True)), "position_x", "position_y", "position_z", digits=9)
+
+
+@query("dataset_reset", sql("SELECT row_number() OVER (ORDER BY index) - 1 AS index, position_x FROM loc_emb WHERE position_x > 0"))
+def _(s, d):
+    return LocSet(loc_emb_2d(s, d)).select(F.col("position_x") > 0).reset(reset_index=True).df.select("index", "position_x")
+
+
+@query("dataset_with_reference", sql("SELECT index, position_x, position_y, cluster_label, position_x > position_y AS right_of FROM loc_emb WHERE position_x > 0"))
+def _(s, d):
+    whole = LocSet(loc_emb_2d(s, d))
+    own = LocSet(whole.df.where("position_x > 0").select("index", (F.col("position_x") > F.col("position_y")).alias("right_of")))
+    return own.data(whole)
+
+
+@query("simulate_centers", "SELECT CAST(c AS BIGINT) AS cluster_label, CAST(x AS DOUBLE) AS position_x, CAST(y AS DOUBLE) AS position_y FROM (VALUES (0, 1.5, 1.0), (0, 1.0, 1.25), (2, 4.0, 4.5)) v(c, x, y)")
+def _(s, d):
+    return simulate.simulate_centers(s, [(1, 1), (2, 2), (4, 4)], [(0, 5), (0, 5)], offspring=[[(0.5, 0), (0, 0.25)], [], [(0, 0.5), (2, 0)]]).select("cluster_label", "position_x", "position_y")
+
+
 assert set(ORACLE_SQL) <= set(QUERIES)
