@@ -3,12 +3,14 @@
 Texts of printable ASCII, Latin-1 letters, spaces and line ends are split here by the
 tokenizer's own rule (classes, case and composed form of these characters are settled), and
 only the merges of a word not seen before are asked of the library. All other texts
-go to the library whole. The ids are the same either way. The memory is emptied
+go to the library whole, and so do all texts of a file whose normaliser or splitting rule is
+another than the two known here. The ids are the same either way. The memory is emptied
 when it holds ``MEMORY`` words.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -24,6 +26,21 @@ _RULES = {
     "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+"),
 }
 
+# Normaliser and splitting rule of the files for which the rules above hold.
+_FILES = {
+    "bytes": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "words": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+}
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter for each byte: printable ones stand for themselves, the rest for what
@@ -45,6 +62,12 @@ def _known(text: str) -> bool:
         return False
 
 
+def _follows(library: Tokenizer, kind: str) -> bool:
+    """Whether the file's own rules are those written here."""
+    own = json.loads(library.to_str())
+    return (own["normalizer"], own["pre_tokenizer"]) == _FILES[kind] and own["model"]["type"] == "BPE" and all(x["special"] for x in own["added_tokens"])
+
+
 class _Words(dict):
     """Ids of each word met, as bytes."""
 
@@ -70,12 +93,15 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         self.library.no_padding()
+        self.follows = _follows(self.library, kind)
         self.lower, self.split, self.words = kind == "words", _RULES[kind].findall, _Words(self.library)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.follows:
+            return self.whole(texts)
         out, other, ids = [b""] * len(texts), [], self.words.__getitem__
         if len(self.words) > MEMORY:
             self.words.clear()

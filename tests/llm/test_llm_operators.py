@@ -1,9 +1,11 @@
 """Each operator against its plain version, on odd rows and on the smallest tables."""
 
 import hashlib
+import json
 import os
 import random
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -136,7 +138,20 @@ def test_shards(spark, docs):
 def test_encoder_is_the_library(docs, name, kind):
     e = Encoder(public_tokenizers.path(name), kind)
     texts = [t or "" for _, t in docs] + ["a b", "İstanbul ſ", "é é", "tab\there", " lead", "trail ", "\n", "x\n\ny", "Ça coûte 12€", "don't I'LL 'S", "×÷", "z" * 500]
-    assert e.encode(texts) == e.whole(texts)
+    assert e.follows and e.encode(texts) == e.whole(texts)
+
+
+@pytest.mark.parametrize("name,kind,change", [("word_bpe_49k.json", "words", ("normalizer", None)), ("byte_bpe_50k.json", "bytes", ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})), ("word_bpe_49k.json", "bytes", None)])
+def test_other_rules_go_to_the_library(tmp_path, name, kind, change):
+    rules = json.loads(Path(public_tokenizers.path(name)).read_text())
+    if change:
+        rules[change[0]] = change[1]
+    path = tmp_path / name
+    path.write_text(json.dumps(rules))
+    e = Encoder(str(path), kind)
+    texts = ["Plain words, 12 of THEM", "", " lead  and trail "]
+    assert not e.follows
+    assert e.encode(texts) == [np.array(e.library.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
 
 
 def test_orc_round_trip(spark, docs):
@@ -160,6 +175,24 @@ def test_orc_round_trip(spark, docs):
     assert orc_tokens.read_tokens(spark, path, [8]).count() == 1
 
 
+def test_orc_lookups_skip_row_groups(spark):
+    path = new_path(spark, "t")
+    df = spark.range(24000).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text"))
+    orc_tokens.write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"), "words", 2, row_index_stride=1000)
+
+    def read(ids):
+        found = orc_tokens.read_tokens(spark, path, ids)
+        rows = found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return len(rows), leaf.metrics().apply("numOutputRows").value()
+
+    assert read(None) == (24000, 24000)
+    n, scanned = read([4000])
+    assert n == 1 and scanned <= 1000  # minimum and maximum of the row groups
+    n, scanned = read([4001])  # between the ids: the Bloom filter alone knows
+    assert n == 0 and scanned == 0
+
+
 def check_packing(got, docs, size=1024):
     e = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "bytes")
     wanted = sorted((str(i), s, len(x[4 * s : 4 * s + 4 * size]) // 4, zlib.crc32(x[4 * s : 4 * s + 4 * size]), len(x) // 4) for i, t in docs for x in [e.whole([t or ""])[0] + b"\0\0\0\0"] for s in range(0, len(x) // 4, size))
