@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, katz, orc_tokens, packing, phrases, runs, sharding, simhash, substring, toxicity, warc
+from . import decontam, exact_dedup, jaccard, katz, orc_tokens, packing, phrases, runs, sharding, simhash, substring, toxicity, warc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -71,7 +71,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_orc_tokens, op5_decontamination, op6_katz, op7_sharding, op8_packing, op9_simhash, op10_substring, op11_runs, op12_collocations)}
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_orc_tokens, op5_decontamination, op6_katz, op7_sharding, op8_packing, op9_simhash, op10_substring, op11_runs, op12_collocations, op13_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
