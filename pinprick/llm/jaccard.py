@@ -32,7 +32,7 @@ from .common import dropped, free_name, n_partitions, stored
 from .components import connected_components
 from .similar import FIRST, _apart, _parities, _verified, shingles
 
-BLOCK_BYTES, ASKED, ROUNDS = 8 << 20, 1, 2
+BLOCK_BYTES, ASKED, ROUNDS = 8 << 20, 1, 1
 #: A segment that at most so many other sets have is taken before one is raised to weight 2; segments beyond what a band needs, one in so many; candidates of a set in a round.
 CHEAP, SPARE, VOTES = 16, 6, 3
 MOST_BITS = 1 << 28
@@ -183,9 +183,13 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             s = Segments(token[keep], doc[keep], band, segments)
             full = (s.size > 0) & asks[s.owner]
             told[part] = _lists(s.key[full] | np.uint64(1 - part), np.bincount(s.owner[full], minlength=len(size)))
-        yield pa.RecordBatch.from_arrays([pa.array(_node(b) + places), pa.array(size.astype(np.int32)), told[0], told[1]], names=["node", "n", "own", "below"])
+        ends = np.cumsum(size).tolist()
+        own = [token[e - k : e] for e, k in zip(ends, size.tolist())]
+        seen = [pa.array(list(map(f, own)), pa.binary()) for f in (_parities, _sketch)]
+        yield pa.RecordBatch.from_arrays([pa.array(_node(b) + places), pa.array(size.astype(np.int32)), told[0], told[1], *seen], names=["node", "n", "own", "below", "parity", "sketch"])
 
-    keys = stored(each_block(blocks, index, "node long, n int, own array<long>, below array<long>", _told(classes.select("node"))), "jaccard-keys")
+    whole = stored(each_block(blocks, index, "node long, n int, own array<long>, below array<long>, parity binary, sketch binary", _told(classes.select("node"))), "jaccard-keys")
+    keys, sketches = whole.select("node", "n", "own", "below"), stored(whole.select("node", "n", "parity", "sketch"), "jaccard-sketches")
     swept(spark)
     # segments that an indexed set shares with any other set; an indexed key has its lowest bit set
     every = keys.select(F.explode(F.concat("own", "below")).alias("key"))
@@ -212,18 +216,24 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stored(keys.mapInArrow(hits, "node long, n long, part long, full long, need long, key long"), "jaccard-hits")
     short = rows.where("key is null").drop("key")
     rows = stored(rows.join(shared, "key"), "jaccard-rows")
+    dropped(whole)
+    swept(spark)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        """(node, n, shared, parity): the whole sets of some texts."""
+        """(node, n, shared): the whole sets of some texts."""
 
         def tell_sets(b: Block) -> Iterator[pa.RecordBatch]:
-            token, doc, places, more = _asked(b, words)
+            token, _, places, more = _asked(b, words)
             if len(places):
-                ends = np.cumsum(more[0])
-                parity = [_parities(token[e - k : e]) for e, k in zip(ends.tolist(), more[0].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(_node(b) + places), pa.array(more[0].astype(np.int32)), _lists(token, more[0]), pa.array(parity, pa.binary())], names=["node", "n", "shared", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(_node(b) + places), pa.array(more[0].astype(np.int32)), _lists(token, more[0])], names=["node", "n", "shared"])
+
+        return stored(each_block(blocks, tell_sets, "node long, n int, shared array<long>", _told(nodes.select("node").distinct())), "jaccard-sets")
 
-        return stored(each_block(blocks, tell_sets, "node long, n int, shared array<long>, parity binary", _told(nodes.select("node").distinct())), "jaccard-sets")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(_screened(pairs, sketches, least), "jaccard-screened")
+        if pairs.isEmpty():
+            return pairs
+        return _verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), least)
 
     links = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")
@@ -242,9 +252,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = stored(votes.select(F.least("node", "_with").alias("a"), F.greatest("node", "_with").alias("b")).distinct(), "jaccard-pairs")
         if pairs.isEmpty():
             break
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        links = stored(links.unionByName(_verified(pairs, sets, least)), "jaccard-links")
-        dropped(sets)
+        links = stored(links.unionByName(verified(pairs)), "jaccard-links")
         parts = stored(connected_components(links), "jaccard-parts")
     now = mixed()
     # the weights: free segments count, then cheap ones, then free ones again, then dear ones
@@ -268,13 +276,11 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = final.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("key")
     final = stored(final.join(several, "key", "left_semi"), "jaccard-apart")
     if not final.isEmpty():
-        sets = sets_of(final.select("node"))
-        about = final.join(sets.select("node", "parity"), "node").select("key", "node", "n", "component", F.col("n").alias("left"), F.lit(0).alias("pos"), F.lit(bytes(8 * FIRST)).alias("first"), "parity")
-        links = links.unionByName(_verified(stored(_apart(about, least), "jaccard-pairs"), sets, least))
+        about = final.join(sketches.select("node", "parity"), "node").select("key", "node", "n", "component", F.col("n").alias("left"), F.lit(0).alias("pos"), F.lit(bytes(8 * FIRST)).alias("first"), "parity")
+        links = links.unionByName(verified(stored(_apart(about, least), "jaccard-pairs")))
         parts = stored(connected_components(links), "jaccard-parts")
     # names: of texts to classes, of classes to components
-    sizes = keys.select("node", "n")
-    named = classes.join(parts, "node", "left").join(sizes, "node").select("sha", "least_id", "n", F.coalesce("component", "node").alias("component"))
+    named = classes.join(parts, "node", "left").join(sketches.select("node", "n"), "node").select("sha", "least_id", "n", F.coalesce("component", "node").alias("component"))
     named = stored(named, "jaccard-named")
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(smallest, "component").select("sha", "n", "component_id")
@@ -283,6 +289,30 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return some.unionByName(none).withColumnRenamed("id", id_col)
 
 
+def _sketch(token: np.ndarray) -> bytes:
+    """For each value of the top bits, at least two values for each member, whether an odd number of members has it."""
+    bits = max(10, (2 * len(token) - 1).bit_length())
+    return np.packbits(np.bincount((token >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) % 2 == 1).tobytes()
+
+
+def _screened(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) without those whose sketches differ in more places than similar sets differ in members."""
+    up, down = least.numerator, least.denominator
+    one, other = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                if len(y) > len(x):  # neighbouring places of the longer one count as one
+                    y = np.packbits(np.unpackbits(y).reshape(len(x) * 8, -1).sum(1) % 2 == 1)
+                keep.append((up + down) * int(np.bitwise_count(x ^ y).sum()) <= (down - up) * (m + n))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(screen, "a long, b long")
+
+
 def _raised(spark, blocks: DataFrame, classes: DataFrame, raised: DataFrame, bands: Bands, words: int) -> DataFrame:
     """(key, node, n) of sets that ask in segments of weight 2 or by single members, and of the indexed sets that answer.
 
