@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .blocks import _FACTORS, _LOWER, _factors, mix
 from .common import free_name, let_go, n_partitions, stored, tuned
 
-#: Rows of counters, counters in a piece that is added up at once, and bytes of text worked on at once.
-ROWS, PIECE, SPAN = 2, 1 << 18, 1 << 18
+#: Rows of counters, counters in a piece that is added up at once, bytes of text worked on at once, and bytes of text that share a sketch.
+ROWS, PIECE, SPAN, SHARE = 2, 1 << 18, 1 << 18, 64 << 20
 _ENDS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -177,7 +177,8 @@ def phrase_counts(df: DataFrame, text_col: str = "text", group_col: str = "lang"
     total = rows.agg(F.sum("size")).first()[0] or 0
     bits = max(12, (min(most, total // 64) or 1).bit_length())
     bits = min(bits, (most - 1).bit_length())
-    seen = spark.sparkContext.broadcast(sketch(rows, longest, least, bits))  # at most ROWS * most bits
+    few = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // SHARE)))
+    seen = spark.sparkContext.broadcast(sketch(few, longest, least, bits))  # at most ROWS * most bits
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(seen.value, np.uint8).reshape(ROWS, -1)
