@@ -18,24 +18,25 @@ Every link is verified on the whole sets of 64-bit hashes; equal texts are one s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Block, each_block, make_blocks, mix, packed, swept, unpacked
 from .common import dropped, free_name, n_partitions, stored
 from .components import connected_components
-from .similar import FIRST, _apart, _parities, _verified, shingles
+from .similar import FIRST, _apart, _verified, shingles
 
 BLOCK_BYTES, ASKED, ROUNDS = 8 << 20, 1, 1
 #: A segment that at most so many other sets have is taken before one is raised to weight 2; segments beyond what a band needs, one in so many; candidates of a set in a round.
 CHEAP, SPARE, VOTES = 16, 6, 3
 MOST_BITS = 1 << 28
+_MIXES, _NONE = (0xB17, 0x2B17), bytes(8 * FIRST)
 
 
 class Bands:
@@ -121,16 +122,17 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def _bits(keys: DataFrame) -> tuple[bytes, int]:
-    """A bit for each value of the top bits of mixed keys, set where a key of the column ``key`` has it, and how many bits of the mix count.
+    """A Bloom filter of the column ``key`` with two places for each key, and how many bits of a mix name a place.
 
     At most MOST_BITS, 32 MB: with more keys more others pass, which joins sort out."""
-    bits = max(16, (min(MOST_BITS, 16 * keys.count()) - 1).bit_length())
+    bits = max(16, (min(MOST_BITS, 32 * keys.count()) - 1).bit_length())
     piece_bits = min(bits, 20)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
-            place = (mix(np.asarray(b.column(0)).view(np.uint64), 0xB17) >> np.uint64(64 - bits)).astype(np.int64)
+            own = np.asarray(b.column(0)).view(np.uint64)
+            place = np.concatenate([(mix(own, m) >> np.uint64(64 - bits)).astype(np.int64) for m in _MIXES])
             for k in np.unique(place >> piece_bits).tolist():
                 own = found.setdefault(k, np.zeros(1 << piece_bits, bool))
                 own[place[place >> piece_bits == k] & ((1 << piece_bits) - 1)] = True
@@ -146,8 +148,11 @@ def _bits(keys: DataFrame) -> tuple[bytes, int]:
 
 
 def _has(table: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
-    place = (mix(keys, 0xB17) >> np.uint64(64 - table[1])).astype(np.int64)
-    return (table[0][place >> 3] >> (7 - (place & 7))) & 1 == 1
+    found = np.ones(len(keys), bool)
+    for m in _MIXES:
+        place = (mix(keys, m) >> np.uint64(64 - table[1])).astype(np.int64)
+        found &= (table[0][place >> 3] >> (7 - (place & 7))) & 1 == 1
+    return found
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, least: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
@@ -185,11 +190,11 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             told[part] = _lists(s.key[full] | np.uint64(1 - part), np.bincount(s.owner[full], minlength=len(size)))
         ends = np.cumsum(size).tolist()
         own = [token[e - k : e] for e, k in zip(ends, size.tolist())]
-        seen = [pa.array(list(map(f, own)), pa.binary()) for f in (_parities, _sketch)]
-        yield pa.RecordBatch.from_arrays([pa.array(_node(b) + places), pa.array(size.astype(np.int32)), told[0], told[1], *seen], names=["node", "n", "own", "below", "parity", "sketch"])
+        seen = [pa.array(list(map(_sketch, own)), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(_node(b) + places), pa.array(size.astype(np.int32)), told[0], told[1], *seen], names=["node", "n", "own", "below", "sketch"])
 
-    whole = stored(each_block(blocks, index, "node long, n int, own array<long>, below array<long>, parity binary, sketch binary", _told(classes.select("node"))), "jaccard-keys")
-    keys, sketches = whole.select("node", "n", "own", "below"), stored(whole.select("node", "n", "parity", "sketch"), "jaccard-sketches")
+    whole = stored(each_block(blocks, index, "node long, n int, own array<long>, below array<long>, sketch binary", _told(classes.select("node"))), "jaccard-keys")
+    keys, sketches = whole.select("node", "n", "own", "below"), stored(whole.select("node", "n", "sketch"), "jaccard-sketches")
     swept(spark)
     # segments that an indexed set shares with any other set; an indexed key has its lowest bit set
     every = keys.select(F.explode(F.concat("own", "below")).alias("key"))
@@ -264,20 +269,26 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dear = dear.withColumn("_free", F.col("full") - F.col("_dear")).withColumn("_left", F.col("need") - F.col("_free")).where("_left > 0")
     dear = dear.withColumn("_raise", F.least("_free", F.greatest(F.lit(0), F.col("_left") - F.col("_cheap")))).withColumn("_exact", F.col("_left") - F.col("_raise"))
     dear = stored(dear.withColumn("_single", F.col("_exact") > F.col("_dear")), "jaccard-weights")
-    chosen = dear.where("not _single and _rank <= _exact and key is not null").select("key", "node", "n")
+    chosen = dear.where("not _single and _rank <= _exact and key is not null").select("key", "node", "n", "part")
     answers = now.where("part = 0").select("key", "node", "n").join(chosen.select("key").distinct(), "key", "left_semi")
-    final = chosen.unionByName(answers)
+    final = chosen.where("part = 1").drop("part").unionByName(answers)
 
     raised = stored(dear.where("_raise > 0 or _single").select("node", "part", F.when(F.col("_single"), -1).otherwise(F.col("_raise")).cast("long").alias("raise"), F.coalesce("key", F.lit(-1).cast("long")).alias("key")), "jaccard-raised")
     if not raised.isEmpty():
         final = final.unionByName(_raised(spark, blocks, classes, raised, bands, words))
-    final = stored(final.distinct(), "jaccard-final")
-    final = final.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = final.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("key")
-    final = stored(final.join(several, "key", "left_semi"), "jaccard-apart")
-    if not final.isEmpty():
-        about = final.join(sketches.select("node", "parity"), "node").select("key", "node", "n", "component", F.col("n").alias("left"), F.lit(0).alias("pos"), F.lit(bytes(8 * FIRST)).alias("first"), "parity")
-        links = links.unionByName(verified(stored(_apart(about, least), "jaccard-pairs")))
+    final = stored(final.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-final")
+    several = final.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.min("n").alias("_n")).where("_a < _b")
+    # sketches of a key's sets are as long as the smallest set needs, in steps of 4
+    kind = F.floor(F.greatest(F.lit(10.0), F.ceil(F.log2(2 * F.col("_n")))) / 2) * 2
+    final = stored(final.join(several.select("key", kind.cast("int").alias("_bits")), "key"), "jaccard-apart")
+    pairs = None
+    for bits in sorted(r["_bits"] for r in final.select("_bits").distinct().collect()):  # one for each power of 4 up to the longest text
+        seen = sketches.select("node", _folded(bits)("sketch").alias("parity"))
+        about = final.where(F.col("_bits") == bits).join(seen, "node").select("key", "node", "n", "component", F.col("n").alias("left"), F.lit(0).alias("pos"), F.lit(_NONE).alias("first"), "parity")
+        own = stored(_apart(about, least), "jaccard-pairs")
+        pairs = own if pairs is None else pairs.unionByName(own)
+    if pairs is not None:
+        links = links.unionByName(verified(pairs.distinct()))
         parts = stored(connected_components(links), "jaccard-parts")
     # names: of texts to classes, of classes to components
     named = classes.join(parts, "node", "left").join(sketches.select("node", "n"), "node").select("sha", "least_id", "n", F.coalesce("component", "node").alias("component"))
@@ -295,6 +306,16 @@ def _sketch(token: np.ndarray) -> bytes:
     return np.packbits(np.bincount((token >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) % 2 == 1).tobytes()
 
 
+def _shorter(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of ``size`` bytes: neighbouring places count as one."""
+    return sketch if len(sketch) <= size else np.packbits(np.unpackbits(sketch).reshape(size * 8, -1).sum(1) % 2 == 1)
+
+
+def _folded(bits: int) -> Callable[[str], Column]:
+    """Sketches of 2^bits places from longer ones."""
+    return F.pandas_udf(lambda s: s.map(lambda x: _shorter(np.frombuffer(x, np.uint8), (1 << bits) // 8).tobytes()), "binary")
+
+
 def _screened(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
     """Pairs (a, b) without those whose sketches differ in more places than similar sets differ in members."""
     up, down = least.numerator, least.denominator
@@ -305,8 +326,7 @@ def _screened(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFra
             keep = []
             for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
                 x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-                if len(y) > len(x):  # neighbouring places of the longer one count as one
-                    y = np.packbits(np.unpackbits(y).reshape(len(x) * 8, -1).sum(1) % 2 == 1)
+                y = _shorter(y, len(x))
                 keep.append((up + down) * int(np.bitwise_count(x ^ y).sum()) <= (down - up) * (m + n))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
@@ -317,7 +337,7 @@ def _raised(spark, blocks: DataFrame, classes: DataFrame, raised: DataFrame, ban
     """(key, node, n) of sets that ask in segments of weight 2 or by single members, and of the indexed sets that answer.
 
     ``raised`` has (node, part, raise, key): how many free segments to raise (-1: ask by members), and a segment that is not free (-1: none)."""
-    segments = np.array(bands.segments)
+    segments, singles = np.array(bands.segments), not raised.where("raise < 0").isEmpty()
     form = "key long, node long, n int"
 
     def batch(key: list[np.ndarray], node: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
@@ -371,7 +391,8 @@ def _raised(spark, blocks: DataFrame, classes: DataFrame, raised: DataFrame, ban
         _, _, band, _ = next(bands.asks(size))
         s = Segments(token, doc, band, segments)
         out = [], [], []
-        for key, o in ((s.key, s.owner), (mix(s.without_one(), 0xDE1), doc), (member(token, band[doc]), doc)):
+        own = [(s.key, s.owner), (mix(s.without_one(), 0xDE1), doc)]
+        for key, o in [*own, (member(token, band[doc]), doc)] if singles else own:
             keep = _has(table, key)
             out[0].append(key[keep]), out[1].append(mine[o[keep]]), out[2].append(size[o[keep]])
         yield batch(*out)
