@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import check_columns, coordinates
+from ..catalog import check_columns
+from . import hierarchy
 from .components import components, written
 from .filters import numbered_rows
 from .spatial import radius_pairs
@@ -37,128 +38,34 @@ def dbscan(df: DataFrame, *, eps: float = 20, min_samples: int = 5, id_col: str
     return df.drop("cluster_label").join(labels.withColumnRenamed("id", id_col), id_col, "left").withColumn("cluster_label", F.coalesce("label", F.lit(-1)).cast("long")).drop("label")
 
 
-def hdbscan_labels(x: np.ndarray, min_cluster_size: int = 5, allow_single_cluster: bool = False) -> np.ndarray:
-    """Hierarchical density clusters of one group of points, by the exact mutual reachability tree; -1 is noise."""
-    n = len(x)
-    if n < min_cluster_size:
-        return np.full(n, -1)
-    core = np.empty(n)
-    for i in range(0, n, 512):
-        d = np.sqrt(((x[i : i + 512, None] - x[None]) ** 2).sum(2))
-        core[i : i + 512] = np.partition(d, min(min_cluster_size, n) - 1, axis=1)[:, min(min_cluster_size, n) - 1]
-    # minimum spanning tree, grown point by point
-    inside, best, parent = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
-        closer = (d < best) & ~inside
-        best[closer], parent[closer] = d[closer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[at], parent[at], at))
-    edges.sort()
-    # single linkage tree
-    root, child, dist, size = list(range(2 * n - 1)), {}, {}, [1] * n + [0] * (n - 1)
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for k, (d, a, b) in enumerate(edges):
-        a, b, new = find(a), find(b), n + k
-        root[a] = root[b] = new
-        child[new], dist[new], size[new] = (a, b), d, size[a] + size[b]
-    top = 2 * n - 2
-    # condensed tree: splits into two large enough parts make clusters, the rest falls out
-    birth, stability, parts, members, stack = {top: 0.0}, {top: 0.0}, {top: []}, {top: []}, [(top, top)]
-    leaves = lambda v: [v] if v < n else [w for c in _walk(v, child) if c < n for w in [c]]
-    while stack:
-        node, cluster = stack.pop()
-        if node < n:
-            members[cluster].append(node)
-            continue
-        lam = 1 / dist[node] if dist[node] > 0 else np.inf
-        a, b = child[node]
-        large = [c for c in (a, b) if size[c] >= min_cluster_size]
-        if len(large) == 2:
-            stability[cluster] += (min(lam, 1e300) - birth[cluster]) * size[node]
-            for c in large:
-                birth[c], stability[c], parts[c], members[c] = min(lam, 1e300), 0.0, [], []
-                parts[cluster].append(c)
-                stack.append((c, c))
-        else:
-            for c in (a, b):
-                if c in large:
-                    stack.append((c, cluster))
-                else:
-                    fallen = leaves(c)
-                    stability[cluster] += (min(lam, 1e300) - birth[cluster]) * len(fallen)
-                    members[cluster] += fallen
-    chosen: set[int] = set()
-
-    def total(c: int) -> float:
-        below = sum(total(p) for p in parts[c])
-        if parts[c] and (below > stability[c] or (c == top and not allow_single_cluster)):
-            return below
-        if c == top and not allow_single_cluster:
-            return below
-        for p in list(chosen):
-            if p in _below(c, parts):
-                chosen.discard(p)
-        chosen.add(c)
-        return max(stability[c], below)
-
-    total(top)
-    labels = np.full(n, -1)
-    groups = []
-    for c in chosen:
-        own, queue = [], [c]
-        while queue:
-            q = queue.pop()
-            own += members[q]
-            queue += parts[q]
-        groups.append(sorted(own))
-    for k, g in enumerate(sorted(groups), 1):
-        labels[g] = k
-    return labels
-
-
-def _walk(v: int, child: dict) -> list[int]:
-    out, queue = [], [v]
-    while queue:
-        q = queue.pop()
-        out.append(q)
-        queue += child.get(q, ())
-    return out
-
-
-def _below(c: int, parts: dict) -> set[int]:
-    out, queue = set(), list(parts[c])
-    while queue:
-        q = queue.pop()
-        out.add(q)
-        queue += parts[q]
-    return out
+def hdbscan(df: DataFrame, *, min_cluster_size: int = 5, allow_single_cluster: bool = False, tile: str | None = None, id_col: str = "index", coords: Sequence[str] | None = None) -> DataFrame:
+    """Add ``cluster_label`` by hierarchical density clusters, exactly, within each group of ``tile``: 1, 2, ... by smallest member, -1 for noise.
 
-
-def hdbscan(df: DataFrame, *, min_cluster_size: int = 5, allow_single_cluster: bool = False, tile: str | None = None, id_col: str = "index", most: int = 20_000) -> DataFrame:
-    """Add ``cluster_label`` by hierarchical density clusters, exactly, within each group of ``tile``.
-
-    The method compares all points of a group; groups of over ``most`` rows are refused, never approximated.
+    A point falls out of a cluster where its component gets smaller than ``min_cluster_size``; where two components of that size or larger come
+    apart, clusters begin; of nested clusters those of the larger excess of mass are kept. Links of one length count at once.
+    Groups of up to ``hierarchy.SMALL`` rows are clustered whole, side by side; larger ones one after another, each
+    spread over all tasks. Rows with a null coordinate are noise. Ids are unique integers.
     """
-    coords = coordinates(df.columns)
+    if min_cluster_size < 2:
+        raise ValueError("a cluster has at least two points")
+    axes = list(check_columns(df.columns, coords))
     out = df.drop("cluster_label").withColumn("_tile", F.col(tile) if tile else F.lit(0))
-    if out.groupBy("_tile").count().where(F.col("count") > most).limit(1).count():
-        raise ValueError(f"a group has more than {most} rows; give a tile column")
+    rows = written(out.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(axes)), "_tile").dropna(subset=["id", *(f"x{k}" for k in range(len(axes)))]))
+    names = [f"x{k}" for k in range(len(axes))]
+    sizes = rows.groupBy("_tile").count()
+    large = [r["_tile"] for r in sizes.where(F.col("count") > hierarchy.SMALL).select("_tile").toLocalIterator()]  # at most rows / SMALL
+    rest = rows.where(~F.coalesce(F.col("_tile").isin(large), F.lit(False))) if large else rows
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        pdf["cluster_label"] = hdbscan_labels(pdf[coords].to_numpy(float), min_cluster_size, allow_single_cluster)
-        return pdf
-
-    return out.groupBy("_tile").applyInPandas(run, out.schema.simpleString()[7:-1] + ",cluster_label:bigint").drop("_tile")
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame({"id": pdf["id"], "cluster_label": hierarchy.labels_of(pdf[names].to_numpy(float), min_cluster_size, allow_single_cluster)})
+
+    labels = rest.groupBy("_tile").applyInPandas(run, "id long, cluster_label long")
+    for t in large:
+        own = rows.where(F.col("_tile").eqNullSafe(F.lit(t))).drop("_tile")
+        labels = labels.unionByName(hierarchy.hierarchical_labels(own, min_cluster_size, allow_single_cluster, names))
+    labels = labels.withColumnRenamed("id", "_id")
+    return out.join(labels, F.col(id_col).cast("long") == F.col("_id"), "left").withColumn("cluster_label", F.coalesce("cluster_label", F.lit(-1).cast("long"))).drop("_tile", "_id")
 
 
 def serial_clustering(df: DataFrame, algorithm: Callable[..., DataFrame], parameters: dict[str, Sequence]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import coordinates
+from .components import components, written
+from .filters import numbered_rows
 from .spatial import radius_pairs
 
 
@@ -87,48 +89,104 @@ def localization_precision(df: DataFrame, *, radius: float = 50, id_col: str = "
     return out.select(F.col(id_col).alias("original_index"), *by, "frame", *((F.col(f"_{c}") - F.col(f"__{c}")).alias(f"position_delta_{c[-1]}") for c in coords), "position_distance")
 
 
-def link(df: DataFrame, *, search_range: float = 40, memory: int = 0, tile: str | None = None, id_col: str = "index") -> DataFrame:
-    """Add ``track``: points of successive frames linked, nearest first, each point in one track.
-
-    A track whose last point lies up to ``memory`` frames back can go on. Among the pairs of open
-    tracks and new points within ``search_range`` the nearest is linked first (a greedy assignment, not the
-    optimal one of a subnet). Linking is sequential in time: groups of ``tile`` (a column whose groups share no
-    tracks) are linked in parallel; without it the whole frame is one group and has to fit one task.
-    Track numbers count within the tile.
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """For each row of a cost table of no more rows than columns its column, all different, at the least total cost (shortest augmenting paths)."""
+    n, m = cost.shape
+    u, v, row_of = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
+    for i in range(n):
+        row_of[m], at = i, m
+        least, before, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while row_of[at] >= 0:
+            done[at] = True
+            r = row_of[at]
+            now = cost[r] - u[r] - v[:m]
+            closer = ~done[:m] & (now < least)
+            least[closer], before[closer] = now[closer], at
+            j = int(np.argmin(np.where(done[:m], np.inf, least)))
+            step = least[j]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done[:m]] -= step
+            at = j
+        while at != m:
+            row_of[at], at = row_of[before[at]], before[at]
+    out = np.empty(n, int)
+    held = row_of[:m] >= 0
+    out[row_of[:m][held]] = np.flatnonzero(held)
+    return out
+
+
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The chosen ones of the candidates (a, b, fb, d2) of some points: frame by frame, each subnet at the least sum of squared
+    distances, where an open point that is not linked counts as the square of the range, 1."""
+    taken: set[int] = set()
+    out: list[tuple[int, int]] = []
+    for _, now in pdf.sort_values(["fb", "a", "b"]).groupby("fb", sort=True):
+        now = now[~now["a"].isin(taken)] if taken else now
+        root: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def find(x: tuple[int, int]) -> tuple[int, int]:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        edges = list(zip(now["a"].tolist(), now["b"].tolist(), now["d2"].tolist()))
+        for x, y, _ in edges:
+            root[find((0, x))] = find((1, y))
+        nets: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        for e in edges:
+            nets.setdefault(find((0, e[0])), []).append(e)
+        for net in nets.values():
+            if len(net) == 1:
+                chosen = [net[0][:2]]
+            else:
+                a, b = sorted({x for x, _, _ in net}), sorted({y for _, y, _ in net})
+                cost = np.full((len(a), len(b) + len(a)), 1.0)
+                cost[:, : len(b)] = 1e6
+                for x, y, d in net:
+                    cost[a.index(x), b.index(y)] = d
+                chosen = [(a[i], b[j]) for i, j in enumerate(assignment(cost).tolist()) if j < len(b)]
+            out += chosen
+            taken.update(x for x, _ in chosen)
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def link(df: DataFrame, *, search_range: float | Sequence[float] = 40, memory: int = 0, tile: str | None = None, id_col: str = "index") -> DataFrame:
+    """Add ``track``: points of successive frames linked so that the sum of squared distances is least.
+
+    Points of successive frames within ``search_range`` (one number, or one for each axis) are candidates. Candidates that share points form subnets, and each subnet is linked at the
+    least sum of squared distances, an unlinked point counting as the range. A point without a successor stays open for
+    ``memory`` more frames. Subnets are found by joins and solved side by side: without memory those of two frames each, with memory all that hang together in space and time,
+    which then have to fit a task. Points of different ``tile`` are never linked. Tracks are numbered from 0, within the tile, by first frame and smallest id.
+    Rows with a null coordinate, frame or id have no track. Ids are unique integers.
     """
     coords = coordinates(df.columns)
-    out = df.withColumn("_tile", F.col(tile) if tile else F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", id_col], kind="stable").reset_index(drop=True)
-        x, frames, track, after = pdf[coords].to_numpy(float), pdf["frame"].to_numpy(), np.full(len(pdf), -1), 0
-        open_: dict[int, int] = {}  # track -> last row
-        for f, rows in pdf.groupby("frame", sort=True).indices.items():
-            open_ = {t: r for t, r in open_.items() if f - frames[r] <= memory + 1}
-            if open_:
-                tracks, last = np.array(list(open_)), np.array(list(open_.values()))
-                # neighbours through sorted first coordinates: no full matrix
-                order = np.argsort(x[last, 0], kind="stable")
-                lo = np.searchsorted(x[last[order], 0], x[rows, 0] - search_range)
-                hi = np.searchsorted(x[last[order], 0], x[rows, 0] + search_range, "right")
-                pairs = []
-                for k, (a, b) in enumerate(zip(lo, hi)):
-                    d = np.sqrt(((x[last[order[a:b]]] - x[rows[k]]) ** 2).sum(1))
-                    pairs += [(dist, int(tracks[order[a + j]]), int(rows[k])) for j, dist in enumerate(d) if dist <= search_range]
-                used: set[int] = set()
-                for _, t, r in sorted(pairs):
-                    if t not in used and track[r] < 0:
-                        track[r] = t
-                        used.add(t)
-            for r in rows:
-                if track[r] < 0:
-                    track[r], after = after, after + 1
-                open_[int(track[r])] = int(r)
-        pdf["track"] = track
-        return pdf
-
-    schema = out.schema.simpleString()[7:-1]
-    return out.groupBy("_tile").applyInPandas(run, f"{schema},track:bigint").drop("_tile")
+    ranges = [float(search_range)] * len(coords) if isinstance(search_range, (int, float)) else [float(x) for x in search_range]
+    if len(ranges) != len(coords) or min(ranges) <= 0:
+        raise ValueError("search_range is one positive number, or one for each coordinate")
+    axes = [f"_x{k}" for k in range(len(coords))]
+    points = df.select(F.col(id_col).cast("long").alias("id"), F.col("frame").cast("long").alias("f"), (F.col(tile) if tile else F.lit(0)).alias("t"), *((F.col(c) / r).alias(x) for c, r, x in zip(coords, ranges, axes)))
+    points = written(points.dropna(subset=["id", "f", *axes]))
+    pairs = None
+    for gap in range(1, memory + 2):
+        own = radius_pairs(points.withColumn("f", F.col("f") + gap), points, radius=1, id_col="id", coords=axes, on=["t", "f"])
+        pairs = own if pairs is None else pairs.unionByName(own)
+    pairs = written(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), (F.col("distance") * F.col("distance")).alias("d2")))
+    # a point as the end of one link and the start of the next is in two subnets, unless open points tie them together
+    start, end = (F.col("a") * 2, F.col("b") * 2 + 1) if memory == 0 else (F.col("a"), F.col("b"))
+    nets = components(pairs.select(start.alias("a"), end.alias("b")))
+    frame_of = points.select(F.col("id").alias("b"), F.col("f").alias("fb"))
+    rows = pairs.join(frame_of, "b").withColumn("node", start).join(nets, "node")
+    links = written(rows.select("component", "a", "b", "fb", "d2").groupBy("component").applyInPandas(lambda pdf: _linked(pdf), "a long, b long"))
+    chains = components(links)
+    tracked = written(points.select("id", "f", "t").join(chains.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    firsts = tracked.groupBy("t", "component").agg(F.min(F.struct("f", "id")).alias("_first"))
+    number = written(numbered_rows(firsts, [F.col("t"), F.col("_first")], "_n"))
+    begin = number.groupBy(F.col("t").alias("_t")).agg(F.min("_n").alias("_begin"))
+    named = number.join(begin, F.col("t").eqNullSafe(F.col("_t"))).select("component", (F.col("_n") - F.col("_begin")).alias("track"))
+    labels = tracked.join(named, "component").select(F.col("id").alias("_id"), "track")
+    return df.drop("track").join(labels, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
 
 
 def track(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -360,6 +360,35 @@ def _(s, d):
     return labels.groupBy("cluster_label").count().agg(F.count_if(F.col("count") < 5).alias("n_too_small"))
 
 
+_SOLE = "pair AS (SELECT a.index AS a, b.index AS b FROM loc_ev a JOIN loc_ev b ON b.frame = a.frame + 1 AND a.channel = b.channel AND abs(a.position_x - b.position_x) <= 0.5), sole AS (SELECT a, b FROM (SELECT a, b, count(*) OVER (PARTITION BY a) AS n, count(*) OVER (PARTITION BY b) AS m FROM pair) WHERE n = 1 AND m = 1)"
+
+
+@query("track_sole_links", sql("SELECT a, b FROM sole", _SOLE))
+def _(s, d):
+    """Links of points that have one candidate only, which has no other: any least assignment holds them."""
+    from pyspark.sql import Window
+
+    p = loc_ev(s, d).select("index", "position_x", "frame", "channel")
+    t = frames.link(p, search_range=0.5, tile="channel").withColumn("b", F.lead("index").over(Window.partitionBy("channel", "track").orderBy("frame")))
+    near = frames.radius_pairs(p.withColumn("frame", F.col("frame") + 1), p, radius=0.5, coords=["position_x"], on=["channel", "frame"])
+    alone = lambda c: near.groupBy(c).agg(F.count("*").alias("n")).where("n = 1").select(F.col(c).alias("ab"[c == "id2"]))
+    return t.where("b is not null").select(F.col("index").alias("a"), "b").join(alone("id1"), "a").join(alone("id2"), "b").select("a", "b")
+
+
+_REACH = "radii(radius) AS (VALUES (0.01), (0.02), (0.03)), core AS (SELECT i, d AS c FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS k FROM pairs) WHERE k = 4), near AS (SELECT radius, p.i, p.j FROM pairs p JOIN core a ON a.i = p.i JOIN core b ON b.i = p.j, radii WHERE greatest(d, a.c, b.c) <= radius), reach(radius, a, b) AS (SELECT radius, index, index FROM loc_emb, radii UNION SELECT reach.radius, a, j FROM reach JOIN near ON near.radius = reach.radius AND b = i)"
+
+
+@query("reachability_components", f"WITH RECURSIVE loc_emb AS (SELECT vec_id AS index, CAST(embedding[1] AS DOUBLE) AS position_x, CAST(embedding[2] AS DOUBLE) AS position_y FROM embeddings), {PAIRS}, {_REACH} SELECT CAST(radius AS DOUBLE) AS radius, count(DISTINCT c) AS n_components FROM (SELECT radius, b, min(a) AS c FROM reach GROUP BY radius, b) GROUP BY radius")
+def _(s, d):
+    """Components of mutual reachability at three lengths, from the spanning tree of hierarchical clusters."""
+    from ..operators.hierarchy import spanning_tree
+
+    p = loc_emb_2d(s, d).select(F.col("index").alias("id"), "position_x", "position_y")
+    tree, n = spanning_tree(p, 5, ["position_x", "position_y"]), p.count()
+    radii = F.explode(F.array(*(F.lit(x) for x in (0.01, 0.02, 0.03)))).alias("radius")
+    return tree.select("w", radii).groupBy("radius").agg((F.lit(n) - F.count_if(F.col("w") <= F.col("radius"))).alias("n_components"))
+
+
 @query("registration_of_a_shift", "SELECT 'cross_correlation' AS method, -2 AS shift_x, 3 AS shift_y UNION ALL SELECT 'icp', -2, 3")
 def _(s, d):
     p = loc_emb_2d(s, d)

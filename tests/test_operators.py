@@ -152,7 +152,7 @@ def test_dbscan_and_sweep(spark):
     assert [v for _, v in values(got, "index", "cluster_label")][:6] == [1, 1, 1, 2, 2, 2]
     assert clustering.dbscan(df.limit(0), eps=1, min_samples=1).count() == 0
     with pytest.raises(ValueError):
-        clustering.hdbscan(df, most=3)
+        clustering.hdbscan(df, min_cluster_size=1)
 
 
 def test_hulls(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pinprick.operators import clustering
-from pinprick.operators.clustering import hdbscan_labels
+from pinprick.operators.hierarchy import labels_of
 from pinprick.operators.hulls import convex_hull
 from pinprick.plans.catalog import QUERIES
 from pinprick.plans.views import loc_emb_2d
@@ -29,7 +29,7 @@ def test_hulls_of_all_groups(spark):
 
 def test_hdbscan_of_all_points_together(spark):
     p = loc_emb_2d(spark, SMALL).orderBy("index").collect()
-    want = hdbscan_labels(np.array([(x.position_x, x.position_y) for x in p]), 5)
+    want = labels_of(np.array([(x.position_x, x.position_y) for x in p]), 5)
     got = {x["index"]: x.cluster_label for x in QUERIES["cluster_hdbscan"](spark, SMALL).collect()}
     assert got == {x["index"]: k for x, k in zip(p, want.tolist())}
 
