@@ -82,7 +82,7 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers in bytes.
+    """Ids of texts as little-endian unsigned 32-bit integers in bytes, as the library gives them: the string of a special token is that token.
 
     ``kind``: 'bytes' for the byte-level rule, which keeps white space, 'words' for the
     rule that lower-cases and drops it.
@@ -90,9 +90,9 @@ class Encoder:
 
     def __init__(self, path: str, kind: str) -> None:
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         self.library.no_padding()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.follows = _follows(self.library, kind)
         self.lower, self.split, self.words = kind == "words", _RULES[kind].findall, _Words(self.library)
 
@@ -106,7 +106,7 @@ class Encoder:
         if len(self.words) > MEMORY:
             self.words.clear()
         for i, text in enumerate(texts):
-            if _known(text):
+            if _known(text) and not any(x in text or x in text.lower() for x in self.added):
                 out[i] = b"".join(map(ids, self.split(text.lower() if self.lower else text)))
             else:
                 other.append(i)

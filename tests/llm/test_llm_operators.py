@@ -14,6 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from test_similar import plain
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pinprick.llm import decontam, exact_dedup, katz, orc_tokens, packing, queries, sharding, simhash, substring, toxicity, warc
@@ -154,6 +155,13 @@ def test_other_rules_go_to_the_library(tmp_path, name, kind, change):
     assert e.encode(texts) == [np.array(e.library.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
 
 
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_special_tokens_as_an_untouched_library_has_them(name, kind):
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["hi <|endoftext|> there", "<|ENDOFTEXT|> x", "a<|startoftext|>b", "<|endoftext|>", "é <|endoftext|>", "plain < | words"]
+    assert Encoder(public_tokenizers.path(name), kind).encode(texts) == [np.array(fresh.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
+
+
 def test_orc_round_trip(spark, docs):
     e = Encoder(public_tokenizers.path("word_bpe_49k.json"), "words")
     got = {}
