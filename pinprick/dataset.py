@@ -89,7 +89,11 @@ class LocSet:
         return self.properties.select(*self.coordinate_keys)
 
     def update(self, df: DataFrame, reset_index: bool = False) -> "LocSet":
-        return self._with(df.drop("index").withColumn("index", F.monotonically_increasing_id()) if reset_index else df, "update", reset_index=reset_index)
+        """Other rows; with ``reset_index`` numbered from 0, in the order of their old index if they have one."""
+        if reset_index:
+            old = F.col("index") if "index" in df.columns else F.monotonically_increasing_id()
+            df = filters.numbered_rows(df.withColumn("_old", old).drop("index"), [F.col("_old")], "index").drop("_old")
+        return self._with(df, "update", reset_index=reset_index)
 
     def reset(self, reset_index: bool = False) -> "LocSet":
         """The same rows without region, with numbers from 0 in the order of the old index if wanted; properties are computed when asked for."""
