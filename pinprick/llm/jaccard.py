@@ -148,10 +148,12 @@ def _bits(keys: DataFrame) -> tuple[bytes, int]:
 
 
 def _has(table: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for m in _MIXES:
-        place = (mix(keys, m) >> np.uint64(64 - table[1])).astype(np.int64)
-        found &= (table[0][place >> 3] >> (7 - (place & 7))) & 1 == 1
+    found = np.zeros(len(keys), bool)
+    left = np.arange(len(keys))
+    for m in _MIXES:  # the second place only where the first one is set
+        place = (mix(keys[left], m) >> np.uint64(64 - table[1])).astype(np.int64)
+        left = left[(table[0][place >> 3] >> (7 - (place & 7))) & 1 == 1]
+    found[left] = True
     return found
 
 
@@ -362,10 +364,10 @@ def _raised(spark, blocks: DataFrame, classes: DataFrame, raised: DataFrame, ban
                 continue
             t, d = token[keep], doc[keep]
             s = Segments(t, d, band, segments)
-            # free segments: not among those named; those of two members or more, and of few, first
+            # free segments: not among those named; those that leave two members or more, and of few, first
             named = set(zip(told_doc[own].tolist(), used[own].tolist()))
             free = np.array([k > 0 and (o, x) not in named for o, k, x in zip(s.owner.tolist(), s.size.tolist(), (s.key.view(np.int64) >> 1).tolist())], bool) & (wanted > 0)[s.owner]
-            order = np.lexsort((s.size, s.size < 2, ~free, s.owner))
+            order = np.lexsort((s.size, s.size < 3, ~free, s.owner))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             raise_it = free & (place - s.first[s.owner] < wanted[s.owner])
