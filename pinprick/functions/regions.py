@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +31,12 @@ class Region:
     def max_distance(self) -> float:
         return math.sqrt(sum(e * e for e in self.extent))
 
+    def buffer(self, distance: float) -> "Region":
+        """Everything within a distance of a planar region (round corners; boxes keep their corners)."""
+        if self.dimension != 2:
+            raise NotImplementedError("only boxes and planar regions have a buffer")
+        return Buffered(self if isinstance(self, Polygon) else Polygon(tuple(self.points)), float(distance))
+
     def inside_bounds(self, x: Sequence[Column]) -> Column:
         out = F.lit(True)
         for c, (lo, hi) in zip(x, self.bounds):
@@ -303,6 +309,9 @@ class MultiPolygon(Region):
     def subregion_measure(self):
         return sum(p.subregion_measure for p in self.polygons)
 
+    def buffer(self, distance):
+        return Union(tuple(p.buffer(distance) for p in self.polygons))
+
     def contains(self, x):
         out = F.lit(False)
         for p in self.polygons:
@@ -310,6 +319,56 @@ class MultiPolygon(Region):
         return out
 
 
+@dataclass(frozen=True)
+class Buffered(Region):
+    """Points of a polygon or within ``distance`` of its boundary. Its measure takes the circles at the corners as polygons of 32 corners and the same area."""
+
+    region: Polygon
+    distance: float
+    dimension: int = field(default=2, init=False)
+
+    def __post_init__(self):
+        if self.distance < 0:
+            raise ValueError("the distance is not negative")
+
+    @property
+    def bounds(self):
+        return tuple((lo - self.distance, hi + self.distance) for lo, hi in self.region.bounds)
+
+    @property
+    def region_measure(self):
+        return combined_measure(self.parts)
+
+    @property
+    def parts(self) -> "Union":
+        """The polygon, a strip along each edge and a circle at each corner; of a convex polygon, its outline with an arc around each corner."""
+        ring = self.region.rings[0] if _shoelace(self.region.rings[0]) > 0 else self.region.rings[0][::-1]
+        ring = ring[(ring != np.roll(ring, 1, 0)).any(1)]
+        along = np.roll(ring, -1, 0) - ring
+        turn = np.roll(along, 1, 0)
+        if self.distance and len(self.region.rings) == 1 and (turn[:, 0] * along[:, 1] - turn[:, 1] * along[:, 0] >= 0).all():
+            out = np.arctan2(along[:, 1], along[:, 0]) - math.pi / 2
+            arcs = []
+            for corner, a, b in zip(ring, np.roll(out, 1), out):
+                t = a + (b - a) % (2 * math.pi) * np.linspace(0, 1, 2 + int((b - a) % (2 * math.pi) * 32 / math.pi))
+                arcs += (corner + self.distance * np.column_stack([np.cos(t), np.sin(t)])).tolist()
+            return Union((Polygon(tuple(map(tuple, arcs))),))
+        parts: list[Region] = [self.region]
+        t = np.arange(32) * math.pi / 16
+        circle = self.distance * math.sqrt(math.pi / (16 * math.sin(math.pi / 16))) * np.column_stack([np.cos(t), np.sin(t)])
+        for r in self.region.rings:
+            q = np.roll(r, -1, 0)
+            along = q - r
+            long = np.sqrt((along**2).sum(1))
+            for a, b, u in zip(r[long > 0], q[long > 0], (along[:, ::-1] * [-1, 1])[long > 0] / long[long > 0, None]):
+                parts.append(Polygon(tuple(map(tuple, (a - u * self.distance, b - u * self.distance, b + u * self.distance, a + u * self.distance)))))
+            parts += [Polygon(tuple(map(tuple, (a + circle).tolist()))) for a in r]
+        return Union(tuple(parts if self.distance else parts[:1]))
+
+    def contains(self, x):
+        return self.region.contains(x) | (self.region.boundary_distance(x) <= self.distance)
+
+
 @dataclass(frozen=True)
 class LineSegment(Region):
     """Segment in two or three dimensions; points on it by closeness of distance sums."""
@@ -410,9 +469,12 @@ def clip_convex(subject: Sequence[tuple[float, float]], window: Sequence[tuple[f
     return Polygon(tuple(out)) if len(out) > 2 and abs(_shoelace(np.array(out))) > 0 else EmptyRegion(2)
 
 
-def expand_region(region: Box, distance: float = 100, support: Box | None = None) -> Box | EmptyRegion:
+def expand_region(region: Region, distance: float = 100, support: Region | None = None) -> Region:
+    """The region and everything within a distance, within the support."""
     grown = region.buffer(distance)
-    return grown if support is None else grown.intersection(support)
+    if support is None:
+        return grown
+    return grown.intersection(support) if isinstance(grown, Box) and isinstance(support, Box) else Intersection(grown, support)
 
 
 @dataclass(frozen=True)
@@ -432,7 +494,7 @@ class Difference(Region):
 
     @property
     def region_measure(self):
-        return self.region.region_measure - self.without.region_measure
+        return combined_measure(self)
 
     def contains(self, x):
         return self.region.contains(x) & ~self.without.contains(x)
@@ -440,7 +502,7 @@ class Difference(Region):
 
 @dataclass(frozen=True)
 class Union(Region):
-    """What is in any of the regions; the measure is found by the caller if they overlap."""
+    """What is in any of the regions, which may overlap."""
 
     regions: tuple[Region, ...]
 
@@ -450,8 +512,12 @@ class Union(Region):
 
     @property
     def bounds(self):
-        each = [r.bounds for r in self.regions]
-        return tuple((min(b[k][0] for b in each), max(b[k][1] for b in each)) for k in range(self.dimension))
+        each = [r.bounds for r in self.regions if r.bounds]
+        return tuple((min(b[k][0] for b in each), max(b[k][1] for b in each)) for k in range(self.dimension)) if each else ()
+
+    @property
+    def region_measure(self):
+        return combined_measure(self)
 
     def contains(self, x):
         out = F.lit(False)
@@ -462,7 +528,7 @@ class Union(Region):
 
 @dataclass(frozen=True)
 class Intersection(Region):
-    """What is in both regions; the measure is that of the first one's corners clipped by the second's, which has to be convex."""
+    """What is in both regions."""
 
     one: Region
     other: Region
@@ -477,14 +543,93 @@ class Intersection(Region):
 
     @property
     def region_measure(self):
-        return clip_convex(_ring(self.one), _ring(self.other)).region_measure
+        return combined_measure(self)
 
     def contains(self, x):
         return self.one.contains(x) & self.other.contains(x)
 
 
-def _ring(region: Region) -> Sequence[tuple[float, float]]:
-    return region.points[:-1] if region.points[0] == region.points[-1] else region.points
+def _spelled(region: Region) -> Region:
+    """The same with buffered polygons as the unions of their parts."""
+    if isinstance(region, Difference):
+        return Difference(_spelled(region.region), _spelled(region.without))
+    if isinstance(region, Intersection):
+        return Intersection(_spelled(region.one), _spelled(region.other))
+    if isinstance(region, Union):
+        return Union(tuple(map(_spelled, region.regions)))
+    return region.parts if isinstance(region, Buffered) else region
+
+
+def _leaves(region: Region) -> list[Region]:
+    """The regions that a combined one is made of, from left to right."""
+    parts = {Difference: lambda r: (r.region, r.without), Intersection: lambda r: (r.one, r.other), Union: lambda r: r.regions}.get(type(region))
+    return [x for r in parts(region) for x in _leaves(r)] if parts else [region]
+
+
+def _holds(region: Region, inside: Iterator[np.ndarray]) -> np.ndarray:
+    """Whether a combined region holds places of which it is known which leaves hold them."""
+    if isinstance(region, Difference):
+        one, other = _holds(region.region, inside), _holds(region.without, inside)
+        return one & ~other
+    if isinstance(region, Intersection):
+        one, other = _holds(region.one, inside), _holds(region.other, inside)
+        return one & other
+    if isinstance(region, Union):
+        return np.logical_or.reduce([_holds(r, inside) for r in region.regions])
+    return next(inside)
+
+
+def _edges(region: Region) -> np.ndarray:
+    """(x0, y0, x1, y1) of the edges of a planar region's rings that are not upright, from left to right."""
+    if isinstance(region, EmptyRegion):
+        return np.zeros((0, 4))
+    rings = [r for p in region.polygons for r in p.rings] if isinstance(region, MultiPolygon) else region.rings if isinstance(region, Polygon) else [np.array(region.points, float)]
+    out = np.concatenate([np.column_stack([r, np.roll(r, -1, 0)]) for r in rings])
+    out = np.where((out[:, 0] > out[:, 2])[:, None], out[:, [2, 3, 0, 1]], out)
+    return out[out[:, 0] < out[:, 2]]
+
+
+def combined_measure(region: Region) -> float:
+    """Area of unions, intersections and differences of planar regions of any shape, or measure of those of boxes in any dimension.
+
+    The plane is cut into upright strips at all corners and crossings: within a strip no edges cross, so it falls into trapezoids, each of which
+    a leaf holds or not. Boxes are cut into the grid of all their sides. An ellipse counts as the polygon of its ``points``. Leaves are
+    descriptions of a few hundred corners; the work grows with the square of their number.
+    """
+    region = _spelled(region)
+    leaves = _leaves(region)
+    if all(isinstance(r, (Box, EmptyRegion)) for r in leaves):
+        boxes = [r for r in leaves if isinstance(r, Box)]
+        if not boxes:
+            return 0.0
+        sides = [np.unique([v for b in boxes for v in (b.lower[k], b.upper[k])]) for k in range(boxes[0].dimension)]
+        middle = np.meshgrid(*((x[1:] + x[:-1]) / 2 for x in sides), indexing="ij")
+        size = np.prod(np.meshgrid(*(np.diff(x) for x in sides), indexing="ij"), axis=0)
+        none = np.zeros(size.shape, bool)
+        inside = [np.logical_and.reduce([(m >= lo) & (m < hi) for m, lo, hi in zip(middle, r.lower, r.upper)]) if isinstance(r, Box) else none for r in leaves]
+        return float(size[_holds(region, iter(inside))].sum())
+    if region.dimension != 2:
+        raise NotImplementedError("combined measures are for planar regions, and for boxes in any dimension")
+    each = [_edges(r) for r in leaves]
+    edges, owner = np.concatenate(each), np.repeat(np.arange(len(leaves)), [len(e) for e in each])
+    x0, y0, x1, y1 = edges.T
+    slope = (y1 - y0) / (x1 - x0)
+    cuts = [x0, x1]
+    for k in range(len(edges)):  # crossings with the edges after it
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = ((y0[k] - slope[k] * x0[k]) - (y0[k:] - slope[k:] * x0[k:])) / (slope[k:] - slope[k])
+        cuts.append(at[(at > np.maximum(x0[k], x0[k:])) & (at < np.minimum(x1[k], x1[k:]))])
+    cuts, total = np.unique(np.concatenate(cuts)), 0.0
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        x = (lo + hi) / 2
+        on = np.flatnonzero((x0 <= lo) & (x1 >= hi))
+        y = y0[on] + slope[on] * (x - x0[on])
+        order = np.argsort(y, kind="stable")
+        y, mine = y[order], owner[on][order]
+        inside = (np.cumsum(mine[:-1, None] == np.arange(len(leaves)), axis=0) % 2 == 1).T
+        if len(y) > 1:
+            total += (hi - lo) * float(np.diff(y)[_holds(region, iter(inside))].sum())
+    return float(total)
 
 
 def symmetric_difference(one: Region, other: Region) -> Union:
@@ -493,14 +638,14 @@ def symmetric_difference(one: Region, other: Region) -> Union:
 
 
 def union_measure(one: Region, other: Region) -> float:
-    """Measure of the union of two regions, the second convex: both less what they share."""
-    return one.region_measure + other.region_measure - Intersection(one, other).region_measure
+    """Measure of the union of two regions."""
+    return Union((one, other)).region_measure
 
 
 def regions_union(regions: Sequence[Region]) -> Union:
     return Union(tuple(regions))
 
 
-def surrounding_region(region: Box, distance: float = 100, support: Box | None = None) -> Difference | EmptyRegion:
+def surrounding_region(region: Region, distance: float = 100, support: Region | None = None) -> Difference | EmptyRegion:
     grown = expand_region(region, distance, support)
     return grown if isinstance(grown, EmptyRegion) else Difference(grown, region)

@@ -55,6 +55,22 @@ _inside("region_expanded", regions.expand_region(_RECT, 0.05, regions.AxisOrient
 _inside("region_surrounding", regions.surrounding_region(_RECT, 0.05), f"position_x >= -0.15000000000000002 AND position_x < 0.15000000000000002 AND position_y >= -0.1 AND position_y < 0.2 AND NOT {_IN_RECT}")
 _inside("region_from_intervals", regions.region_from_intervals([(-0.1, 0.05), (0, 0.3)]), "position_x >= -0.1 AND position_x < 0.05 AND position_y >= 0 AND position_y < 0.3")
 
+_ARROW = ((-0.2, -0.15), (0.25, 0.0), (-0.2, 0.2), (-0.05, 0.0))
+_SIDES = "side(x0, y0, x1, y1) AS (VALUES " + ", ".join(f"({a}, {b}, {c}, {e})" for (a, b), (c, e) in zip(_ARROW, _ARROW[1:] + _ARROW[:1])) + ")"
+_NEAR = "seen AS (SELECT index, position_x AS x, position_y AS y, *, greatest(0, least(1, ((position_x - x0) * (x1 - x0) + (position_y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) AS t FROM (SELECT index, position_x, position_y, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM loc_emb, side)), held AS (SELECT index, count(*) FILTER ((y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0) % 2 = 1 AS inside, min(sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2))) AS d FROM seen GROUP BY index)"
+
+
+@query("region_buffered", sql("SELECT index FROM held WHERE inside OR d <= 0.04", f"{_SIDES}, {_NEAR}"))
+def _(s, d):
+    return filters.select_by_region(loc_emb(s, d), regions.Polygon(_ARROW).buffer(0.04)).select("index")
+
+
+@query("region_around_polygon", sql("SELECT index FROM held JOIN loc_emb USING (index) WHERE NOT inside AND d <= 0.04 AND position_x < 0.1 AND position_x >= -0.5 AND position_y >= -0.5 AND position_y < 0.5", f"{_SIDES}, {_NEAR}"))
+def _(s, d):
+    around = regions.surrounding_region(regions.Polygon(_ARROW), 0.04, regions.AxisOrientedRectangle((-0.5, -0.5), 0.6, 1))
+    return filters.select_by_region(loc_emb(s, d), around).select("index")
+
+
 _MEASURED = {
     "interval": (regions.Interval(1, 4), "3"), "rectangle": (regions.Rectangle((1, 2), 3, 4, 20), "12"), "ellipse": (regions.Ellipse((1, 1), 4, 2, 30), "2 * pi()"), "polygon": (regions.Polygon(((0, 0), (0, 4), (3, 0))), "6"),
     "multipolygon": (regions.MultiPolygon((_square(0, 0, 2), _square(5, 5, 3))), "13"), "line_segment": (regions.LineSegment(((0, 0, 0), (2, 3, 6))), "7"), "cuboid": (regions.Cuboid((0, 0, 0), 2, 3, 4, 10, 20, 30), "24"),
