@@ -92,7 +92,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder().values()
+        self.added, self.folded = [t.content for t in added], any(t.normalized for t in added)  # as it stands in a text, or in the text as normalised
         self.follows = _follows(self.library, kind)
         self.lower, self.split, self.words = kind == "words", _RULES[kind].findall, _Words(self.library)
 
@@ -106,7 +107,7 @@ class Encoder:
         if len(self.words) > MEMORY:
             self.words.clear()
         for i, text in enumerate(texts):
-            if _known(text) and not any(x in text or x in text.lower() for x in self.added):
+            if _known(text) and not any(x in text for x in self.added) and not (self.folded and any(x in text.lower() for x in self.added)):
                 out[i] = b"".join(map(ids, self.split(text.lower() if self.lower else text)))
             else:
                 other.append(i)
