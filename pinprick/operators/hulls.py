@@ -259,10 +259,27 @@ def rectangle_corners(v: np.ndarray) -> np.ndarray:
     return np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]]) @ axes
 
 
-def localizations_in_hulls(df: DataFrame, collection: DataFrame, by: str = "cluster_label", cell: float | None = None, hull: str = "convex") -> DataFrame:
+def by_cells(df: DataFrame, hulls: DataFrame, coords: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` beside the hulls (arrays ``_lo``, ``_hi`` of their boxes) whose boxes share a grid cell with them.
+
+    Every hull takes the grid whose edge is the power of two at or above its box's largest side, so it lies in at most two cells
+    an axis however much the sizes differ; a point goes to one cell of each edge in use (they differ by doubling, so they are few)."""
+    side = F.array_max(F.zip_with("_hi", "_lo", lambda a, b: a - b))
+    box = hulls.withColumn("_edge", F.pow(F.lit(2.0), F.ceil(F.log2(F.when(side > 0, side).otherwise(1.0)))))
+    edges = [r["_edge"] for r in box.select("_edge").distinct().toLocalIterator()]
+    points = df.withColumn("_edge", F.explode(F.array(*map(F.lit, edges)).cast("array<double>")))
+    cells = [f"_g{k}" for k in range(len(coords))]
+    for k, c in enumerate(coords):
+        at = lambda v: F.floor(v / F.col("_edge"))
+        points = points.withColumn(cells[k], at(F.col(c).cast("double")))
+        box = box.withColumn(cells[k], F.explode(F.sequence(at(F.col("_lo")[k]), at(F.col("_hi")[k]))))
+    return points.join(box, ["_edge", *cells])
+
+
+def localizations_in_hulls(df: DataFrame, collection: DataFrame, by: str = "cluster_label", hull: str = "convex") -> DataFrame:
     """Rows of ``df`` with the ``region_id`` of each hull of the collection's groups that holds them.
 
-    ``hull`` is 'convex', 'bounding_box' or 'oriented_bounding_box'. Hulls are listed under the grid cells that their boxes cover and meet the points by cell; the exact
+    ``hull`` is 'convex', 'bounding_box' or 'oriented_bounding_box'. Hulls meet the points by the cells that their boxes cover; the exact
     test is an expression over the hull's corners, boundaries included.
     """
     if hull not in ("convex", "bounding_box", "oriented_bounding_box"):
@@ -280,13 +297,9 @@ def localizations_in_hulls(df: DataFrame, collection: DataFrame, by: str = "clus
         return pd.DataFrame({by: [pdf[by].iloc[0]], "vx": [v[:, 0].tolist()], "vy": [v[:, 1].tolist()]})
 
     hulls = hull_vertices(collection, by).groupBy(by).applyInPandas(corners, f"`{by}` {kind}, vx array<double>, vy array<double>").where(F.size("vx") > 2)
-    box = hulls.select(F.col(by).alias("region_id"), "vx", "vy", F.array_min("vx").alias("x0"), F.array_max("vx").alias("x1"), F.array_min("vy").alias("y0"), F.array_max("vy").alias("y1"))
-    if cell is None:
-        cell = box.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
-    at = lambda c: F.floor(F.col(c) / cell)
-    box = box.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
-    points = df.withColumns({"gx": F.floor(F.col(x) / cell), "gy": F.floor(F.col(y) / cell)})
+    ends = lambda f: F.array(f("vx"), f("vy"))
+    box = hulls.select(F.col(by).alias("region_id"), "vx", "vy", ends(F.array_min).alias("_lo"), ends(F.array_max).alias("_hi"))
     n = F.size("vx")
     turn = lambda k: (F.get("vx", (k + 1) % n) - F.get("vx", k)) * (F.col(y) - F.get("vy", k)) - (F.get("vy", (k + 1) % n) - F.get("vy", k)) * (F.col(x) - F.get("vx", k))
     inside = F.forall(F.sequence(F.lit(0), n - 1), lambda k: turn(k) >= 0)
-    return points.join(box, ["gx", "gy"]).where(inside).select(*df.columns, "region_id")
+    return by_cells(df, box, [x, y]).where(inside).select(*df.columns, "region_id")

@@ -13,7 +13,7 @@ from ..analysis import Analysis, Pipeline, Roi, roi_from_legacy
 from ..dataset import LocSet
 from ..functions import distributions, regions, rotations
 from ..functions.binning import Bins
-from ..operators import binned, clustering, filters, frames, hulls, properties, simulate, spatial_stats, transforms
+from ..operators import binned, clustering, filters, frames, hulls, properties, simulate, spatial_hulls, spatial_stats, transforms
 from ..operators.components import work_dir
 from ..sources import files, native, text
 from .catalog import ORACLE_SQL, PAIRS, QUERIES, query, r
@@ -255,6 +255,32 @@ def _(s, d):
     return hulls.localizations_in_hulls(p, p, hull="bounding_box").select("index", "region_id")
 
 
+#: Triangles of a group with every other point on one side: the faces of the hull in space, their unit normals turned outwards.
+_TRIPLES = "triples AS (SELECT a.cluster_label, a.index AS i, b.index AS j, c.index AS k, a.position_x AS x, a.position_y AS y, a.position_z AS z, (b.position_y - a.position_y) * (c.position_z - a.position_z) - (b.position_z - a.position_z) * (c.position_y - a.position_y) AS nx, (b.position_z - a.position_z) * (c.position_x - a.position_x) - (b.position_x - a.position_x) * (c.position_z - a.position_z) AS ny, (b.position_x - a.position_x) * (c.position_y - a.position_y) - (b.position_y - a.position_y) * (c.position_x - a.position_x) AS nz FROM loc_emb a JOIN loc_emb b ON a.cluster_label = b.cluster_label AND a.index < b.index JOIN loc_emb c ON a.cluster_label = c.cluster_label AND b.index < c.index)"
+_FACES = "faces AS MATERIALIZED (SELECT cluster_label, i, j, k, x, y, z, size / 2 AS area, turn * nx / size AS nx, turn * ny / size AS ny, turn * nz / size AS nz FROM (SELECT t.cluster_label, i, j, k, x, y, z, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS size, CASE WHEN max(side) <= 0 THEN 1 ELSE -1 END AS turn FROM (SELECT t.*, nx * (p.position_x - x) + ny * (p.position_y - y) + nz * (p.position_z - z) AS side FROM triples t JOIN loc_emb p ON p.cluster_label = t.cluster_label AND p.index NOT IN (i, j, k)) t GROUP BY t.cluster_label, i, j, k, x, y, z, nx, ny, nz HAVING max(side) <= 0 OR min(side) >= 0))"
+_CORNERS = "corners AS MATERIALIZED (SELECT DISTINCT f.cluster_label, position_x AS px, position_y AS py, position_z AS pz, index FROM faces f JOIN loc_emb p ON p.index IN (f.i, f.j, f.k))"
+#: Boxes with a side on a face and another along the line of any two corners, seen along the face's normal.
+_SOLID_BOXES = "turned AS (SELECT f.cluster_label, f.i, f.j, f.k, a.index AS a, b.index AS b, nx, ny, nz, b.px - a.px - d * nx AS ux, b.py - a.py - d * ny AS uy, b.pz - a.pz - d * nz AS uz FROM faces f JOIN corners a ON a.cluster_label = f.cluster_label JOIN corners b ON b.cluster_label = f.cluster_label AND a.index < b.index, LATERAL (SELECT (b.px - a.px) * nx + (b.py - a.py) * ny + (b.pz - a.pz) * nz AS d)), solid_boxes AS (SELECT t.cluster_label, max(px * nx + py * ny + pz * nz) - min(px * nx + py * ny + pz * nz) AS h, (max(px * ux + py * uy + pz * uz) - min(px * ux + py * uy + pz * uz)) / max(sqrt(ux * ux + uy * uy + uz * uz)) AS l, (max(px * (ny * uz - nz * uy) + py * (nz * ux - nx * uz) + pz * (nx * uy - ny * ux)) - min(px * (ny * uz - nz * uy) + py * (nz * ux - nx * uz) + pz * (nx * uy - ny * ux))) / max(sqrt(ux * ux + uy * uy + uz * uz)) AS m FROM turned t JOIN corners p ON p.cluster_label = t.cluster_label GROUP BY t.cluster_label, i, j, k, a, b)"
+
+
+@query("hull_measures_in_space", sql("SELECT cluster_label, n AS localization_count, count(DISTINCT v) AS n_vertices_ch, round(sum(area * (nx * (x - cx) + ny * (y - cy) + nz * (z - cz))) / 9, 9) AS region_measure_ch, round(sum(area) / 3, 8) AS subregion_measure_ch FROM (SELECT *, unnest([i, j, k]) AS v FROM faces) f JOIN (SELECT cluster_label, count(*) AS n, avg(position_x) AS cx, avg(position_y) AS cy, avg(position_z) AS cz FROM loc_emb GROUP BY cluster_label) c USING (cluster_label) GROUP BY cluster_label, n", _TRIPLES, _FACES))
+def _(s, d):
+    out = spatial_hulls.convex_hulls_in_space(loc_emb(s, d)).select("cluster_label", "localization_count", "n_vertices_ch", "region_measure_ch", "subregion_measure_ch")
+    return r(r(out, "region_measure_ch", digits=9), "subregion_measure_ch", digits=8)
+
+
+@query("oriented_boxes_in_space", sql("SELECT cluster_label, round(l * m * h, 8) AS region_measure_obb, round(greatest(l, m, h), 7) AS length_obb, round(least(l, m, h), 7) AS height_obb, round(1 - least(l, m, h) / greatest(l, m, h), 7) AS elongation_obb FROM (SELECT cluster_label, min_by(l, l * m * h) AS l, min_by(m, l * m * h) AS m, min_by(h, l * m * h) AS h FROM solid_boxes GROUP BY cluster_label)", _TRIPLES, _FACES, _CORNERS, _SOLID_BOXES))
+def _(s, d):
+    out = spatial_hulls.convex_hulls_in_space(loc_emb(s, d)).select("cluster_label", "region_measure_obb", "length_obb", "height_obb", "elongation_obb")
+    return r(r(out, "region_measure_obb", digits=8), "length_obb", "height_obb", "elongation_obb", digits=7)
+
+
+@query("localizations_in_space", sql("SELECT p.index, f.cluster_label AS region_id FROM loc_emb p, faces f GROUP BY p.index, f.cluster_label HAVING max(nx * (position_x - x) + ny * (position_y - y) + nz * (position_z - z)) <= 5e-10", _TRIPLES, _FACES))
+def _(s, d):
+    p = loc_emb(s, d)
+    return spatial_hulls.localizations_in_space(p, p).select("index", "region_id")
+
+
 @query("triangulation_counts", sql("SELECT c.cluster_label, n AS n_points, 3 * n - 3 - h AS n_edges, 2 * n - 2 - h AS n_triangles FROM (SELECT cluster_label, count(*) AS n FROM loc_emb GROUP BY cluster_label) c JOIN (SELECT cluster_label, count(*) AS h FROM edges GROUP BY cluster_label) e ON c.cluster_label = e.cluster_label", _EDGES))
 def _(s, d):
     p = loc_emb_2d(s, d)
