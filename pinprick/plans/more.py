@@ -13,7 +13,7 @@ from ..analysis import Analysis, Pipeline, Roi, roi_from_legacy
 from ..dataset import LocSet
 from ..functions import distributions, regions, rotations
 from ..functions.binning import Bins
-from ..operators import binned, clustering, filters, frames, hulls, properties, simulate, spatial_hulls, spatial_stats, transforms
+from ..operators import binned, clustering, filters, frames, hulls, likelihood, properties, simulate, spatial_hulls, spatial_stats, transforms
 from ..operators.components import work_dir
 from ..sources import files, native, text
 from .catalog import ORACLE_SQL, PAIRS, QUERIES, query, r
@@ -294,6 +294,33 @@ def _(s, d):
     return r(out.select("cluster_label", "region_measure_as", "subregion_measure_as"), "region_measure_as", "subregion_measure_as")
 
 
+# likelihood fits
+
+def _fitted(df, column: str, law: str, **digits: int):
+    """Fitted parameters side by side, rounded."""
+    found = likelihood.fit_law(df, column, law)
+    return found.agg(*(F.round(F.max(F.when(F.col("parameter") == p, F.col("value"))), k).alias(p) for p, k in digits.items()), F.max("n").alias("n"))
+
+
+_DIGAMMA = "ln(y) - 1 / (2 * y) - 1 / (12 * power(y, 2)) + 1 / (120 * power(y, 4)) - 1 / (252 * power(y, 6)) + 1 / (240 * power(y, 8)) - (" + " + ".join(f"1 / (a + {k})" for k in range(10)) + ")"
+_HALVED = f"moments AS (SELECT avg(intensity) AS m, avg(ln(intensity)) AS g, count(*) AS n FROM loc_li), halved(low, high, k) AS (SELECT CAST(1e-3 AS DOUBLE), CAST(1e6 AS DOUBLE), 0 UNION ALL SELECT CASE WHEN ln(a) - ({_DIGAMMA}) > ln(m) - g THEN a ELSE low END, CASE WHEN ln(a) - ({_DIGAMMA}) > ln(m) - g THEN high ELSE a END, k + 1 FROM (SELECT *, sqrt(low * high) AS a, sqrt(low * high) + 10 AS y FROM halved), moments WHERE k < 120)"
+
+
+@query("fit_gamma", sql("SELECT round(low, 6) AS a, round(m / low, 2) AS scale, n FROM halved, moments WHERE k = 120", _HALVED).replace("WITH", "WITH RECURSIVE", 1))
+def _(s, d):
+    return _fitted(loc_li(s, d), "intensity", "gamma", a=6, scale=2)
+
+
+@query("fit_lognormal", sql("SELECT round(stddev_pop(ln(intensity)), 7) AS s, round(exp(avg(ln(intensity))), 2) AS scale, count(*) AS n FROM loc_li"))
+def _(s, d):
+    return _fitted(loc_li(s, d), "intensity", "lognorm", s=7, scale=2)
+
+
+@query("fit_pairwise_distance", sql("SELECT round(sqrt(avg(position_x * position_x + position_y * position_y) / 4), 8) AS sigma, count(*) AS n FROM loc_emb"))
+def _(s, d):
+    return _fitted(loc_emb(s, d).withColumn("d", F.sqrt(F.col("position_x") * F.col("position_x") + F.col("position_y") * F.col("position_y"))), "d", "pairwise_2d_zero_mu", sigma=8)
+
+
 # datasets and analyses
 
 @query("dataset_centroid", sql("SELECT round(avg(position_x), 9) AS position_x, round(avg(position_y), 9) AS position_y FROM loc_emb"))
