@@ -74,17 +74,54 @@ def neighbor_counts(points: DataFrame, other: DataFrame | None = None, *, radii:
     return out.select(id_col, *(F.coalesce(f"n{k}", F.lit(0).cast("long")).alias(f"n{k}") for k in range(len(radii))))
 
 
+#: Candidate pairs of a first search for each row and neighbour, about; more are avoided by a smaller radius.
+CROWD = 16
+#: Candidate pairs that a last search over everything may always have.
+JUMP = 5_000_000
+
+
+def _first_search(points: DataFrame, target: DataFrame, same: bool, coords: list[str], id_col: str, k: int, radius: float, rows: int) -> tuple[float, DataFrame]:
+    """A radius at which cells hold few candidates however uneven the density is, and the targets that can be among the k nearest.
+
+    The radius shrinks until rows do not meet too many targets in their own cell. Where the smallest does not help, many
+    targets share a place; of those only the k + 1 with the smallest ids can be among the k nearest of any row."""
+
+    def load(edge: float) -> int:
+        cells = [F.floor(F.col(c).cast("double") / F.lit(edge)).alias(f"_g{i}") for i, c in enumerate(coords)]
+        held = target.groupBy(*cells).agg(F.count("*").alias("t"))
+        if same:
+            pairs = held.select((F.col("t") * F.col("t")).cast("decimal(38,0)").alias("v"))
+        else:
+            asked = points.groupBy(*cells).agg(F.count("*").alias("p"))
+            pairs = held.join(asked, [f"_g{i}" for i in range(len(coords))]).select((F.col("t") * F.col("p")).cast("decimal(38,0)").alias("v"))
+        return int(pairs.agg(F.sum("v")).first()[0] or 0)
+
+    limit, steps = CROWD * k * rows, 20
+    if load(radius) <= limit:
+        return radius, target
+    if load(radius / 4**steps) > limit:
+        place = Window.partitionBy(*coords).orderBy(id_col)
+        target = written(target.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k + 1).drop("_place"))
+        same = False
+    wide, small = 0, steps  # the load falls with the radius: halve the interval of exponents
+    while small - wide > 1:
+        mid = (wide + small) // 2
+        wide, small = (wide, mid) if load(radius / 4**mid) <= limit else (mid, small)
+    return radius / 4**small, target
+
+
 def nearest_neighbors(points: DataFrame, other: DataFrame | None = None, *, k: int = 1, id_col: str = "index", coords: list[str] | None = None, keep_all: bool = False) -> DataFrame:
     """(id, neighbor, distance, rank) of the k-th nearest neighbour of each point (or of the first k).
 
     Exact: all points within a radius are searched, and points with fewer than k hits search
-    again within twice the radius, up to the size of the box around everything. Ties go to the
-    smaller id. A self search leaves the point itself out; points with fewer than k others have no row of rank k.
+    again within a larger one, up to the size of the box around everything. The first radius follows the densest places, so
+    a search meets about k candidates for each point, and points left for a wider one are so far apart that they stay few in any cell.
+    Ties go to the smaller id. A self search leaves the point itself out; points with fewer than k others have no row of rank k.
     """
     coords = coords or coordinates(points.columns)
     target = points if other is None else other
     box = target.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(coords))).first()
-    mine = points.agg(*(F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(coords))).first()
+    mine = points.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(coords))).first()
     result_schema = "id1 long, id2 long, distance double, rank int"
     if not box["n"] or box["lo0"] is None or mine["lo0"] is None:
         return points.sparkSession.createDataFrame([], result_schema).withColumnsRenamed({"id1": id_col, "id2": "neighbor"})
@@ -92,22 +129,29 @@ def nearest_neighbors(points: DataFrame, other: DataFrame | None = None, *, k: i
     spans = [max(box[f"hi{i}"] - box[f"lo{i}"], 1e-12) for i in range(len(coords))]
     reach = math.sqrt(sum(x * x for x in wide)) * (1 + 1e-9) + 1e-12
     radius = min(1.5 * (k * math.prod(spans) / box["n"]) ** (1 / len(coords)), reach)
+    columns = dict.fromkeys([id_col, *coords])
+    radius, target = _first_search(points.select(*columns).dropna(subset=coords), target.select(*columns).dropna(subset=coords), other is None, coords, id_col, k, radius, max(mine["n"], box["n"]))
     order = Window.partitionBy("id1").orderBy("distance", "id2")
     left, found = points, None
     while True:
-        near = radius_pairs(left, target if other is not None else target, radius=radius, id_col=id_col, coords=coords)
+        near = radius_pairs(left, target, radius=radius, id_col=id_col, coords=coords)
         if other is None:
             near = near.where("id1 <> id2")
-        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy("id1")))
+        if k == 1:  # a minimum needs no sorting
+            near = near.groupBy("id1").agg(F.min(F.struct("distance", "id2")).alias("m")).select("id1", "m.id2", "m.distance", F.lit(1).alias("rank"), F.lit(1).alias("_n"))
+        else:
+            near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy("id1")))
         last = radius >= reach
         part = near if last else written(near.where(F.col("_n") >= k))
         found = part if found is None else found.unionByName(part)
         if last:
             break
         left = written(left.join(part.select(F.col("id1").alias(id_col)).distinct(), id_col, "left_anti"))
-        if left.isEmpty():
+        rest = left.count()
+        if not rest:
             break
-        radius = min(2 * radius, reach)
+        few = rest * box["n"] <= max(JUMP, CROWD * k * max(mine["n"], box["n"]))
+        radius = reach if few else min(2 * radius, reach)
     out = found if keep_all else found.where(F.col("rank") == k)
     return out.select(F.col("id1").alias(id_col), F.col("id2").alias("neighbor"), "distance", "rank")
 
