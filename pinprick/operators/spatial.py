@@ -132,7 +132,7 @@ def nearest_neighbors(points: DataFrame, other: DataFrame | None = None, *, k: i
     columns = dict.fromkeys([id_col, *coords])
     radius, target = _first_search(points.select(*columns).dropna(subset=coords), target.select(*columns).dropna(subset=coords), other is None, coords, id_col, k, radius, max(mine["n"], box["n"]))
     order = Window.partitionBy("id1").orderBy("distance", "id2")
-    left, found = points, None
+    left, found = points.dropna(subset=coords), None
     while True:
         near = radius_pairs(left, target, radius=radius, id_col=id_col, coords=coords)
         if other is None:
