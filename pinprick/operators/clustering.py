@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import check_columns
-from . import hierarchy
+from . import density, hierarchy
 from .components import components, written
 from .filters import numbered_rows
 from .spatial import radius_pairs
@@ -24,18 +26,36 @@ def dbscan(df: DataFrame, *, eps: float = 20, min_samples: int = 5, id_col: str
     eps share a cluster (connected components); another point joins the lowest cluster of a core point within eps.
     """
     coords = check_columns(df.columns, coords)
-    pairs = written(radius_pairs(df, radius=eps, id_col=id_col, coords=list(coords)).select("id1", "id2"))
+    if eps <= 0 or not math.isfinite(eps):
+        raise ValueError("eps is a positive number")
+    axes = [f"x{k}" for k in range(len(coords))]
+    rows = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(x) for c, x in zip(coords, axes)))
+    reach = density.cell_edge(eps, len(axes)) * density.FAR
+    finite = functools.reduce(lambda a, b: a & b, [F.coalesce(F.abs(x) < float("inf"), F.lit(False)) for x in axes])
+    far = functools.reduce(lambda a, b: a | b, [F.abs(x) >= reach for x in axes])
+    if rows.where(finite & far).limit(1).count():  # cells are no longer sure
+        core, border = _by_pairs(rows.where(finite), eps, min_samples, axes)
+    else:
+        core, border = density.density_members(rows.where(finite).dropna(subset=["id"]), eps, min_samples, axes)
+    if min_samples <= 1:  # points without a place are near themselves
+        core = core.unionByName(rows.where(~finite).select("id", F.col("id").alias("component")))
+    core = written(core)
+    number = numbered_rows(core.select("component").distinct(), [F.col("component")], "label").withColumn("label", F.col("label") + 1)
+    number = written(number)
+    border = border.distinct().join(number, "component").groupBy("id").agg(F.min("label").alias("label"))
+    labels = core.join(number, "component").select("id", "label").unionByName(border.select("id", "label"))
+    return df.drop("cluster_label").join(labels.withColumnRenamed("id", id_col), id_col, "left").withColumn("cluster_label", F.coalesce("label", F.lit(-1)).cast("long")).drop("label")
+
+
+def _by_pairs(rows: DataFrame, eps: float, min_samples: int, axes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What ``density_members`` gives, for coordinates of any size, from all pairs within ``eps``."""
+    pairs = written(radius_pairs(rows, radius=eps, id_col="id", coords=axes).select("id1", "id2"))
     near = pairs.groupBy("id1").agg(F.count("*").alias("n"))
-    ids = df.select(F.col(id_col).alias("id1"))
-    core = written(ids.join(near, "id1", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select(F.col("id1").alias("c")))
+    core = written(rows.select(F.col("id").alias("id1")).join(near, "id1", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select(F.col("id1").alias("c")))
     edges = pairs.where("id1 < id2").join(core, F.col("id1") == F.col("c")).drop("c").join(core, F.col("id2") == F.col("c")).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-    found = components(edges)
-    member = core.join(found, F.col("c") == F.col("node"), "left").select(F.col("c").alias("id"), F.coalesce("component", "c").alias("component"))
-    number = numbered_rows(member.select("component").distinct(), [F.col("component")], "label").withColumn("label", F.col("label") + 1)
-    member = written(member.join(number, "component").select("id", "label"))
-    border = pairs.join(core, F.col("id1") == F.col("c"), "left_anti").join(member, F.col("id2") == F.col("id")).groupBy("id1").agg(F.min("label").alias("label"))
-    labels = member.unionByName(border.select(F.col("id1").alias("id"), "label"))
-    return df.drop("cluster_label").join(labels.withColumnRenamed("id", id_col), id_col, "left").withColumn("cluster_label", F.coalesce("label", F.lit(-1)).cast("long")).drop("label")
+    member = core.join(components(edges), F.col("c") == F.col("node"), "left").select(F.col("c").alias("id"), F.coalesce("component", "c").alias("component"))
+    border = pairs.join(core, F.col("id1") == F.col("c"), "left_anti").join(member, F.col("id2") == F.col("id")).select(F.col("id1").alias("id"), "component")
+    return member, border
 
 
 def hdbscan(df: DataFrame, *, min_cluster_size: int = 5, allow_single_cluster: bool = False, tile: str | None = None, id_col: str = "index", coords: Sequence[str] | None = None) -> DataFrame:
