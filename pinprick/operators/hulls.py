@@ -97,7 +97,9 @@ def convex_hulls(df: DataFrame, by: str = "cluster_label", coords: Sequence[str]
 
 
 def delaunay(p: np.ndarray) -> np.ndarray:
-    """Triangles (row numbers) of the Delaunay triangulation of distinct points, added one by one."""
+    """Triangles (row numbers) of the Delaunay triangulation of distinct points, added one by one from left to right.
+
+    A triangle whose circle ends left of the point is final and is not looked at again, so a point meets only the triangles along the front."""
     n = len(p)
     if n < 3:
         return np.zeros((0, 3), int)
@@ -105,7 +107,14 @@ def delaunay(p: np.ndarray) -> np.ndarray:
     q = np.vstack([p, mid + [-span, -span], mid + [span, -span], mid + [0, span]])
     tri = np.array([[n, n + 1, n + 2]])
     center, r2 = _circles(q, tri)
+    final, looked = [], 0
     for i in np.argsort(p[:, 0], kind="stable"):
+        if len(tri) > 2 * looked + 64:
+            past = q[i, 0] - center[:, 0]
+            past = (past > 0) & (past * past > r2 * (1 + 1e-9))
+            final.append(tri[past])
+            tri, center, r2 = tri[~past], center[~past], r2[~past]
+            looked = len(tri)
         bad = ((center - q[i]) ** 2).sum(1) < r2 * (1 + 1e-12)
         edges = np.sort(np.concatenate([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]]), axis=1)
         edges, times = np.unique(edges, axis=0, return_counts=True)
@@ -115,6 +124,7 @@ def delaunay(p: np.ndarray) -> np.ndarray:
         new = new[np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) > 0]
         c, r = _circles(q, new)
         tri, center, r2 = np.vstack([tri[~bad], new]), np.vstack([center[~bad], c]), np.append(r2[~bad], r)
+    tri = np.vstack([*final, tri])
     return tri[(tri < n).all(1)]
 
 

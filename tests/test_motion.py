@@ -176,3 +176,16 @@ def test_roi_files(tmp_path):
         Roi.load(str(path))
     roi.save(str(path))
     assert Roi.load(str(path)) == roi
+
+
+def test_triangulation_looks_at_the_front_only(monkeypatch):
+    looked, own = [], hulls._circles
+    monkeypatch.setattr(hulls, "_circles", lambda q, tri: looked.append(len(tri)) or own(q, tri))
+    stack = np.vstack
+    widths: list[int] = []
+    monkeypatch.setattr(hulls.np, "vstack", lambda parts: widths.append(sum(len(x) for x in parts)) or stack(parts))
+    p = np.random.default_rng(5).normal(size=(3000, 2))
+    tri = hulls.delaunay(p)
+    widths.pop()  # the result
+    hull = len(hulls.convex_hull(p))
+    assert len(tri) == 2 * len(p) - 2 - hull and np.mean(widths) < 600  # all triangles so far: 3000 on average
