@@ -176,3 +176,32 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
     few = take()
     monkeypatch.setattr(components, "FIT", 0)
     assert few == take() == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_transport_is_the_least_assignment_of_units(seed):
+    rng = np.random.default_rng(seed)
+    supply, room = rng.integers(1, 4, 5), rng.integers(1, 4, 4)
+    cost = np.where(rng.random((5, 4)) < 0.6, rng.random((5, 4)), np.inf)
+    flow = frames.transport(cost, supply, room)
+    assert (flow.sum(1) <= supply).all() and (flow.sum(0) <= room).all() and np.isfinite(cost[flow > 0]).all()
+    units = np.repeat(np.repeat(np.where(np.isinf(cost), 1e6, cost), supply, axis=0), room, axis=1)
+    units = np.column_stack([units, np.ones((len(units), len(units)))])
+    want = units[np.arange(len(units)), frames.assignment(units)].sum()
+    assert (np.where(flow > 0, cost, 0) * flow).sum() + supply.sum() - flow.sum() == pytest.approx(want)
+
+
+@pytest.mark.parametrize("memory", [0, 1])
+def test_copies_of_points_are_linked_as_places(spark, monkeypatch, memory):
+    seen = []
+    monkeypatch.setattr(frames, "radius_pairs", lambda *a, _own=frames.radius_pairs, **k: seen.append(_own(*a, **k)) or seen[-1])
+    base = [(f, float(x)) for f in range(4) for x in (0.0, 0.4, 5.0) if (f, x) != (2, 5.0)]
+    rows = [(n * 100 + i, f, x) for i, (f, x) in enumerate(base) for n in range(7)]
+    got = frames.link(spark.createDataFrame(rows, "index long, frame long, position_x double"), search_range=0.5, memory=memory).collect()
+    pairs = sum(p.count() for p in seen)
+    assert pairs < 60  # places, not the 49 times as many points
+    tracks: dict[int, list] = {}
+    for x in got:
+        tracks.setdefault(x.track, []).append((x.frame, x.position_x))
+    assert len(got) == len(rows) and all(len({f for f, _ in t}) == len(t) and len({x for _, x in t}) == 1 for t in tracks.values())
+    assert len(tracks) == (21 if memory else 28) and sorted(map(len, tracks.values()))[0] == (3 if memory else 1)
