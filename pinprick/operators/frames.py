@@ -70,23 +70,30 @@ def off_periods(df: DataFrame, *, memory: int = 0, remove_heading_off_periods: b
     return out.select(*by, (F.col("_before") + 1).alias("frame"), (F.col("frame") - F.col("_before") - 1).alias("period"))
 
 
+def places(df: DataFrame, at: Sequence[str], id_col: str = "index") -> DataFrame:
+    """(``at``, id, n): each place with the smallest id of the rows there and their number."""
+    return df.groupBy(*at).agg(F.min(id_col).alias(id_col), F.count("*").alias("n"))
+
+
 def localization_precision(df: DataFrame, *, radius: float = 50, id_col: str = "index", by: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
     """Each point matched to the nearest within ``radius`` in the next frame, with the differences.
 
-    An equi-join on frame and cell. The last pair of frames is left out unless ``inclusive``. Ties go to the smaller id.
+    An equi-join on frame and cell, of places: rows of one frame at one place have one match, and of those matched the smallest id stands for the rest. The last pair of frames is left out unless ``inclusive``. Ties go to the smaller id.
     """
     coords = coordinates(df.columns)
-    first = df.withColumn("_f", F.col("frame"))
+    spot = ["frame", *by, *coords]
+    at = places(df.dropna(subset=coords), spot, id_col)
+    first = at.withColumn("_f", F.col("frame"))
     if not inclusive:
         top = df.agg((F.max("frame") - 1).alias("_top"))
         first = first.crossJoin(F.broadcast(top)).where("_f < _top").drop("_top")  # one row is broadcast
-    second = df.withColumn("_f", F.col("frame") - 1)
+    second = at.withColumn("_f", F.col("frame") - 1)
     pairs = radius_pairs(first, second, radius=radius, id_col=id_col, coords=coords, on=["_f", *by])
     best = pairs.groupBy("id1").agg(F.min(F.struct("distance", "id2")).alias("m")).select(F.col("id1").alias(id_col), F.col("m.id2").alias("_other"), F.col("m.distance").alias("position_distance"))
-    a = df.select(id_col, "frame", *by, *(F.col(c).alias(f"_{c}") for c in coords))
-    b = df.select(F.col(id_col).alias("_other"), *(F.col(c).alias(f"__{c}") for c in coords))
-    out = best.join(a, id_col).join(b, "_other")
-    return out.select(F.col(id_col).alias("original_index"), *by, "frame", *((F.col(f"_{c}") - F.col(f"__{c}")).alias(f"position_delta_{c[-1]}") for c in coords), "position_distance")
+    b = at.select(F.col(id_col).alias("_other"), *(F.col(c).alias(f"__{c}") for c in coords))
+    best = best.join(at.select(id_col, *spot), id_col).drop(id_col).join(b, "_other")
+    out = df.select(id_col, *spot).join(best, spot)
+    return out.select(F.col(id_col).alias("original_index"), *by, "frame", *((F.col(c) - F.col(f"__{c}")).alias(f"position_delta_{c[-1]}") for c in coords), "position_distance")
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
@@ -197,11 +204,6 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "k"])
 
 
-def places(df: DataFrame, at: Sequence[str], id_col: str = "index") -> DataFrame:
-    """(``at``, id, n): each place with the smallest id of the rows there and their number."""
-    return df.groupBy(*at).agg(F.min(id_col).alias(id_col), F.count("*").alias("n"))
-
-
 def link(df: DataFrame, *, search_range: float | Sequence[float] = 40, memory: int = 0, tile: str | None = None, id_col: str = "index") -> DataFrame:
     """Add ``track``: points of successive frames linked so that the sum of squared distances is least.
 

@@ -69,3 +69,15 @@ def test_points_in_oriented_boxes(spark):
     probes = (np.array([[1, 0.5], [3.9, 0.9], [4.1, 0.5], [2, 1.1], [-0.1, 0]]) @ turn.T).tolist()
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(probes)], "index long, position_x double, position_y double")
     assert {r["index"] for r in hulls.localizations_in_hulls(df, group, hull="oriented_bounding_box").collect()} == {0, 1}
+
+
+def test_next_frame_matches_of_copies_are_searched_once(spark, monkeypatch):
+    from pinprick.operators import frames
+
+    seen = []
+    monkeypatch.setattr(frames, "radius_pairs", lambda *a, _own=frames.radius_pairs, **k: seen.append(_own(*a, **k)) or seen[-1])
+    rows = [(10 * i + n, f, x, "u") for i, (f, x) in enumerate([(0, 0.0), (0, 3.0), (1, 1.0), (1, -1.0), (2, 9.0), (3, 0.0)]) for n in range(9, -1, -1)]
+    df = spark.createDataFrame([*rows, (900, 0, None, "u"), (901, 0, 0.0, None)], "index long, frame long, position_x double, channel string")
+    got = sorted((r.original_index, r.position_delta_x, r.position_distance) for r in frames.localization_precision(df, radius=2, by=["channel"]).collect())
+    assert got == [(n, -1.0, 1.0) for n in range(10)] + [(10 + n, 2.0, 2.0) for n in range(10)]
+    assert seen[0].count() == 3  # of places; 300 of rows
