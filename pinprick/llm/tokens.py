@@ -13,12 +13,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
 from .common import let_go
 
-MEMORY, LONGEST = 350_000, 64
+MEMORY, LONGEST = 600_000, 64
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _KNOWN = bytes([10, *range(32, 127), *(x for x in range(192, 256) if x not in (215, 247))])
 _RULES = {
@@ -69,13 +70,20 @@ def _follows(library: Tokenizer, kind: str) -> bool:
 
 
 class _Words(dict):
-    """Ids of each word met, as bytes."""
+    """Ids of each word met, as bytes; also of a stretch between white space, as those of its words one after another."""
 
-    def __init__(self, library: Tokenizer) -> None:
-        self.merge = library.model.tokenize
+    def __init__(self, library: Tokenizer, split: Callable[[str], list[str]]) -> None:
+        self.merge, self.split = library.model.tokenize, split
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(_TABLE))]).tobytes()
+        parts = self.split(word)
+        if len(parts) > 1:
+            held = all(x in self for x in parts)
+            ids = b"".join(map(self.__getitem__, parts))
+            if not held:  # most likely met only once
+                return ids
+        else:
+            ids = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(_TABLE))]).tobytes()
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -95,7 +103,8 @@ class Encoder:
         added = self.library.get_added_tokens_decoder().values()
         self.added, self.folded = [t.content for t in added], any(t.normalized for t in added)  # as it stands in a text, or in the text as normalised
         self.follows = _follows(self.library, kind)
-        self.lower, self.split, self.words = kind == "words", _RULES[kind].findall, _Words(self.library)
+        self.lower, self.split = kind == "words", _RULES[kind].findall
+        self.words = _Words(self.library, self.split)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,7 +117,7 @@ class Encoder:
             self.words.clear()
         for i, text in enumerate(texts):
             if _known(text) and not any(x in text for x in self.added) and not (self.folded and any(x in text.lower() for x in self.added)):
-                out[i] = b"".join(map(ids, self.split(text.lower() if self.lower else text)))
+                out[i] = b"".join(map(ids, text.lower().split() if self.lower else self.split(text)))  # no word of the lower-casing rule has white space
             else:
                 other.append(i)
         for i, x in zip(other, self.whole([texts[i] for i in other])):

@@ -447,3 +447,10 @@ def test_pipeline(spark, small):
             assert kept == plain(before)  # five-word Jaccard of at least 0.8, all pairs compared
         elif name == "decontamination":
             assert kept == {x[0] for x in brute.decontaminated(before, items) if not x[5]}
+
+
+def test_stretches_of_known_words_are_looked_up_whole():
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"), "words")
+    texts = ["The end. The end.\nIt's  'quoted' ''s don't!'s a1b22,c THE_END. " + "x" * 70 + "."] * 3
+    assert own.encode(texts) == own.whole(texts)
+    assert "end." in own.words and "a1b22,c" in own.words
