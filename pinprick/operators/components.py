@@ -1,4 +1,4 @@
-"""Connected components: few edges in one task, many by alternating stars, written between rounds."""
+"""Connected components: few edges in one task, many after rounds that halve the nodes, each written."""
 
 from __future__ import annotations
 
@@ -55,23 +55,29 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(list(map(find, part)), pa.int64())], names=["node", "component"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: bool = False) -> DataFrame:
     """(node, component) of the edges (a, b): the component is its smallest node.
 
-    Up to ``FIT`` edges are joined in one task, more in rounds of joins, each written."""
-    now = written(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct())
-    if now.limit(FIT + 1).count() <= FIT:
-        return written(now.coalesce(1).mapInArrow(_joined, "node long, component long"))
-    state = None
-    while True:
+    Up to ``FIT`` edges are joined in one task (``few``: the caller knows that there are no more). Of more, each node first goes into the least of its
+    neighbours and itself, in an order that is random and another in each round, which about halves the nodes, until few edges are left."""
+    now = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
+    if not few:
+        now = written(now.distinct())
+        few = now.limit(FIT + 1).count() <= FIT
+    one_task = lambda df: written(df.coalesce(1).mapInArrow(_joined, "node long, component long"))
+    if few:
+        return one_task(now)
+    rounds = []
+    while rounds == [] or now.limit(FIT + 1).count() > FIT:
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("p"))  # noqa: E731, B023
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        far = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        step = far.join(far.groupBy("u").agg(F.min("v").alias("m")), "u")
-        now = written(step.select("u", F.col("m").alias("v")).unionByName(step.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if seen == state:
-            break
-        state = seen
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        into = written(both.groupBy("u").agg(F.min(order("v")).alias("_m")).select("u", F.least(order("u"), F.col("_m"))["p"].alias("p")))
+        rounds.append(into)
+        side = lambda c: into.select(F.col("u").alias(c), F.col("p").alias(f"_{c}"))  # noqa: E731, B023
+        both = now.join(side("u"), "u").join(side("v"), "v").where("_u <> _v")
+        now = written(both.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct())
+    names = one_task(now)
+    for into in reversed(rounds):
+        names = into.join(names.withColumnRenamed("node", "p"), "p", "left").select(F.col("u").alias("node"), F.coalesce("component", "p").alias("component"))
+    names = written(names)
+    return written(names.join(names.groupBy("component").agg(F.min("node").alias("_low")), "component").select("node", F.col("_low").alias("component")))

@@ -4,7 +4,7 @@ Points are linked by mutual reachability: the distance, or the larger of both co
 point, itself included) if that is larger. The steps, each a few joins:
 
 1. *Spanning tree.* No link of a point is shorter than its core distance, so a point with a neighbour of a smaller core distance is linked
-   to it at once. What remains is joined over growing radii. At each radius, cells that hold points of two components say
+   to it at once. What remains is joined over growing radii, each as wide as its cells do not hold too many components. At each radius, cells that hold points of two components say
    where to look; cell pairs of very many points are cut finer, and those whose bounds rule them out go. Only the shortest link of each
    pair of components enters the next rounds. Nothing is decided beyond the radius that was searched, so the tree is exact.
 2. *When a point's component reaches the cluster size*, by the shortest links of small components, in rounds. Links between two
@@ -28,6 +28,8 @@ from .spatial import distance, nearest_neighbors
 
 #: Links that one task orders, point pairs that are compared without cutting their cells, and points that one task clusters whole.
 FIT, PAIRS, SMALL = 200_000, 1_000_000, 5_000
+#: Components that a cell holds beside each, on average, unless the radius cannot be smaller; how much the radius grows where they allow it.
+CROWD, GROWTH = 16, 4
 _ENDLESS = 1e300
 
 
@@ -236,8 +238,10 @@ def _renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return df.join(new, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def _candidates(points: DataFrame, radius: float, axes: list[str]) -> DataFrame:
-    """(u, v, w, a, b): the shortest link of each pair of components, of those up to ``radius``."""
+def _candidates(points: DataFrame, radius: float, axes: list[str], any_crowd: bool = True) -> DataFrame | None:
+    """(u, v, w, a, b): the shortest link of each pair of components, of those up to ``radius``.
+
+    None where cells hold too many components, unless ``any_crowd``."""
     d = len(axes)
     cells = [f"g{k}" for k in range(d)]
     edge = radius * 1.001
@@ -254,6 +258,10 @@ def _candidates(points: DataFrame, radius: float, axes: list[str]) -> DataFrame:
 
     steps = F.array(*(F.struct(*(F.lit(s).alias(f"s{k}") for k, s in enumerate(step))) for step in itertools.product((-1, 0, 1), repeat=d)))
     g = boxes(0)
+    if not any_crowd:
+        load = g.groupBy(*cells).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).first()
+        if load["n"] and load["pairs"] > CROWD * load["n"]:
+            return None
     near = side(g, "2").withColumn("_s", F.explode(steps)).select("*", *((F.col(f"g{k}2") + F.col(f"_s.s{k}")).alias(f"g{k}1") for k in range(d))).drop("_s")
     pairs = side(g, "1").join(near, [f"g{k}1" for k in range(d)]).where("comp1 < comp2")
     found, level = None, 0
@@ -273,7 +281,7 @@ def _candidates(points: DataFrame, radius: float, axes: list[str]) -> DataFrame:
         linked = linked.select(F.col("comp1").alias("u"), F.col("comp2").alias("v"), w.alias("w"), F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).where(F.col("w") <= radius)
         linked = written(linked.groupBy("u", "v").agg(F.min(F.struct("w", "a", "b")).alias("_m")).select("u", "v", "_m.*"))
         found = linked if found is None else found.unionByName(linked)
-        dense = written(pairs.where(heavy).select("comp1", "comp2", *(g + m for m in "12" for g in cells)))
+        dense = pairs.where(heavy).select("comp1", "comp2", *(g + m for m in "12" for g in cells))
         if dense.isEmpty():
             break
         level += 1
@@ -282,7 +290,7 @@ def _candidates(points: DataFrame, radius: float, axes: list[str]) -> DataFrame:
             up = side(finer, m).withColumns({f"_p{k}{m}": F.floor(F.col(f"g{k}{m}") / 2) for k in range(d)})
             dense = dense.withColumnsRenamed({f"g{k}{m}": f"_p{k}{m}" for k in range(d)}).join(up, [f"comp{m}", *(f"_p{k}{m}" for k in range(d))]).drop(*(f"_p{k}{m}" for k in range(d)))
         pairs = dense
-    return written(found.groupBy("u", "v").agg(F.min(F.struct("w", "a", "b")).alias("_m")).select("u", "v", "_m.*"))
+    return found if not level else written(found.groupBy("u", "v").agg(F.min(F.struct("w", "a", "b")).alias("_m")).select("u", "v", "_m.*"))
 
 
 def spanning_tree(df: DataFrame, size: int, axes: list[str]) -> DataFrame:
@@ -298,22 +306,25 @@ def spanning_tree(df: DataFrame, size: int, axes: list[str]) -> DataFrame:
     tree = written(down.select(F.least("id", "_m.neighbor").alias("a"), F.greatest("id", "_m.neighbor").alias("b"), F.col("core").alias("w")))
     names = components(tree.select("a", "b"))
     points = written(_renamed(points.withColumn("comp", F.col("id")), "comp", names))
+    box = points.agg(*(F.max(x) - F.min(x) for x in axes)).first()
+    tiny = max(math.sqrt(sum(x * x for x in box)) * 1e-9, 1e-300) if box[0] is not None else 1e-300
     radius = 0.0
     while True:
-        least = [r["core"] for r in points.groupBy("comp").agg(F.min("core").alias("core")).orderBy("core").select("core").limit(2).collect()]
+        lows = points.groupBy("comp").agg(F.min("core").alias("core"))
+        least = [r["core"] for r in lows.orderBy("core").select("core").limit(2).collect()]
         if len(least) < 2:
             return tree
-        box = points.agg(*(F.max(x) - F.min(x) for x in axes)).first() if not radius else None
-        if box:
-            reach = math.sqrt(sum(x * x for x in box)) * (1 + 1e-9)
-        radius = max(2 * radius, least[1], reach * 1e-9, 1e-300)
-        edges = _candidates(points, radius, axes)
+        floor = max(2 * radius, least[1], tiny)
+        wide = max(GROWTH * radius, floor) if radius else max(lows.agg(F.percentile_approx("core", 0.5)).first()[0], floor)
+        while (edges := _candidates(points, wide, axes, wide <= floor)) is None:  # halfway to the radius that is always taken
+            wide = math.sqrt(wide * floor) if wide > 4 * floor else floor
+        radius = wide
         many = edges.limit(FIT + 1).count()
         if not many:
             continue
-        took = written(_one_task(edges) if many <= FIT else _rounds(edges))
-        tree = written(tree.unionByName(took.select("a", "b", "w")))
-        points = written(_renamed(points, "comp", components(took.select(F.col("u").alias("a"), F.col("v").alias("b")))))
+        took = written(_one_task(edges)) if many <= FIT else written(_rounds(edges))
+        tree = tree.unionByName(took.select("a", "b", "w"))
+        points = written(_renamed(points, "comp", components(took.select(F.col("u").alias("a"), F.col("v").alias("b")), few=many <= FIT)))
 
 
 # from the spanning tree to labels

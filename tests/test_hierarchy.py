@@ -205,3 +205,26 @@ def test_copies_of_points_are_linked_as_places(spark, monkeypatch, memory):
         tracks.setdefault(x.track, []).append((x.frame, x.position_x))
     assert len(got) == len(rows) and all(len({f for f, _ in t}) == len(t) and len({x for _, x in t}) == 1 for t in tracks.values())
     assert len(tracks) == (21 if memory else 28) and sorted(map(len, tracks.values()))[0] == (3 if memory else 1)
+
+
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    from pinprick.operators import components
+
+    seen = []
+    monkeypatch.setattr(components, "FIT", 100)
+    monkeypatch.setattr(components, "written", lambda df, _own=components.written: seen.append(_own(df)) or seen[-1])
+    n = 3000
+    path = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components.components(path.unionByName(path.selectExpr("a + 5000 as a", "b + 5000 as b")))
+    assert {tuple(x) for x in got.collect()} == {(s + i, s) for s in (0, 5000) for i in range(n)}
+    edges = [t.count() for t in seen if t.columns == ["u", "v"]]
+    assert edges[-1] <= 100 and all(after <= 0.7 * before for before, after in itertools.pairwise(edges))
+
+
+def test_radii_grow_fast_where_components_are_few(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(hierarchy, "_candidates", lambda *a, _own=hierarchy._candidates, **k: calls.append(a[1]) or _own(*a, **k))
+    cross = np.array([[0, 0], [1, 0], [0, 1], [-1, 0], [0, -1]]) * 0.01
+    x = np.concatenate([cross + [4.0**k, 0] for k in range(6)])
+    assert (spread(spark, x, 5) == hierarchy.labels_of(x, 5)).all()
+    assert len(calls) <= 12  # as many again when radii only doubled
