@@ -1,6 +1,7 @@
 """All pairs are dealt evenly, whatever the input's files are."""
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from pinprick.operators import spatial
@@ -48,3 +49,13 @@ def test_few_and_no_points(spark):
     assert rows(spatial.pair_distances(df, df)) == {("a", "a", 0.0), ("b", "b", 0.0), ("a", "b", 3.0), ("b", "a", 3.0)}
     none = df.where("index > 'z'")
     assert spatial.pair_distances(none).count() == 0 and spatial.pair_distances(df, none).count() == 0
+
+
+def test_ids_take_little_of_the_disk(spark, tmp_path):
+    r = np.random.default_rng(7)
+    a, b = r.normal(size=(300, 2)), r.normal(size=(6001, 2))  # 6,001 ids one after the other never repeat at a whole byte
+    spatial.pair_distances(_frame(spark, range(300), a), _frame(spark, range(6001), b)).write.parquet(str(tmp_path / "out"))
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "out").glob("*.parquet")]
+    columns = [m.row_group(g).column(k) for m in files for g in range(m.num_row_groups) for k in range(m.num_columns)]
+    assert sum(m.num_rows for m in files) == 300 * 6001
+    assert sum(c.total_compressed_size for c in columns if c.path_in_schema != "pair_distance") < 0.5 * 300 * 6001
