@@ -71,3 +71,17 @@ def test_stretches_lead_where_every_point_leads(spark, seed):
                 at = back[at]
             want[p, u] = at
     assert got == want and len({q for q in got.values()}) < len(got)
+
+
+def test_sole_links_carry_the_numbers_of_copies(spark, tmp_path, capsys):
+    from pinprick.plans import more
+
+    rows = [(k, t, v) for k, (t, v) in enumerate([(0, 1.0), (1, 1.2), (0, 9.0), (0, 9.0), (1, 9.1), (0, 20.0), (1, 20.1), (1, 20.1)])]
+    events = spark.createDataFrame(rows, "event_id long, hour long, value double")
+    events = events.select("event_id", F.timestamp_seconds(F.col("hour") * 3600).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    out = more.QUERIES["track_sole_links"](spark, str(tmp_path))
+    assert [tuple(x) for x in out.collect()] == [(0, 1)]
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[-1].count("Join") <= 5  # 9 when candidates were joined with their numbers of copies
